@@ -1,11 +1,32 @@
 """Small column helpers shared by the other function modules."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_built: dict[tuple, Column] = {}
+
+
+def by_name(build: Callable[[Column], Column]) -> Callable[[Column | str], Column]:
+    """Let ``build`` take a column name too, and keep what it built for a name.
+
+    Large expressions take the driver a while to put together; over a plain
+    column name they are the same in every query of an application.
+    """
+    @functools.wraps(build)
+    def wrapper(column: Column | str) -> Column:
+        if not isinstance(column, str):
+            return build(column)
+        key = (SparkContext._active_spark_context.applicationId, build.__module__, build.__qualname__, column)
+        if key not in _built:
+            _built[key] = build(F.col(column))
+        return _built[key]
+    return wrapper
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
@@ -13,7 +34,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def word_map(values: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """A constant map, folded to a literal by the optimizer."""
+    text = ",".join(f"{word}:{value!r}" for word, value in values.items())
+    return F.str_to_map(F.lit(text), F.lit(","), F.lit(":")).cast("map<string,double>")
 
 
 def lookup(words: Column, values: dict[str, float]) -> Column:

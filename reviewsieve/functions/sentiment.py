@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from .columns import contains_any, count_char, doubles, let, lookup
+from .columns import by_name, contains_any, count_char, doubles, let, lookup
 
 # One private-use character per phrase pattern marks where that pattern matched.
 _FIRST_MARK = 0xE000
@@ -87,12 +87,14 @@ def raw_total(marked: Column) -> Column:
     return let(total, lambda t: F.when(t != 0, t + F.signum(t) * bonus).otherwise(F.lit(0.0)))
 
 
+@by_name
 def sentiment(text: Column) -> Column:
     """Sentiment of a text; 0 for a text without any scored word or phrase."""
     return let(mark_phrases(text), lambda m: let(
         raw_total(m), lambda t: t / F.sqrt(t * t + lx.SENTIMENT_ALPHA)))
 
 
+@by_name
 def token_sentiment(text: Column) -> Column:
     """array<struct<token, contribution>> of the tokens that carry a value."""
     def pairs(toks: Column) -> Column:

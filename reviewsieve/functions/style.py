@@ -5,10 +5,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from .columns import count_char, count_chars, let, share
+from .columns import by_name, count_char, count_chars, let, share
 from .text import sentences, word_count, words
 
 
+@by_name
 def style(text: Column) -> Column:
     """struct of the 18 writing-style features, in fixed order."""
     def build(ws: Column) -> Column:

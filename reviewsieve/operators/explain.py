@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from ..functions.columns import let, strings
+from ..functions.columns import doubles, strings
 
 _KEPT = "array<struct<phrase:string,weight:double,words:array<string>>>"
 
@@ -50,16 +50,13 @@ def phrases(indices: Column, contributions: Column, terms: Sequence[str], k: int
 def reasons(z: Column, coefficients: Sequence[float], features: Sequence[str] = tuple(lx.DENSE_FEATURES),
             k: int = lx.TOP_REASONS) -> Column:
     """Top reasons of a row; ``z`` is the array of standardised features."""
-    def build(v: Column) -> Column:
-        entries = []
-        for i, (name, coefficient) in enumerate(zip(features, coefficients)):
-            high, low = lx.REASONS.get(name, (name + " (high)", name + " (low)"))
-            entries.append(F.struct((-(v[i] * float(coefficient))).alias("down"), F.lit(i).alias("i"),
-                                    F.when(v[i] > 0, high).otherwise(low).alias("reason")))
-        pushing = F.filter(F.array(*entries), lambda e: e["down"] < 0)
-        return F.transform(F.slice(F.sort_array(pushing), 1, k),
-                           lambda e: F.struct(e["reason"].alias("reason"), (-e["down"]).alias("weight")))
-    return let(z, build)
+    wording = [lx.REASONS.get(f, (f + " (high)", f + " (low)")) for f in features]
+    weights, high, low = doubles(coefficients), strings([w[0] for w in wording]), strings([w[1] for w in wording])
+    entries = F.transform(z, lambda v, i: F.struct(
+        (-(v * weights[i])).alias("down"), i.alias("i"), F.when(v > 0, high[i]).otherwise(low[i]).alias("reason")))
+    pushing = F.filter(entries, lambda e: e["down"] < 0)
+    return F.transform(F.slice(F.sort_array(pushing), 1, k),
+                       lambda e: F.struct(e["reason"].alias("reason"), (-e["down"]).alias("weight")))
 
 
 def top_terms(coefficients: DataFrame, k: int = 25) -> DataFrame:

@@ -17,8 +17,8 @@ def local_features(reviews: DataFrame, sentiment_col: str | None = None) -> Data
 
     ``sentiment_col`` names a column that already holds the caller's own score.
     """
-    score = F.col(sentiment_col) if sentiment_col else sentiment(F.col("text"))
-    out = reviews.withColumn("_style", style(F.col("text"))).withColumn("sentiment", score)
+    score = F.col(sentiment_col) if sentiment_col else sentiment("text")
+    out = reviews.withColumn("_style", style("text")).withColumn("sentiment", score)
     for name in lx.STYLE_FEATURES:
         out = out.withColumn(name, F.col(f"_style.{name}"))
     return out.withColumn("rating_extremity", rating_extremity(F.col("rating"))).withColumn(

@@ -199,7 +199,7 @@ def fit_table(table: TrainingTable, c: float = lx.INVERSE_REGULARISATION, use_te
     packed = table.rows.select("label", "weight", _pack(
         F.lit(n_text + n_dense), F.concat(*indices), F.concat(*values)).alias("features"))
     solver = LogisticRegression(regParam=1.0 / (c * table.count), elasticNetParam=0.0, standardization=False,
-                                weightCol="weight", maxIter=max_iter, tol=1e-8)
+                                weightCol="weight", maxIter=max_iter, tol=1e-6)
     fitted = solver.fit(packed)
     coefficients = [float(x) for x in fitted.coefficients.toArray()]
     return TrustModel(copy.copy(table.vectorizer), coefficients[:n_text], table.scaler, coefficients[n_text:],

@@ -48,7 +48,7 @@ TERM = q(lx.TERM_TOKEN)
 def pieces(source: str, keys: str, column: str, array: str, number: str, name: str, out: str) -> str:
     """Stripped, non-empty elements of an array expression as rows numbered from 0."""
     stripped = f"list_filter(list_transform({array}, lambda x: {STRIP.format('x')}), lambda x: x <> '')"
-    return f"""{out} AS (SELECT {keys}, unnest(range(len(a))) AS {number}, unnest(a) AS {name}
+    return f"""{out} AS (SELECT {keys}, CAST(unnest(range(len(a))) AS INT) AS {number}, unnest(a) AS {name}
       FROM (SELECT {keys}, {stripped} AS a FROM {source}))"""
 
 
@@ -242,9 +242,9 @@ oracle("t1_sentences", RD, sentences("rd"), final="SELECT * FROM se")
 oracle("t2_clauses", RO, sentences("ro"), clauses(),
        final="SELECT product_id, review_id, sent_no, clause_no, clause FROM cl")
 oracle("t3_segments", RO, sentences("ro"), clauses(), segments(), final="SELECT * FROM sg")
-oracle("t4_words", final=f"""SELECT doc_id AS review_id, unnest(range(len(w))) AS pos, unnest(w) AS word
+oracle("t4_words", final=f"""SELECT doc_id AS review_id, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS word
   FROM (SELECT doc_id, regexp_extract_all(text, {WORD}) AS w FROM documents)""")
-oracle("t5_tokens", RO, tokens("ro", "review_id", "tk"), final="SELECT review_id, i - 1 AS pos, tok AS token FROM tk")
+oracle("t5_tokens", RO, tokens("ro", "review_id", "tk"), final="SELECT review_id, CAST(i - 1 AS INT) AS pos, tok AS token FROM tk")
 
 
 def span_pattern(phrase: str) -> str:
@@ -265,7 +265,7 @@ SPANS = ["sp AS (" + " UNION ALL ".join(spans("ro", "review_id", "text", span_pa
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM sp)""",
          """sj AS (SELECT review_id, b, e, sum(fresh) OVER (PARTITION BY review_id ORDER BY b, e ROWS UNBOUNDED
            PRECEDING) AS g FROM si)""",
-         'ss AS (SELECT review_id, min(b) AS "start", max(e) AS stop FROM sj GROUP BY review_id, g)']
+         'ss AS (SELECT review_id, CAST(min(b) AS INT) AS "start", CAST(max(e) AS INT) AS stop FROM sj GROUP BY review_id, g)']
 oracle("t6_phrase_spans", RO, *SPANS, final="SELECT * FROM ss")
 ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 oracle("t6_highlight", RO, *SPANS,
@@ -276,7 +276,7 @@ oracle("t6_highlight", RO, *SPANS,
          max(stop) AS last FROM pt JOIN ro USING (review_id) GROUP BY review_id)""",
        final=f"""SELECT review_id, coalesce(h, '') || {ESCAPED.format('substr(text, coalesce(last, 0) + 1)')} AS html
          FROM ro LEFT JOIN pj USING (review_id)""")
-oracle("t7_term_tokens", final=f"""SELECT doc_id AS review_id, unnest(range(len(w))) AS pos, unnest(w) AS token
+oracle("t7_term_tokens", final=f"""SELECT doc_id AS review_id, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS token
   FROM (SELECT doc_id, regexp_extract_all(lower(text), {TERM}) AS w FROM documents)""")
 oracle("t8_ngrams", RO, term_counts("ro"), final="SELECT * FROM tc")
 
@@ -353,7 +353,7 @@ PHRASES = [
     f"""pk AS (SELECT review_id, m, list_reduce(l, lambda acc, x: CASE WHEN len(acc) >= 6 OR len(list_filter(acc,
       lambda k: list_has_all({WORDS_K}, {WORDS_X}) OR list_has_all({WORDS_X}, {WORDS_K}))) > 0
       THEN acc ELSE list_concat(acc, x) END) AS kept FROM pc)""",
-    """ph AS (SELECT review_id, unnest(range(1, len(kept) + 1)) AS rank, unnest(kept) AS phrase,
+    """ph AS (SELECT review_id, CAST(unnest(range(1, len(kept) + 1)) AS INT) AS rank, unnest(kept) AS phrase,
       unnest(list_transform(kept, lambda k: m[k])) AS weight FROM pk)""",
 ]
 oracle("x2_x4_phrases", *SC, *PHRASES, final=f"SELECT review_id, rank, phrase, {r6('weight')} FROM ph")
@@ -361,14 +361,14 @@ REASONS = [
     "ze AS (" + " UNION ALL ".join(
         f"SELECT review_id, {i} AS i, z_{f} * {dense_coefficient(i)} AS c, CASE WHEN z_{f} > 0 THEN {q(lx.REASONS[f][0])} "
         f"ELSE {q(lx.REASONS[f][1])} END AS reason FROM zz" for i, f in enumerate(DENSE)) + ")",
-    """re AS (SELECT review_id, row_number() OVER (PARTITION BY review_id ORDER BY c DESC, i) AS rank, reason, c
+    """re AS (SELECT review_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY c DESC, i) AS INT) AS rank, reason, c
       FROM ze WHERE c > 0 QUALIFY rank <= 3)""",
 ]
 oracle("x5_reasons", *SC, *REASONS, final=f"SELECT review_id, rank, reason, {r6('c', 'weight')} FROM re")
 oracle("x6_global_ngrams", RO, term_counts("ro"), *vocab("ro"), final=f"""
-  SELECT 'fake' AS side, row_number() OVER (ORDER BY {COEF} DESC, term DESC) AS rank, term, {r6(COEF, 'coef')}
+  SELECT 'fake' AS side, CAST(row_number() OVER (ORDER BY {COEF} DESC, term DESC) AS INT) AS rank, term, {r6(COEF, 'coef')}
   FROM vo QUALIFY rank <= 25 UNION ALL
-  SELECT 'genuine', row_number() OVER (ORDER BY {COEF}, term) AS rank, term, {r6(COEF, 'coef')} FROM vo
+  SELECT 'genuine', CAST(row_number() OVER (ORDER BY {COEF}, term) AS INT) AS rank, term, {r6(COEF, 'coef')} FROM vo
   QUALIFY rank <= 25""")
 oracle("x7_dense_weights", values([f"({q(f)}, {dense_coefficient(i)})" for i, f in enumerate(DENSE)], "feature, coef", "d"),
        final="""SELECT feature, CAST(coef AS DOUBLE) AS coef FROM d ORDER BY abs(coef) DESC, feature LIMIT 8""")
@@ -538,7 +538,7 @@ def discovery(source: str, out: str = "di") -> list[str]:
           AND string_split(term, ' ')[-1] NOT IN {among(lx.GENERIC_NOUNS)}
           AND len(list_filter(string_split(term, ' '), lambda w: w IN {among(KNOWN)})) = 0
           GROUP BY product_id, term HAVING count(*) >= {lx.MIN_MENTIONS})""",
-        f"""{out} AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, term) AS rank FROM {out}_c
+        f"""{out} AS (SELECT *, CAST(row_number() OVER (PARTITION BY product_id ORDER BY n DESC, term) AS INT) AS rank FROM {out}_c
           QUALIFY rank <= {lx.MAX_DISCOVERED})""",
     ]
 
@@ -566,7 +566,7 @@ def mentions(source: str, discover: bool = True, out: str = "me") -> list[str]:
         f"""{out}_k AS (SELECT * FROM {out}_h h WHERE NOT EXISTS (SELECT 1 FROM {out}_h o WHERE
           o.product_id = h.product_id AND o.review_id = h.review_id AND o.sent_no = h.sent_no
           AND o.clause_no = h.clause_no AND o.b <= h.b AND h.e <= o.e AND o.e - o.b > h.e - h.b))""",
-        f"""{out} AS (SELECT {CK}, b AS "start", aspect, hit AS term, discovered FROM {out}_k QUALIFY row_number() OVER
+        f"""{out} AS (SELECT {CK}, CAST(b AS INT) AS "start", aspect, hit AS term, discovered FROM {out}_k QUALIFY row_number() OVER
           (PARTITION BY product_id, review_id, sent_no, clause_no, aspect ORDER BY b, e) = 1)""",
     ]
 
@@ -588,11 +588,11 @@ def opinions(out: str = "op") -> list[str]:
           JOIN {out}_y c ON c.text = m.clause)""",
         f"""vt AS (SELECT product_id, aspect, review_id, discovered, avg(score) AS vote FROM {out}
           GROUP BY product_id, aspect, review_id, discovered)""",
-        """at AS (SELECT product_id, aspect, count(*) AS mentions, count(*) FILTER (vote > 0.1) AS positive,
+        """ag AS (SELECT product_id, aspect, count(*) AS mentions, count(*) FILTER (vote > 0.1) AS positive,
           count(*) FILTER (abs(vote) <= 0.1) AS neutral, count(*) FILTER (vote < -0.1) AS negative, avg(vote) AS score,
           bool_or(discovered) AS discovered FROM vt GROUP BY product_id, aspect HAVING count(*) >= 2)""",
         "ar AS (SELECT *, CASE " + " ".join(f"WHEN score >= {v} THEN {q(n)}" for v, n in lx.VERDICTS)
-        + f" ELSE {q(lx.WORST_VERDICT)} END AS verdict FROM at)",
+        + f" ELSE {q(lx.WORST_VERDICT)} END AS verdict FROM ag)",
     ]
 
 
@@ -613,12 +613,12 @@ oracle("a13_examples", *ASPECTS,
        .replace("WHEN score", "WHEN op.score") + ")",
        f"""ey AS (SELECT *, row_number() OVER (PARTITION BY product_id, aspect, side ORDER BY abs(score) DESC, {POS}) AS k,
          min(side) OVER (PARTITION BY product_id, aspect) AS first FROM ex)""",
-       """ez AS (SELECT product_id, aspect, row_number() OVER (PARTITION BY product_id, aspect ORDER BY side, k) AS rank,
+       """ez AS (SELECT product_id, aspect, CAST(row_number() OVER (PARTITION BY product_id, aspect ORDER BY side, k) AS INT) AS rank,
          span AS snippet, score FROM ey WHERE CASE side WHEN 2 THEN first = 2 AND k <= 3 ELSE k <= 2 END)""",
        final=f"SELECT product_id, aspect, rank, snippet, {r6('score')} FROM ez WHERE rank <= 3")
 oracle("a8_pair_scores", RO, KEPT, *mentions("kp"),
        final=f"""SELECT m.product_id, m.review_id, m.sent_no, m.clause_no, "start", aspect,
-         CASE WHEN strpos(sentence, term) BETWEEN 1 AND 10 OR strpos(sentence, term) = 0 THEN 0.9 ELSE 0.1 END AS score
+         CASE WHEN strpos(sentence, term) BETWEEN 1 AND 10 OR strpos(sentence, term) = 0 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS score
          FROM me m JOIN se USING (product_id, review_id, sent_no)""")
 
 # --------------------------------------------------------------------------- report
@@ -654,7 +654,7 @@ oracle("r6_threshold_grid", *SC,
        final=stats("gr", "threshold", "product_id, threshold"))
 oracle("r7_report", *SC, "rs AS (" + stats("sc", "0.5", "product_id") + ")", "kp AS (SELECT * FROM sc WHERE p < 0.5)",
        *digest("kp", "(SELECT DISTINCT product_id FROM sc)"),
-       *[c.replace("ca_s AS", "ca_s AS") for c in mentions("kp")], *opinions(),
+       *mentions("kp"), *opinions(),
        """vd AS (SELECT product_id, string_agg(aspect || ': ' || verdict, '; ' ORDER BY mentions DESC, aspect) AS verdicts
          FROM ar GROUP BY product_id)""", recursive=True,
        final="""SELECT product_id, n_total, n_fake, pct_fake, raw_avg_rating, genuine_avg_rating, genuine_positive,

@@ -163,32 +163,32 @@ def n1_phrase_score(spark, d):
 def n5_token_values(spark, d):
     """Value of every scored token after booster, negation and contrast."""
     return reviews_orders(spark, d).select(
-        "review_id", F.explode(sent.token_sentiment(F.col("text"))).alias("t")).select(
+        "review_id", F.explode(sent.token_sentiment("text")).alias("t")).select(
         "review_id", "t.token", r6("t.contribution", "value"))
 
 
 @query
 def n7_sentiment(spark, d):
-    return reviews_orders(spark, d).select("review_id", r6(sent.sentiment(F.col("text")), "sentiment"))
+    return reviews_orders(spark, d).select("review_id", r6(sent.sentiment("text"), "sentiment"))
 
 
 @query
 def n7_sentiment_docs(spark, d):
-    return reviews_docs(spark, d).select("review_id", r6(sent.sentiment(F.col("text")), "sentiment"))
+    return reviews_docs(spark, d).select("review_id", r6(sent.sentiment("text"), "sentiment"))
 
 
 @query
 def n_product_words(spark, d):
     """Which words drive the sentiment of each product."""
     return reviews_orders(spark, d).select(
-        "product_id", F.explode(sent.token_sentiment(F.col("text"))).alias("t")).groupBy(
+        "product_id", F.explode(sent.token_sentiment("text")).alias("t")).groupBy(
         "product_id", "t.token").agg(F.count("*").alias("n"), F.sum("t.contribution").alias("total")).select(
         "product_id", "token", "n", r6("total"))
 
 
 # --------------------------------------------------------------------------- features
 def _style(reviews):
-    return rounded(reviews.select("review_id", sty.style(F.col("text")).alias("s")).select("review_id", "s.*"),
+    return rounded(reviews.select("review_id", sty.style("text").alias("s")).select("review_id", "s.*"),
                    *lx.STYLE_FEATURES)
 
 
@@ -204,7 +204,7 @@ def f_style_docs(spark, d):
 
 @query
 def f21_f22_rating(spark, d):
-    score = sent.sentiment(F.col("text"))
+    score = sent.sentiment("text")
     return reviews_orders(spark, d).select("review_id", "rating", score.alias("s")).select(
         "review_id", r6(sty.rating_extremity(F.col("rating")), "rating_extremity"),
         r6(sty.rating_mismatch(F.col("rating"), F.col("s")), "rating_mismatch"))
