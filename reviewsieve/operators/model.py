@@ -214,11 +214,15 @@ def fit(labelled: DataFrame, c: float = lx.INVERSE_REGULARISATION, max_features:
 def ablation(table: TrainingTable, test: DataFrame, external: DataFrame | None = None) -> DataFrame:
     """(model, accuracy, f1, auc) for both blocks, text only and dense only; plus the fused model."""
     from .metrics import compare
+    test = materialize(test, "test")
+    external = materialize(external, "external") if external is not None else None
+    lp = materialize(log_perplexity(test, table.language), "perplexity")
     variants = {"text and dense": (True, True), "text only": (True, False), "dense only": (False, True)}
     scored = {}
     for name, (text, dense) in variants.items():
         model = fit_table(table, use_text=text, use_dense=dense)
-        scored[name] = model.score(test, explained=False).select("label", "fake_prob")
+        scored[name] = model.score(test, perplexity=lp, explained=False).select("label", "fake_prob")
         if external is not None and text and dense:
-            scored["fused"] = model.score(test, external=external, explained=False).select("label", "fake_prob")
+            scored["fused"] = model.score(
+                test, external=external, perplexity=lp, explained=False).select("label", "fake_prob")
     return compare(scored)

@@ -43,6 +43,7 @@ class Vectorizer:
 
     terms: list[str] = field(default_factory=list)
     idf: list[float] = field(default_factory=list)
+    _counter: CountVectorizerModel | None = field(default=None, repr=False, compare=False)
 
     @classmethod
     def fit(cls, reviews: DataFrame, max_features: int = lx.MAX_FEATURES, **limits) -> Vectorizer:
@@ -60,8 +61,9 @@ class Vectorizer:
         if not self.terms:
             return reviews.withColumn(name, F.struct(F.array().cast("array<int>").alias("indices"),
                                                      F.array().cast("array<double>").alias("values")))
-        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts")
-        counts = counter.transform(reviews.withColumn("_terms", terms(F.col("text"))))
+        if self._counter is None:  # handing the vocabulary to the JVM takes a while, so once per object
+            self._counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts")
+        counts = self._counter.transform(reviews.withColumn("_terms", terms(F.col("text"))))
         weights = doubles(self.idf)
 
         def build(v: Column) -> Column:
