@@ -8,9 +8,14 @@ rounds, and a process ends as soon as its time passes the latest register, so mo
 
 Registers are banded; documents that share a band are candidates, and a candidate pair is a link if the multisets
 overlap enough. Exact copies (equal word sequences) are one node. Classes are the connected components of the links.
-To lose no link between different texts without forming all pairs of a group: in rounds, each bucket that holds more
-than one component compares its members with one of them (another in each round); once such a round finds nothing new,
-all pairs of members of different components that are left are compared. Pairs inside a component cannot change it.
+
+No pairs of a group are formed, and yet no link is lost. Every member of a group is compared with one leader whose bag
+is no larger than any of the group. Let u and v be a link, and let them share nothing outside the leader L. Then
+|u & v| <= |u & L| and <= |v & L|, and as L is the smallest, both u and v are links of L: they are in one component
+already. So a link that is still missing shares a shingle outside the leader. The members of groups that hold several
+components are grouped anew by (leader, shingle outside the leader), and so on until no group holds two components.
+How many such shingles a missing link must share follows from the overlap with the leader, so a prefix of them in
+the order of their hashes is enough.
 
 Spill: bands and pairs carry 16-byte hashes; texts are fetched only for the nodes in candidate pairs. Intermediate
 tables are written below ``spark.checkpoint.dir``.
@@ -27,16 +32,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewsieve.session import materialize
 
-from .common import WORD_TABLE, chunks
+from .common import WORD_TABLE, chunks, schema
 
 SHINGLE = 5
 THRESHOLD = (4, 5)     # similarity of 0.8 or more, as a fraction
 REGISTERS = 128
 ROWS = 4               # registers of a band; at similarity 0.8 a pair shares no band with probability 5e-8
-MAX_STAR_ROUNDS = 8
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, _U)
@@ -149,18 +154,21 @@ def _node(blob: bytes) -> bytes | None:
     return hashlib.md5(blob).digest() if blob else None
 
 
-@F.pandas_udf("node binary, bands array<long>")
+@F.pandas_udf(schema(node=T.BinaryType(), size=T.LongType(), bands=T.ArrayType(T.LongType())))
 def _sign(texts: pd.Series) -> pd.DataFrame:
-    nodes, keys = [], []
+    nodes, sizes, keys = [], [], []
     for part in chunks(texts, 1 << 21):
         blobs = [normalised(t) for t in part]
-        found = bands(signatures(*bags(blobs), len(blobs)))
+        owner, shingles, weights = bags(blobs)
+        found = bands(signatures(owner, shingles, weights, len(blobs)))
+        sizes += np.bincount(owner, weights, minlength=len(blobs)).astype(int).tolist()
         nodes += [_node(b) for b in blobs]
         keys += [k if b else None for k, b in zip(found, blobs)]
-    return pd.DataFrame({"node": pd.Series(nodes, dtype=object), "bands": pd.Series(keys, dtype=object)})
+    return pd.DataFrame({"node": pd.Series(nodes, dtype=object), "size": pd.Series(sizes, dtype="int64"),
+                         "bands": pd.Series(keys, dtype=object)})
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def node_of(texts: pd.Series) -> pd.Series:
     """Identity of a text's word sequence; null for texts without words."""
     return pd.Series([_node(normalised(t)) if t else None for t in texts], dtype=object)
@@ -173,17 +181,43 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return shared, int(a[1].sum() + b[1].sum()) - shared
 
 
-@F.pandas_udf("shared long, united long")
-def _compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    rows = []
+def _pairs_of_bags(left: pd.Series, right: pd.Series):
+    """The bags of both texts of each row; a text that stands in many rows is shingled once per 256 rows."""
     for at in range(0, len(left), 256):
         a, b = left.iloc[at:at + 256].tolist(), right.iloc[at:at + 256].tolist()
         number = {t: k for k, t in enumerate(dict.fromkeys(a + b))}
         texts, shingles, weights = bags([normalised(t) for t in number])
         cuts = np.searchsorted(texts, np.arange(len(number) + 1))
         own = [(shingles[s:e], weights[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
-        rows += [overlap(own[number[x]], own[number[y]]) for x, y in zip(a, b)]
-    return pd.DataFrame(rows, columns=["shared", "united"])
+        yield from ((own[number[x]], own[number[y]]) for x, y in zip(a, b))
+
+
+@F.pandas_udf(schema(shared=T.LongType(), united=T.LongType()))
+def _compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([overlap(x, y) for x, y in _pairs_of_bags(left, right)], columns=["shared", "united"])
+
+
+def outside(bag: tuple[np.ndarray, np.ndarray], leader: tuple[np.ndarray, np.ndarray],
+            threshold: tuple[int, int]) -> np.ndarray:
+    """Prefix of the shingle copies outside the leader of which a link that is still missing must share one."""
+    _, i, j = np.intersect1d(bag[0], leader[0], assume_unique=True, return_indices=True)
+    from_copy = np.zeros(len(bag[0]), np.int64)
+    from_copy[i] = np.minimum(leader[1][j], bag[1][i])
+    shared, more = int(from_copy.sum()), bag[1] - from_copy
+    which = np.repeat(np.arange(len(more)), more)
+    copy = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + from_copy[which]
+    extra = np.sort(_mix(bag[0][which] + copy.astype(_U) * _U(0xE7037ED1A0B428DB)).view(np.int64))
+    top, bottom = threshold
+    needed = -(-top * int(bag[1].sum() + leader[1].sum()) // (top + bottom)) - shared
+    return extra[:max(0, len(extra) - max(1, needed) + 1)]
+
+
+def _outside(threshold: tuple[int, int]):
+    @F.pandas_udf("array<long>")
+    def extras(left: pd.Series, leaders: pd.Series) -> pd.Series:
+        return pd.Series([outside(x, y, threshold) for x, y in _pairs_of_bags(left, leaders)], dtype=object)
+
+    return extras.asNondeterministic()
 
 
 def is_link(threshold: tuple[int, int] = THRESHOLD) -> Column:
@@ -194,18 +228,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes in the links (a, b); the label is the smallest node of the component.
 
     Each round takes the smallest label among a node and its neighbours, then the label of that label, so chains
-    shorten by half. Only labels that can still change travel; a round is one written table.
+    shorten by half. A round is one written table.
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "link-ends")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")),
+                         "labels")
     while True:
-        labels = materialize(labels, "labels")
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a")).select(
             "node", "label", F.least("label", "near").alias("low"))
         above = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         moved = materialize(lower.join(above, F.col("low") == F.col("_n"), "left").select(
-            "node", "label", F.least("low", F.coalesce("_l", "low")).alias("next")), "moved")
+            "node", "label", F.least("low", F.coalesce("_l", "low")).alias("next")), "labels")
         if moved.filter(F.col("label") != F.col("next")).isEmpty():
             return labels
         labels = moved.select("node", F.col("next").alias("label"))
@@ -216,53 +250,57 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per distinct word sequence: node, smallest id, rows with that id, rows, and the class's label."""
     signed = docs.select(F.col(id_col).alias("id"), _sign.asNondeterministic()(F.col(text_col)).alias("s"))
     rows = signed.filter("s.node is not null").groupBy(F.col("s.node").alias("node"), "id").agg(
-        F.count("*").alias("n"), F.first("s.bands").alias("bands"))
+        F.count("*").alias("n"), F.first("s.size").alias("size"), F.first("s.bands").alias("bands"))
     nodes = materialize(rows.groupBy("node").agg(
-        F.min(F.struct("id", "n")).alias("k"), F.sum("n").alias("n"), F.first("bands").alias("bands")).select(
-        "node", F.col("k.id").alias("id"), F.col("k.n").alias("copies"), "n", "bands"), "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+        F.min(F.struct(F.col("id").isNull(), "id", "n")).alias("k"), F.sum("n").alias("n"), F.first("size").alias("size"),
+        F.first("bands").alias("bands")).select(
+        "node", F.col("k.id").alias("id"), F.col("k.n").alias("copies"), "n", "size", "bands"), "nodes")
+    keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     members = materialize(keyed.join(shared, "key"), "members")
 
     candidates = members.select("node").distinct()
     texts = docs.select(F.col(text_col).alias("text"), node_of.asNondeterministic()(F.col(text_col)).alias("node"))
-    texts = texts.join(candidates, "node").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "candidate-texts")
+    texts = materialize(texts.join(candidates, "node").groupBy("node").agg(F.first("text").alias("text")),
+                        "candidate-texts")
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"))
 
-    labels, tested, complete, rounds = None, None, False, 0
+    # First the smallest bag that a member of the group shares any group with: few leaders, each of many groups.
+    first = members.groupBy("key").agg(F.min(F.struct("size", "node")).alias("lead"))
+    of_node = members.join(first, "key").groupBy("node").agg(F.min("lead").alias("lead"))
+    leads = members.join(of_node, "node").groupBy("key").agg(F.min("lead").alias("lead"))
+    labels, tested = None, None
     while True:
-        placed = members.withColumn("label", F.col("node")) if labels is None else (
-            members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        mixed = placed.groupBy("key").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"),
-            F.min(F.struct(F.xxhash64("node", F.lit(rounds)) if rounds else F.lit(0), "node", "label")).alias("lead"))
-        mixed = mixed.filter("lo != hi")
-        if complete:
-            open_keys = mixed.select("key")
-            left, right = placed.join(open_keys, "key"), placed.join(open_keys, "key")
-            pairs = left.alias("x").join(right.alias("y"), "key").filter("x.label < y.label").select(
-                F.col("x.node").alias("p"), F.col("y.node").alias("q"))
-        else:
-            pairs = placed.join(mixed.select("key", "lead"), "key").filter("label != lead.label").select(
-                F.col("lead.node").alias("p"), F.col("node").alias("q"))
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        led = materialize(members.join(leads.select("key", F.col("lead.node").alias("leader")), "key"), "led")
+        pairs = led.filter("node != leader").select(
+            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        ends = texts.select(F.col("node"), F.col("text"))
-        compared = (pairs.join(ends.toDF("a", "text_a"), "a").join(ends.toDF("b", "text_b"), "b")
-                    .withColumn("c", _compare.asNondeterministic()("text_a", "text_b"))
-                    .select("a", "b", "c.shared", "c.united"))
-        compared = materialize(compared, "pairs")
+        compared = materialize(with_texts(pairs).withColumn(
+            "c", _compare.asNondeterministic()("text_a", "text_b")).select("a", "b", "c.shared", "c.united"), "pairs")
         tested = compared.select("a", "b") if tested is None else tested.union(compared.select("a", "b"))
-        links = compared.filter(is_link(threshold))
-        found = not links.isEmpty()
-        if found:
-            known = None if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-            labels = components(links.select("a", "b") if known is None else known.union(links.select("a", "b")))
-        rounds += 1
-        if complete:
+        links = compared.filter(is_link(threshold)).select("a", "b")
+        if not links.isEmpty():
+            if labels is not None:
+                links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+            labels = components(links)
+        placed = led.withColumn("label", F.col("node")) if labels is None else (
+            led.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+        open_members = placed.join(mixed.select("key"), "key").filter("node != leader")
+        # groups of one leader are grouped anew together; the place a group came from no longer matters
+        families = open_members.select(F.col("node").alias("a"), F.col("leader").alias("b"), "label", "size").distinct()
+        extras = with_texts(families).select(
+            F.col("a").alias("node"), F.col("b").alias("leader"), "label", "size",
+            F.explode(_outside(threshold)("text_a", "text_b")).alias("extra"))
+        extras = materialize(extras.select("node", "size", "label", F.xxhash64("leader", "extra").alias("key")), "extras")
+        open_keys = extras.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+        members = materialize(extras.join(open_keys.select("key"), "key").select("node", "size", "key"), "members")
+        if members.isEmpty():
             break
-        complete = not found or rounds >= MAX_STAR_ROUNDS
+        leads = members.groupBy("key").agg(F.min(F.struct("size", "node")).alias("lead"))
     plain = nodes.select("node", "id", "copies", "n")
     if labels is None:
         return plain.withColumn("label", F.col("node"))
@@ -284,9 +322,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One document of each class: the one with the smallest id (a null id before all). Documents without words stay."""
+    """One document of each class: the one with the smallest id (a null id after all). Documents without words stay."""
     classes = materialize(link_classes(docs, id_col, text_col, threshold), "classes")
-    best = classes.groupBy("label").agg(F.min(F.struct("id", "node", "copies")).alias("k"))
+    best = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "node", "copies")).alias("k"))
     keep = materialize(best.select(F.col("k.node").alias("_keep_node"), F.col("k.id").alias("_keep_id"),
                                    F.col("k.copies").alias("_copies")), "keep")
     marked = docs.withColumn("_node", node_of.asNondeterministic()(F.col(text_col)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import types as T
 
 # Separators become spaces, A-Z lower case; digits, letters and every byte of a non-ASCII character stay.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -27,3 +28,8 @@ def chunks(texts: pd.Series, size: int = 4 << 20) -> Iterator[list[str]]:
         n += len(text)
     if held:
         yield held
+
+
+def schema(**fields: T.DataType) -> T.StructType:
+    """A struct type that needs no session yet, unlike a type given as a string."""
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])

@@ -18,9 +18,12 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewsieve.session import materialize
 
+from .common import schema
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
       |<(script|style|noscript|template|iframe|svg|textarea|select|title|head)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)
@@ -154,12 +157,12 @@ def main_text(blocks: list[tuple[tuple[str, ...], str, float]], winner: str | No
     return "", ""
 
 
-@F.pandas_udf("path string, score double")
+@F.pandas_udf(schema(path=T.StringType(), score=T.DoubleType()))
 def _vote(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([best_container(read_blocks(p)) if p else ("", 0.0) for p in pages], columns=["path", "score"])
 
 
-@F.pandas_udf("text string, path string")
+@F.pandas_udf(schema(text=T.StringType(), path=T.StringType()))
 def _extract(pages: pd.Series, winners: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([main_text(read_blocks(p), w) if p else ("", "") for p, w in zip(pages, winners)],
                         columns=["text", "path"])
