@@ -9,15 +9,13 @@ rounds, and a process ends as soon as its time passes the latest register, so mo
 Registers are banded; documents that share a band are candidates, and a candidate pair is a link if the multisets
 overlap enough. Exact copies (equal word sequences) are one node. Classes are the connected components of the links.
 
-No pairs of a group are formed, and yet no link is lost. Every member of a group is compared with one leader whose bag
-is no larger than any of the group. Let u and v be a link, and let them share nothing outside the leader L. Then
-|u & v| <= |u & L| and <= |v & L|, and as L is the smallest, both u and v are links of L: they are in one component
-already. So a link that is still missing shares a shingle outside the leader. The members of groups that hold several
-components are grouped anew by (leader, shingle outside the leader), and so on until no group holds two components.
-How many such shingles a missing link must share follows from the overlap with the leader, so a prefix of them in
-the order of their hashes is enough.
-
-Spill: bands and pairs carry 16-byte hashes; texts are fetched only for the nodes in candidate pairs. Intermediate
+To lose no link without emitting the pairs of a group: first, in a few rounds, the members of each group are compared
+with the group's most central member, which joins most of a family of copies. Groups that still hold several components
+are gathered by their central member, and each of their members outside the largest component is held against all
+others through an inverted index of shingles, in tasks of two blocks of bounded size. Only links leave these tasks.
+Pairs inside a component are not looked at, since they cannot change it.
+
+Bands and pairs carry 16-byte hashes; texts are fetched only for the nodes in candidate pairs. Intermediate
 tables are written below ``spark.checkpoint.dir``.
 
 Defined cases: texts without words (null, empty) are classes of their own; a text of one to four words is one shingle;
@@ -41,6 +39,8 @@ from .common import WORD_TABLE, chunks, schema
 SHINGLE = 5
 THRESHOLD = (4, 5)     # similarity of 0.8 or more, as a fraction
 REGISTERS = 128
+ROUNDS = 3             # of comparisons with central members
+BLOCK = 2048           # nodes of one side in a task of the last comparison
 ROWS = 4               # registers of a band; at similarity 0.8 a pair shares no band with probability 5e-8
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -197,27 +197,47 @@ def _compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([overlap(x, y) for x, y in _pairs_of_bags(left, right)], columns=["shared", "united"])
 
 
-def outside(bag: tuple[np.ndarray, np.ndarray], leader: tuple[np.ndarray, np.ndarray],
-            threshold: tuple[int, int]) -> np.ndarray:
-    """Prefix of the shingle copies outside the leader of which a link that is still missing must share one."""
-    _, i, j = np.intersect1d(bag[0], leader[0], assume_unique=True, return_indices=True)
-    from_copy = np.zeros(len(bag[0]), np.int64)
-    from_copy[i] = np.minimum(leader[1][j], bag[1][i])
-    shared, more = int(from_copy.sum()), bag[1] - from_copy
-    which = np.repeat(np.arange(len(more)), more)
-    copy = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + from_copy[which]
-    extra = np.sort(_mix(bag[0][which] + copy.astype(_U) * _U(0xE7037ED1A0B428DB)).view(np.int64))
-    top, bottom = threshold
-    needed = -(-top * int(bag[1].sum() + leader[1].sum()) // (top + bottom)) - shared
-    return extra[:max(0, len(extra) - max(1, needed) + 1)]
-
+def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The bag as a set: each copy of a shingle is an element of its own."""
+    shingles, weights = bag
+    which = np.repeat(np.arange(len(weights)), weights)
+    copy = np.arange(len(which)) - np.repeat(np.cumsum(weights) - weights, weights)
+    return _mix(shingles[which] + copy.astype(_U) * _U(0xE7037ED1A0B428DB))
 
-def _outside(threshold: tuple[int, int]):
-    @F.pandas_udf("array<long>")
-    def extras(left: pd.Series, leaders: pd.Series) -> pd.Series:
-        return pd.Series([outside(x, y, threshold) for x, y in _pairs_of_bags(left, leaders)], dtype=object)
 
-    return extras.asNondeterministic()
+def block_links(left: pd.DataFrame, right: pd.DataFrame, threshold: tuple[int, int]) -> pd.DataFrame:
+    """Links between the rows of both sides that are in one unit and have different labels."""
+    top, bottom = threshold
+    out: list[tuple[bytes, bytes]] = []
+    units = dict(list(right.groupby("unit")))
+    for unit, asked in left.groupby("unit"):
+        if unit not in units:
+            continue
+        others = units[unit]
+        sets = [[elements(b) for b in _bags_of(side["text"])] for side in (asked, others)]
+        sizes = np.array([len(e) for e in sets[1]])
+        everything = np.concatenate(sets[1])
+        order = np.argsort(everything, kind="stable")
+        holder, everything = np.repeat(np.arange(len(sizes)), sizes)[order], everything[order]
+        labels, nodes = others["label"].to_numpy(), others["node"].to_numpy()
+        for node, label, own in zip(asked["node"], asked["label"], sets[0]):
+            low, high = np.searchsorted(everything, own, "left"), np.searchsorted(everything, own, "right")
+            n = high - low
+            places = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+            shared = np.bincount(holder[places], minlength=len(sizes))
+            for k in np.flatnonzero(shared * (top + bottom) >= top * (len(own) + sizes)):
+                if labels[k] != label:
+                    out.append((min(node, nodes[k]), max(node, nodes[k])))
+    return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+
+
+def _bags_of(texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for part in chunks(texts, 1 << 21):
+        owner, shingles, weights = bags([normalised(t) for t in part])
+        cuts = np.searchsorted(owner, np.arange(len(part) + 1))
+        out += [(shingles[s:e], weights[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
+    return out
 
 
 def is_link(threshold: tuple[int, int] = THRESHOLD) -> Column:
@@ -267,40 +287,67 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def with_texts(pairs: DataFrame) -> DataFrame:
         return (pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"))
 
-    # First the smallest bag that a member of the group shares any group with: few leaders, each of many groups.
-    first = members.groupBy("key").agg(F.min(F.struct("size", "node")).alias("lead"))
-    of_node = members.join(first, "key").groupBy("node").agg(F.min("lead").alias("lead"))
-    leads = members.join(of_node, "node").groupBy("key").agg(F.min("lead").alias("lead"))
     labels, tested = None, None
-    while True:
-        led = materialize(members.join(leads.select("key", F.col("lead.node").alias("leader")), "key"), "led")
-        pairs = led.filter("node != leader").select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+    def mixed_members() -> DataFrame:
+        """Members of the groups that hold several components, with their label and the group's largest one."""
+        placed = members.withColumn("label", F.col("node")) if labels is None else (
+            members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        shares = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
+        largest = shares.groupBy("key").agg(
+            F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("labels"))
+        return placed.join(largest.filter("labels > 1").select("key", "m", F.col("top.label").alias("largest")), "key")
+
+    def central(pool: DataFrame) -> DataFrame:
+        """The member of each group that is in the largest groups altogether: the closest to what they share."""
+        known = pool.groupBy("node").agg(F.sum("m").alias("standing"), F.first("label").alias("label"))
+        return pool.select("key", "node").join(known, "node").groupBy("key").agg(
+            F.max(F.struct("standing", "node", "label")).alias("lead"))
+
+    def merge(links: DataFrame) -> DataFrame:
+        if labels is not None:
+            links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return components(links)
+
+    for number in range(ROUNDS):
+        open_members = materialize(mixed_members(), "open-members")
+        leads = central(open_members if not number else open_members.filter("label != largest"))
+        pairs = open_members.join(leads, "key").filter("label != lead.label").select(
+            F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         compared = materialize(with_texts(pairs).withColumn(
             "c", _compare.asNondeterministic()("text_a", "text_b")).select("a", "b", "c.shared", "c.united"), "pairs")
         tested = compared.select("a", "b") if tested is None else tested.union(compared.select("a", "b"))
         links = compared.filter(is_link(threshold)).select("a", "b")
-        if not links.isEmpty():
-            if labels is not None:
-                links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-            labels = components(links)
-        placed = led.withColumn("label", F.col("node")) if labels is None else (
-            led.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-        open_members = placed.join(mixed.select("key"), "key").filter("node != leader")
-        # groups of one leader are grouped anew together; the place a group came from no longer matters
-        families = open_members.select(F.col("node").alias("a"), F.col("leader").alias("b"), "label", "size").distinct()
-        extras = with_texts(families).select(
-            F.col("a").alias("node"), F.col("b").alias("leader"), "label", "size",
-            F.explode(_outside(threshold)("text_a", "text_b")).alias("extra"))
-        extras = materialize(extras.select("node", "size", "label", F.xxhash64("leader", "extra").alias("key")), "extras")
-        open_keys = extras.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-        members = materialize(extras.join(open_keys.select("key"), "key").select("node", "size", "key"), "members")
-        if members.isEmpty():
+        if links.isEmpty():
             break
-        leads = members.groupBy("key").agg(F.min(F.struct("size", "node")).alias("lead"))
+        labels = merge(links)
+
+    # What may still be missing: between components that share a group.
+    open_members = mixed_members()
+    family = open_members.join(central(open_members).select("key", F.col("lead.node").alias("family")), "key").groupBy(
+        "family", "node").agg(F.first("label").alias("label"))
+    family = materialize(family, "families")
+    shares = family.groupBy("family", "label").agg(F.count("*").alias("m")).groupBy("family").agg(
+        F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"))
+    sized = family.join(shares.select(
+        "family", F.col("top.label").alias("largest"), F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")), "family")
+    sized = sized.join(texts, "node")
+    bins = max(1, family.count() // BLOCK)
+    block, every = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    unit = lambda x, y: F.xxhash64("family", x, y).alias("unit")
+    asked = sized.filter("label != largest").select("*", every.alias("other")).select(
+        unit(block, F.col("other").cast("long")), "node", "label", "text")
+    others = sized.select("*", every.alias("other")).select(
+        unit(F.col("other").cast("long"), block), "node", "label", "text").toDF("unit", "node", "label", "text")
+    asked = asked.toDF("unit", "node", "label", "text")
+    dealt = F.pmod(F.xxhash64("unit"), F.lit(bins)).alias("bin")
+    links = asked.groupBy(dealt).cogroup(others.groupBy(dealt)).applyInPandas(
+        lambda left, right: block_links(left, right, threshold), "a binary, b binary")
+    links = materialize(links, "late-links")
+    if not links.isEmpty():
+        labels = merge(links)
     plain = nodes.select("node", "id", "copies", "n")
     if labels is None:
         return plain.withColumn("label", F.col("node"))
