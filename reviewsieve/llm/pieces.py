@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-The piece lattice of a text falls apart where no piece of the vocabulary reaches across: before a space mark that
-follows other text, and around line breaks. In each part the forward Viterbi scores are computed; they are the exact
-heuristic of an A* search that runs backward from the end and so yields the best segmentations in order. The forward
-and backward scores together tell how much the second-best path of a part costs, so a text's N best segmentations need
-the search only in the N-1 parts where a deviation is cheapest; all others keep their best path.
+The piece lattice of a text falls apart where no piece of the vocabulary reaches across, such as before a space mark
+that follows other text. In each part the forward Viterbi scores are computed; they are the exact heuristic of an A*
+search that runs backward from the end and so yields the best segmentations in order. The forward pass also keeps the
+score of the second-best path, so a text's N best segmentations need the search only in the N-1 words where a deviation
+is cheapest; all others keep their best path.
 
 The vocabulary comes from a public model file, whose path is a parameter. The file's pieces carry ranks, not
 probabilities; the lattice takes a Zipf law over the ranks (``piece_scores``). Characters without a piece, and a
@@ -53,108 +53,120 @@ def piece_scores(pieces: Sequence[tuple[str, float, bool]]) -> list[float]:
     return out
 
 
-class Lattice:
-    """Forward scores and edges of one part of a text."""
-
-    def __init__(self, part: str, table: dict, bytes_of: dict, byte_score: float):
-        n = len(part)
-        self.ends: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        forward = [0.0] + [-math.inf] * n
-        back: list = [None] * (n + 1)
-        get = table.get
-        for i in range(n):
-            base, j, single = forward[i], i + 1, False
-            while j <= n:
-                found = get(part[i:j])
-                if found is None:
-                    break
-                if found[1]:
-                    single = single or j == i + 1
-                    self.ends[j].append((i, found[0], found[1]))
-                    if base + found[0] > forward[j]:
-                        forward[j], back[j] = base + found[0], (i, found[1])
-                j += 1
-            if not single:
-                spelled = tuple(bytes_of[b] for b in part[i].encode())
-                score = byte_score * len(spelled)
-                self.ends[i + 1].append((i, score, spelled))
-                if base + score > forward[i + 1]:
-                    forward[i + 1], back[i + 1] = base + score, (i, spelled)
-        self.n, self.forward, self.back = n, forward, back
-
-    def best(self) -> tuple[tuple[int, ...], float, float]:
-        """Ids and score of the best path, and what the second-best costs beyond it."""
-        path, at, ids = set(), self.n, []
-        while at:
-            start, piece = self.back[at]
-            path.add((start, at))
-            ids.append(piece)
-            at = start
-        forward, top = self.forward, self.forward[self.n]
-        backward = [-math.inf] * self.n + [0.0]
-        second = -math.inf
-        for j in range(self.n, 0, -1):
-            rest = backward[j]
-            for i, score, _ in self.ends[j]:
-                value = score + rest
-                if value > backward[i]:
-                    backward[i] = value
-                value += forward[i]
-                if value > second and (i, j) not in path:
-                    second = value
-        return tuple(itertools.chain.from_iterable(reversed(ids))), top, max(0.0, top - second)
-
-    def n_best(self, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths in order: A* backward from the end, the forward score of a node as exact heuristic."""
-        order = itertools.count()
-        agenda = [(-self.forward[self.n], next(order), 0.0, self.n, ())]
-        found: list[tuple[float, tuple[int, ...]]] = []
-        while agenda and len(found) < n:
-            _, _, cost, at, path = heapq.heappop(agenda)
-            if at == 0:
-                found.append((cost, tuple(itertools.chain.from_iterable(path))))
-                continue
-            for start, score, piece in self.ends[at]:
-                total = cost + score
-                heapq.heappush(agenda, (-(total + self.forward[start]), next(order), total, start, (piece, *path)))
-        return found
-
-
 class Codec:
     """Encoder and decoder over a list of pieces and their scores."""
 
     def __init__(self, pieces: Sequence[tuple[str, float, bool]], scores: Sequence[float] | None = None):
         scores = list(scores or piece_scores(pieces))
-        self.bytes_of = {int(p[3:-1], 16): i for i, (p, _, byte) in enumerate(pieces) if byte}
-        if len(self.bytes_of) < 256:
+        self.kind = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
+        bytes_of = {int(p[3:-1], 16): i for i, (p, _, byte) in enumerate(pieces) if byte}
+        if len(bytes_of) < 256:
             raise ValueError("the vocabulary needs the 256 byte pieces")
-        self.byte_score = scores[self.bytes_of[0]]
-        table: dict[str, tuple[float, tuple[int, ...]]] = {}
+        self.byte_score = scores[bytes_of[0]]
+        self.packed_byte = [self.pack([bytes_of[b]]) for b in range(256)]
+        # a node of the piece tree: its children, and score and id of the piece that ends there
+        self.tree: dict[str, list] = {}
         for i, (p, _, byte) in enumerate(pieces):
             if p and not byte:
-                table[p] = (scores[i], (i,))
-                for j in range(1, len(p)):
-                    table.setdefault(p[:j], (0.0, ()))
-        self.table = table
+                node: list = [self.tree, 0.0, None]
+                for char in p:
+                    node = node[0].setdefault(char, [{}, 0.0, None])
+                node[1:] = [scores[i], self.pack([i])]
         self.text_of = [b"" if not p else bytes([int(p[3:-1], 16)]) if byte else p.replace(MARK, " ").encode()
                         for p, _, byte in pieces]
         whole = [p for p, _, byte in pieces if p and not byte]
+        self.joined = {p[k:k + 2] for p in whole for k in range(len(p) - 1)}
         crosses = any(re.search(f"[^{MARK}]{MARK}", p) for p in whole)
-        breaks = "" if any("\n" in p for p in whole) else "\n"
-        # where no piece reaches across; one part if pieces reach across space marks
-        self.part = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (f"|{breaks}" if breaks else "")
-                               if not crosses else "[\\s\\S]+")
-        self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
-        self.mark_bytes = tuple(self.bytes_of[b] for b in MARK.encode())
+        # words with their space mark, or the whole text if pieces reach across space marks
+        self.part = re.compile("[\\s\\S]+" if crosses else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.known: dict[str | None, tuple[bytes, float, float]] = {}
+        self.small: dict[str, tuple[bytes, float, float]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "small": {}}
 
-    def lattice(self, part: str) -> Lattice:
-        return Lattice(part, self.table, self.bytes_of, self.byte_score)
+    def pack(self, ids) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def unpack(self, packed: bytes) -> np.ndarray:
+        return np.frombuffer(packed, self.kind)
+
+    def spelled(self, char: str) -> tuple[float, bytes]:
+        """A character without a piece: score and ids of its bytes."""
+        raw = char.encode()
+        return self.byte_score * len(raw), b"".join([self.packed_byte[b] for b in raw])
+
+    def viterbi(self, part: str) -> tuple[bytes, float, float]:
+        """Ids and score of the best path, and what the second-best costs beyond it."""
+        n, tree = len(part), self.tree
+        forward, second = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
+        begin, ids = [0] * (n + 1), [b""] * (n + 1)
+        for i in range(n):
+            base, children, j = forward[i], tree, i
+            if (first := tree.get(part[i])) is None or first[2] is None:
+                score, piece = self.spelled(part[i])
+                edges = [(i + 1, score, piece)]
+            else:
+                edges = []
+            for char in part[i:]:
+                node = children.get(char)
+                if node is None:
+                    break
+                children, score, piece = node
+                j += 1
+                if piece is not None:
+                    edges.append((j, score, piece))
+            for j, score, piece in edges:
+                value = base + score
+                if value > forward[j]:
+                    other = second[i] + score
+                    second[j] = forward[j] if forward[j] > other else other
+                    forward[j], begin[j], ids[j] = value, i, piece
+                elif value > second[j]:
+                    second[j] = value
+        path, at = [], n
+        while at:
+            path.append(ids[at])
+            at = begin[at]
+        path.reverse()
+        return b"".join(path), forward[n], forward[n] - second[n]
+
+    def n_best(self, part: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best paths in order: A* backward from the end, with the forward Viterbi score of a place as the exact
+        heuristic of the way that is left. Of equal paths the one that ``viterbi`` takes comes first."""
+        size = len(part)
+        ends: list[list[tuple[int, float, bytes]]] = [[] for _ in range(size + 1)]
+        forward = [0.0] + [-math.inf] * size
+        for i in range(size):
+            children, j = self.tree, i
+            if (first := children.get(part[i])) is None or first[2] is None:
+                ends[i + 1].append((i, *self.spelled(part[i])))
+            for char in part[i:]:
+                node = children.get(char)
+                if node is None:
+                    break
+                children = node[0]
+                j += 1
+                if node[2] is not None:
+                    ends[j].append((i, node[1], node[2]))
+            forward[i + 1] = max(forward[k] + score for k, score, _ in ends[i + 1])
+        order = itertools.count()
+        agenda = [(-forward[size], next(order), 0.0, size, ())]
+        found: list[tuple[float, bytes]] = []
+        while agenda and len(found) < n:
+            _, _, score, at, path = heapq.heappop(agenda)
+            if at == 0:
+                found.append((score, b"".join(path)))
+                continue
+            for start, more, piece in ends[at]:
+                heapq.heappush(agenda, (-(score + more + forward[start]), next(order), score + more, start, (piece, *path)))
+        best, top, _ = self.viterbi(part)
+        return [(top, best), *(f for f in found if f[1] != best)][:n]
 
     def parts(self, text: str) -> list[str | None]:
-        """Parts of the marked text; None is a space mark that stood in the text itself."""
+        """Words of the marked text; None is a space mark that stood in the text itself."""
+        if MARK not in text:
+            return self.part.findall(MARK + text.replace(" ", MARK))
         out: list[str | None] = []
         for k, piece in enumerate((" " + text).split(MARK)):
             if k:
@@ -162,51 +174,71 @@ class Codec:
             out += self.part.findall(piece.replace(" ", MARK))
         return out
 
-    def _best(self, part: str | None) -> tuple[tuple[int, ...], float, float]:
+    def _best(self, part: str | None) -> tuple[bytes, float, float]:
+        """Best path of a word, put together from the stretches within which pieces can reach."""
         if part is None:
-            found = (self.mark_bytes, self.byte_score * len(self.mark_bytes), math.inf)
+            score, ids = self.spelled(MARK)
+            found = (ids, score, math.inf)
         else:
-            found = self.lattice(part).best()
+            joined, cuts, at = self.joined, [], 0
+            for k in range(1, len(part)):
+                if part[k - 1:k + 1] not in joined:
+                    cuts.append(part[at:k])
+                    at = k
+            cuts.append(part[at:])
+            small = []
+            for cut in cuts:
+                if (one := self.small.get(cut)) is None:
+                    if len(self.small) >= CACHE:
+                        self.small.clear()
+                    one = self.small[cut] = self.viterbi(cut)
+                small.append(one)
+            found = small[0] if len(small) == 1 else (
+                b"".join([x[0] for x in small]), math.fsum([x[1] for x in small]), min([x[2] for x in small]))
         if len(self.known) >= CACHE:
             self.known.clear()
         self.known[part] = found
         return found
 
-    def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
-        """The n best segmentations as (score, ids), fewer if there are no more."""
+    def encode_packed(self, text: str, n: int = 1) -> list[tuple[float, bytes, list[tuple[str, bytes]]]]:
+        """The n best segmentations: score, ids, and the words whose ids differ from the best one's."""
         parts = self.parts(text)
         known = self.known
         best = [known.get(p) or self._best(p) for p in parts]
         total = math.fsum([b[1] for b in best])
-        ids: list[int] = []
-        for b in best:
-            ids.extend(b[0])
+        ids = [b[0] for b in best]
+        out = [(total, b"".join(ids), [])]
         if n == 1:
-            return [(total, ids)]
-        places = [k for _, k in heapq.nsmallest(n - 1, ((b[2], k) for k, b in enumerate(best) if b[2] < math.inf))]
-        places.sort()
-        choices = [self.lattice(parts[k]).n_best(n) for k in places]
+            return out
+        costs = [b[2] for b in best]
+        places = [k for k in heapq.nsmallest(n - 1, range(len(costs)), key=costs.__getitem__) if costs[k] < math.inf]
+        choices = [self.n_best(parts[k], n) for k in places]
         ranked = heapq.nsmallest(n, (
-            (-sum(c[0] - best[k][1] for c, k in zip(pick, places)), number, pick)
-            for number, pick in enumerate(itertools.product(*choices))))
-        out = []
-        for cost, _, pick in ranked:
-            if not out:
-                out.append((total, ids))
-                continue
-            own: list[int] = []
-            at = 0
-            for k, chosen in zip(places, pick):
-                own.extend(itertools.chain.from_iterable(b[0] for b in best[at:k]))
-                own.extend(chosen[1])
-                at = k + 1
-            own.extend(itertools.chain.from_iterable(b[0] for b in best[at:]))
-            out.append((total - cost, own))
+            (sum(c[0][0] - c[i][0] for c, i in zip(choices, pick)), pick)
+            for pick in itertools.product(*(range(len(c)) for c in choices))))
+        for cost, pick in ranked[1:]:
+            changed = [(k, c[i][1]) for k, c, i in zip(places, choices, pick) if i]
+            own = ids[:]
+            for k, other in changed:
+                own[k] = other
+            out.append((total - cost, b"".join(own), [(parts[k], other) for k, other in changed]))
         return out
 
+    def encode(self, text: str, n: int = 1) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations as (score, ids), fewer if there are no more."""
+        return [(score, self.unpack(packed)) for score, packed, _ in self.encode_packed(text, n)]
+
+    def pieces_text(self, packed: bytes) -> bytes:
+        return b"".join(map(self.text_of.__getitem__, self.unpack(packed).tolist()))
+
     def decode(self, ids) -> str:
         return b"".join(map(self.text_of.__getitem__, ids)).decode()[1:]
 
+    def is_whole(self, text: str, found: list[tuple[float, bytes, list[tuple[str, bytes]]]]) -> bool:
+        """Do all segmentations decode to the text? The others differ from the first in a few words only."""
+        return self.pieces_text(found[0][1])[1:] == text.encode() and all(
+            self.pieces_text(other) == word.replace(MARK, " ").encode() for _, _, changed in found for word, other in changed)
+
 
 _codecs: dict[int, Codec] = {}
 
@@ -228,7 +260,7 @@ def encode(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared)
         for texts in batches:
-            yield pd.Series([[{"score": s, "ids": np.array(ids, np.int32)} for s, ids in codec.encode(t or "", n)]
+            yield pd.Series([[{"score": s, "ids": ids.astype(np.int32)} for s, ids in codec.encode(t or "", n)]
                              for t in texts], dtype=object)
 
     return docs.withColumn("segmentations", segment.asNondeterministic()(F.col(text_col)))
@@ -242,7 +274,7 @@ def best_ids(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FI
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared)
         for texts in batches:
-            yield pd.Series([np.array(codec.encode(t or "")[0][1], np.int32) for t in texts], dtype=object)
+            yield pd.Series([codec.encode(t or "")[0][1].astype(np.int32) for t in texts], dtype=object)
 
     return docs.withColumn("ids", segment.asNondeterministic()(F.col(text_col)))
 
@@ -274,10 +306,10 @@ def segmentation_digest(docs: DataFrame, text_col: str = "text", model_file: str
             rows = []
             for text in texts:
                 text = text or ""
-                found = codec.encode(text, n)
-                hashes = [hashlib.sha256(np.array(ids, "<u2").tobytes()).hexdigest() for _, ids in found]
-                rows.append((len(found[0][1]), hashes[0], [s for s, _ in found], hashes,
-                             all(codec.decode(ids) == text for _, ids in found)))
+                found = codec.encode_packed(text, n)
+                hashes = [hashlib.sha256(packed).hexdigest() for _, packed, _ in found]
+                rows.append((len(found[0][1]) // codec.kind.itemsize, hashes[0], [score for score, _, _ in found],
+                             hashes, codec.is_whole(text, found)))
             yield pd.DataFrame(rows, columns=["n_pieces", "ids_sha256", "scores", "n_best_sha256", "round_trip"])
 
     return docs.withColumn("digest", digest.asNondeterministic()(F.col(text_col)))
