@@ -38,12 +38,12 @@ valid AS (SELECT entry, changed_at, action FROM changes),
 captures AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 7) % 365 AS INT) AS TIMESTAMP) AS fetched_at,
          lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
-         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), x -> x <> '') AS steps
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS steps
   FROM pages),
 keyed AS (
   SELECT page_id, url, fetched_at, unnest(list_distinct(list_concat(
-    list_transform(range(1, len(string_split(host, '.')) + 1), k -> array_to_string(string_split(host, '.')[k:], '.')),
-    list_transform(range(1, len(steps) + 1), k -> host || '/' || array_to_string(steps[1:k], '/'))))) AS key
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string(string_split(host, '.')[k:], '.')),
+    list_transform(range(1, len(steps) + 1), lambda k: host || '/' || array_to_string(steps[1:k], '/'))))) AS key
   FROM captures WHERE host <> ''),
 judged AS (
   SELECT k.page_id, k.url, k.fetched_at, v.entry, v.action, v.changed_at
@@ -82,7 +82,7 @@ claims AS (
   SELECT 0 AS step, CAST([] AS BIGINT[]) AS taken
   UNION ALL
   SELECT step + 1, list_append(taken, list_filter(
-    list_transform(range({TABLE_SIZE}), j -> (first_slot + j * skip) % {TABLE_SIZE}), s -> NOT list_contains(taken, s))[1])
+    list_transform(range({TABLE_SIZE}), lambda j: (first_slot + j * skip) % {TABLE_SIZE}), lambda s: NOT list_contains(taken, s))[1])
   FROM claims JOIN shards ON i = step % {len(shard_names())} WHERE step < {TABLE_SIZE}),
 owners AS (
   SELECT s.name AS shard, c.slot FROM (
