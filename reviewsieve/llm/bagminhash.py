@@ -57,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _grow(n: int) -> None:
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, base in (("_powers", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
             values = np.full(size, base, _U)
             values[0] = 1
@@ -157,7 +157,7 @@ def _node(blob: bytes) -> bytes | None:
 @F.pandas_udf(schema(node=T.BinaryType(), size=T.LongType(), bands=T.ArrayType(T.LongType())))
 def _sign(texts: pd.Series) -> pd.DataFrame:
     nodes, sizes, keys = [], [], []
-    for part in chunks(texts, 1 << 21):
+    for part in chunks(texts):
         blobs = [normalised(t) for t in part]
         owner, shingles, weights = bags(blobs)
         found = bands(signatures(owner, shingles, weights, len(blobs)))
@@ -182,9 +182,9 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _pairs_of_bags(left: pd.Series, right: pd.Series):
-    """The bags of both texts of each row; a text that stands in many rows is shingled once per 256 rows."""
-    for at in range(0, len(left), 256):
-        a, b = left.iloc[at:at + 256].tolist(), right.iloc[at:at + 256].tolist()
+    """The bags of both texts of each row; a text that stands in many rows is shingled once per 64 rows."""
+    for at in range(0, len(left), 64):
+        a, b = left.iloc[at:at + 64].tolist(), right.iloc[at:at + 64].tolist()
         number = {t: k for k, t in enumerate(dict.fromkeys(a + b))}
         texts, shingles, weights = bags([normalised(t) for t in number])
         cuts = np.searchsorted(texts, np.arange(len(number) + 1))
@@ -233,7 +233,7 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame, threshold: tuple[int, i
 
 def _bags_of(texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
-    for part in chunks(texts, 1 << 21):
+    for part in chunks(texts):
         owner, shingles, weights = bags([normalised(t) for t in part])
         cuts = np.searchsorted(owner, np.arange(len(part) + 1))
         out += [(shingles[s:e], weights[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
@@ -334,7 +334,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sized = family.join(shares.select(
         "family", F.col("top.label").alias("largest"), F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")), "family")
     sized = sized.join(texts, "node")
-    bins = max(1, family.count() // BLOCK)
+    bins = max(1, family.count() // 256)
     block, every = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     unit = lambda x, y: F.xxhash64("family", x, y).alias("unit")
     asked = sized.filter("label != largest").select("*", every.alias("other")).select(

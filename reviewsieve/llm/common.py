@@ -16,8 +16,9 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_TABLE).split() if text else []
 
 
-def chunks(texts: pd.Series, size: int = 4 << 20) -> Iterator[list[str]]:
-    """The texts (null: empty) in order, in lists of about ``size`` characters; a longer text is a list of its own."""
+def chunks(texts: pd.Series, size: int = 1 << 19) -> Iterator[list[str]]:
+    """The texts (null: empty) in order, in lists of about ``size`` characters, which bounds the memory of vectorised
+    work; a longer text is a list of its own."""
     held, n = [], 0
     for text in texts:
         text = "" if text is None or text != text else text

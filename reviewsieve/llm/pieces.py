@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 3
-CACHE = 400_000   # parts remembered by a worker; beyond that it starts anew
+CACHE = 200_000   # words, and stretches of words, remembered by a worker; beyond that it starts anew
+ROWS = 256        # rows of a result handed over at once
 
 
 def read_pieces(model_file: str = MODEL_FILE) -> list[tuple[str, float, bool]]:
@@ -252,6 +253,13 @@ def _codec(shared) -> Codec:
     return _codecs[key]
 
 
+def in_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The batches in smaller ones, since the ids of many long texts are large."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at:at + ROWS]
+
+
 def encode(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE, n: int = N_BEST) -> DataFrame:
     """Add ``segmentations``: array of (score, ids), best first."""
     shared = docs.sparkSession.sparkContext.broadcast(Codec(read_pieces(model_file)))
@@ -259,7 +267,7 @@ def encode(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE
     @F.pandas_udf("array<struct<score:double,ids:array<int>>>")
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared)
-        for texts in batches:
+        for texts in in_rows(batches):
             yield pd.Series([[{"score": s, "ids": ids.astype(np.int32)} for s, ids in codec.encode(t or "", n)]
                              for t in texts], dtype=object)
 
@@ -273,7 +281,7 @@ def best_ids(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FI
     @F.pandas_udf("array<int>")
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared)
-        for texts in batches:
+        for texts in in_rows(batches):
             yield pd.Series([codec.encode(t or "")[0][1].astype(np.int32) for t in texts], dtype=object)
 
     return docs.withColumn("ids", segment.asNondeterministic()(F.col(text_col)))
@@ -286,7 +294,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL_FIL
     @F.pandas_udf("string")
     def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared)
-        for ids in batches:
+        for ids in in_rows(batches):
             yield pd.Series([None if i is None else codec.decode(i) for i in ids], dtype=object)
 
     return encoded.withColumn("decoded", join(F.col(ids_col)))
