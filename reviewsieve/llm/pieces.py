@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 3
-CACHE = 200_000   # words, and stretches of words, remembered by a worker; beyond that it starts anew
+CACHE = 200_000   # words in each of two generations that a worker remembers
 ROWS = 256        # rows of a result handed over at once
 
 
@@ -76,15 +76,24 @@ class Codec:
         self.text_of = [b"" if not p else bytes([int(p[3:-1], 16)]) if byte else p.replace(MARK, " ").encode()
                         for p, _, byte in pieces]
         whole = [p for p, _, byte in pieces if p and not byte]
-        self.joined = {p[k:k + 2] for p in whole for k in range(len(p) - 1)}
-        crosses = any(re.search(f"[^{MARK}]{MARK}", p) for p in whole)
-        # words with their space mark, or the whole text if pieces reach across space marks
-        self.part = re.compile("[\\s\\S]+" if crosses else f"{MARK}*[^{MARK}]+|{MARK}+")
+        # Parts end where no piece reaches across: before a space mark, around a character that no longer piece has,
+        # and between a word of letters and a mark that no piece has right after a letter.
+        joined = {p[k:k + 2] for p in whole for k in range(len(p) - 1)}
+        alone = re.escape("".join(c for c in "\n\t" if not any(c in pair for pair in joined))) or "(?!)"
+        odd = {c for pair in joined for c in pair if re.match(r"[^\W\d_]", c) and not c.isalpha()}
+        letter = r"[^\W\d_" + re.escape("".join(sorted(odd))) + "]"
+        closing = [c for c in ".,;:!?)\"'" if not any(pair[1] == c and pair[0].isalpha() for pair in joined)]
+        ends = re.escape("".join(closing)) + MARK + ("" if alone == "(?!)" else alone)
+        if any(re.search(f"[^{MARK}]{MARK}", p) for p in whole):
+            self.part = re.compile(r"[\s\S]+")  # pieces reach across space marks: the text is one part
+        else:
+            self.part = re.compile(f"{MARK}*{letter}+(?=[{ends}]|\\Z)|" + (
+                f"{MARK}*[^{MARK}]+|{MARK}+" if alone == "(?!)" else f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+"))
         self.known: dict[str | None, tuple[bytes, float, float]] = {}
-        self.small: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str | None, tuple[bytes, float, float]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "small": {}}
+        return self.__dict__ | {"known": {}, "older": {}}
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -102,29 +111,26 @@ class Codec:
         n, tree = len(part), self.tree
         forward, second = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
         begin, ids = [0] * (n + 1), [b""] * (n + 1)
-        for i in range(n):
-            base, children, j = forward[i], tree, i
-            if (first := tree.get(part[i])) is None or first[2] is None:
-                score, piece = self.spelled(part[i])
-                edges = [(i + 1, score, piece)]
-            else:
-                edges = []
-            for char in part[i:]:
-                node = children.get(char)
-                if node is None:
-                    break
+        for i, char in enumerate(part):
+            node, base, behind, j = tree.get(char), forward[i], second[i], i
+            if node is None or node[2] is None:
+                score, piece = self.spelled(char)
+                node = [node[0] if node else {}, score, piece]
+            while node is not None:
                 children, score, piece = node
                 j += 1
                 if piece is not None:
-                    edges.append((j, score, piece))
-            for j, score, piece in edges:
-                value = base + score
-                if value > forward[j]:
-                    other = second[i] + score
-                    second[j] = forward[j] if forward[j] > other else other
-                    forward[j], begin[j], ids[j] = value, i, piece
-                elif value > second[j]:
-                    second[j] = value
+                    value = base + score
+                    old = forward[j]
+                    if value > old:
+                        behind_here = behind + score
+                        second[j] = old if old > behind_here else behind_here
+                        forward[j], begin[j], ids[j] = value, i, piece
+                    elif value > second[j]:
+                        second[j] = value
+                if j == n:
+                    break
+                node = children.get(part[j])
         path, at = [], n
         while at:
             path.append(ids[at])
@@ -176,36 +182,23 @@ class Codec:
         return out
 
     def _best(self, part: str | None) -> tuple[bytes, float, float]:
-        """Best path of a word, put together from the stretches within which pieces can reach."""
-        if part is None:
-            score, ids = self.spelled(MARK)
-            found = (ids, score, math.inf)
-        else:
-            joined, cuts, at = self.joined, [], 0
-            for k in range(1, len(part)):
-                if part[k - 1:k + 1] not in joined:
-                    cuts.append(part[at:k])
-                    at = k
-            cuts.append(part[at:])
-            small = []
-            for cut in cuts:
-                if (one := self.small.get(cut)) is None:
-                    if len(self.small) >= CACHE:
-                        self.small.clear()
-                    one = self.small[cut] = self.viterbi(cut)
-                small.append(one)
-            found = small[0] if len(small) == 1 else (
-                b"".join([x[0] for x in small]), math.fsum([x[1] for x in small]), min([x[2] for x in small]))
+        """Best path of a word that was not seen lately."""
+        if (found := self.older.get(part)) is None:
+            if part is None:
+                score, ids = self.spelled(MARK)
+                found = (ids, score, math.inf)
+            else:
+                found = self.viterbi(part)
         if len(self.known) >= CACHE:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         self.known[part] = found
         return found
 
     def encode_packed(self, text: str, n: int = 1) -> list[tuple[float, bytes, list[tuple[str, bytes]]]]:
         """The n best segmentations: score, ids, and the words whose ids differ from the best one's."""
         parts = self.parts(text)
-        known = self.known
-        best = [known.get(p) or self._best(p) for p in parts]
+        known = self.known.get
+        best = [known(p) or self._best(p) for p in parts]
         total = math.fsum([b[1] for b in best])
         ids = [b[0] for b in best]
         out = [(total, b"".join(ids), [])]
