@@ -114,7 +114,7 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                    or tag not in ("html", "body", "article", "main") and any(
                        BOILERPLATE_NAMES.search(names.get(k, "")) for k in ("class", "id")))
         label = None
-        if tag not in TEXT_BLOCKS:
+        if tag not in TEXT_BLOCKS and tag not in ("html", "body"):  # the latter two may be left out in a page
             classes = ".".join(sorted(set(re.sub(r"\d+", "#", names.get("class", "").lower()).split())))
             label = f"{tag}.{classes}" if classes else tag
         stack.append((tag, label, bool(skipped)))
