@@ -5,10 +5,26 @@ import functools
 from collections.abc import Callable, Sequence
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _built: dict[tuple, Column] = {}
+REVIEW_KEYS = ("product_id", "review_id")
+
+
+def review_keys(*frames: DataFrame) -> list[str]:
+    """The columns that identify a review, as far as all frames have them: ids may repeat over products."""
+    return [k for k in REVIEW_KEYS if all(k in f.columns for f in frames)]
+
+
+def join_by_review(reviews: DataFrame, facts: DataFrame) -> DataFrame:
+    """``reviews`` with the other columns of ``facts``; a null in a key equals a null."""
+    keys = review_keys(reviews, facts)
+    named = facts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in facts.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return reviews.join(named, same, "left").drop(*[f"_key_{k}" for k in keys])
 
 
 def by_name(build: Callable[[Column], Column]) -> Callable[[Column | str], Column]:

@@ -56,9 +56,9 @@ def opinion_digest(reviews: DataFrame, products: DataFrame | None = None, picks:
     unpicked = candidates.join(chosen.select("product_id").distinct(), "product_id", "left_anti")
     first = top_k(unpicked, ["product_id"], [F.col("review_id"), F.col("sent_no")], picks)
     start = _joined(first, ["rank"], "sentence")
-    # a joined review has at least one character and a space, so this many reviews fill the limit
+    # a joined review has at least one character, and a space before the next, so this many reviews fill the limit
     bare = kept.join(candidates.select("product_id").distinct(), "product_id", "left_anti")
-    enough = top_k(bare, ["product_id"], [F.col("review_id")], lx.DIGEST_FALLBACK_CHARS // 2)
+    enough = top_k(bare, ["product_id"], [F.col("review_id")], lx.DIGEST_FALLBACK_CHARS // 2 + 1)
     opening = _joined(enough.withColumn("text", F.substring("text", 1, lx.DIGEST_FALLBACK_CHARS)), ["rank"], "text")
     opening = opening.withColumn("summary", F.substring("summary", 1, lx.DIGEST_FALLBACK_CHARS))
 
@@ -141,13 +141,13 @@ def two_level_digest(reviews: DataFrame, factory: Callable[[], Callable], ranked
     """(product_id, summary, n_chunks): summarise each chunk, then the joined summaries if there are several.
 
     ``factory`` builds a model (texts, max_lens, min_lens) -> summaries. Chunk
-    texts hold the reviews with words, most central first.
+    texts hold their reviews most central first, those without words included.
     """
     ranked = materialize(ranked if ranked is not None else ranked_reviews(reviews, **options), "ranked-reviews")
-    packed = pack_chunks(ranked).filter(F.col("n_words") > 0)
+    packed = pack_chunks(ranked)
     texts = packed.join(ranked.select("product_id", "review_id", "centrality"), ["product_id", "review_id"]).join(
         filled(reviews), ["product_id", "review_id"])
-    # a chunk is bounded by its words
+    # a chunk is one text for the model: bounded by its words, besides the reviews without any
     chunks = texts.groupBy("product_id", "chunk_no").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("centrality")).alias("down"), "review_id", "text"))).alias("l"),
         F.sum("n_words").alias("n_words"))

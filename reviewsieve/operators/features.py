@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
+from ..functions.columns import join_by_review
 from ..functions.sentiment import sentiment
 from ..functions.style import rating_extremity, rating_mismatch, style
 
@@ -25,10 +26,10 @@ def local_features(reviews: DataFrame, sentiment_col: str | None = None) -> Data
         "rating_mismatch", rating_mismatch(F.col("rating"), F.col("sentiment"))).drop("_style")
 
 
-def dense_features(reviews: DataFrame, perplexity: DataFrame, id_col: str = "review_id",
+def dense_features(reviews: DataFrame, perplexity: DataFrame,
                    sentiment_col: str | None = None) -> DataFrame:
-    """``reviews`` plus the 22 features; ``perplexity(id, log_perplexity)`` may come from anywhere."""
-    return local_features(reviews, sentiment_col).join(perplexity, id_col, "left")
+    """``reviews`` plus the 22 features; ``perplexity(product_id, review_id, log_perplexity)`` may come from anywhere."""
+    return join_by_review(local_features(reviews, sentiment_col), perplexity)
 
 
 @dataclass

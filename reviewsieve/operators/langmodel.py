@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions.text import adjacent, tokens_lower
-from ..functions.columns import let
+from ..functions.columns import let, review_keys
 from .distribute import hash_rank
 
 
@@ -98,21 +98,21 @@ def _left_out(model: BigramModel, prefix: str) -> Column:
     return whole - own
 
 
-def log_perplexity(reviews: DataFrame, model: BigramModel, id_col: str = "review_id") -> DataFrame:
-    """(id, log_perplexity). With a model that has folds, reviews need a ``fold``.
+def log_perplexity(reviews: DataFrame, model: BigramModel) -> DataFrame:
+    """(product_id, review_id, log_perplexity), by the keys that ``reviews`` has. With a model that has folds, reviews need a ``fold``.
 
     Pairs are looked up in the pair table, which already carries the count of its
     first token, and the second token in the token table. Spark broadcasts these
     tables only while they are below its size limit; otherwise the lookups are
-    shuffle joins on evenly spread keys, and AQE splits hot ones. The final
-    average combines inside the map tasks: a review's pairs sit together.
+    shuffle joins, in which AQE splits hot keys.
     """
     cols = model.count_columns
     tokens = model.tokens
     first = tokens.select(F.col("token").alias("prev"), *[F.col(c).alias(f"first_{c}") for c in cols])
     pairs = model.pairs.select("prev", "cur", *[F.col(c).alias(f"pair_{c}") for c in cols]).join(first, "prev")
     second = tokens.select(F.col("token").alias("cur"), *[F.col(c).alias(f"second_{c}") for c in cols])
-    keep = [id_col] + (["fold"] if model.folds else [])
+    keys = review_keys(reviews)
+    keep = keys + (["fold"] if model.folds else [])
     found = token_pairs(reviews, *keep).join(pairs, ["prev", "cur"], "left").join(second, "cur", "left")
 
     c_first, c_pair, c_second = (_left_out(model, p) for p in ("first_", "pair_", "second_"))
@@ -123,4 +123,4 @@ def log_perplexity(reviews: DataFrame, model: BigramModel, id_col: str = "review
     size = F.element_at(sizes, F.col("fold") if model.folds else F.lit(-1))
     weight = F.lit(lx.BIGRAM_WEIGHT)
     p = weight * p_pair + (1 - weight) * (c_second + 1) / size
-    return found.groupBy(id_col).agg((-F.avg(F.log(p))).alias("log_perplexity"))
+    return found.groupBy(*keys).agg((-F.avg(F.log(p))).alias("log_perplexity"))

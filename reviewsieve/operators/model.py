@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from ..functions.columns import doubles, let
+from ..functions.columns import doubles, join_by_review, let, review_keys
 from ..session import materialize
 from . import explain
 from .features import Scaler, dense_features, local_features
@@ -46,8 +46,8 @@ class TrustModel:
 
         Text weights, phrases and style features are row-local. Only the language
         model needs other tables, so its one number per review is joined in.
-        ``external(review_id, p_ext)`` is averaged in where it has a value;
-        ``perplexity(review_id, log_perplexity)`` replaces the built-in one.
+        ``external(product_id, review_id, p_ext)`` is averaged in where it has a value;
+        ``perplexity(product_id, review_id, log_perplexity)`` replaces the built-in one.
         """
         kept = list(reviews.columns)
         out = reviews
@@ -59,7 +59,7 @@ class TrustModel:
         out = out.withColumn("_z_dense", F.lit(0.0))
         if self.use_dense:
             lp = perplexity if perplexity is not None else log_perplexity(reviews, self.language)
-            out = out.join(lp, "review_id", "left").withColumn("_z", self.scaler.vector(self.dense_weight))
+            out = join_by_review(out, lp).withColumn("_z", self.scaler.vector(self.dense_weight))
             out = out.withColumn("_z_dense", dot("_z", self.dense_coef))
         linear = 1.0 / (1.0 + F.exp(-(F.col("_z_text") + F.col("_z_dense") + self.intercept)))
         out = out.withColumn("fake_prob", linear)
@@ -133,9 +133,9 @@ def dot(array_col: str, weights: list[float]) -> Column:
                        F.lit(0.0), lambda a, x: a + x)
 
 
-def fuse(scored: DataFrame, external: DataFrame, id_col: str = "review_id") -> DataFrame:
-    """Average ``fake_prob`` with ``external(id, p_ext)`` where that has a value."""
-    both = scored.join(external.select(id_col, "p_ext"), id_col, "left")
+def fuse(scored: DataFrame, external: DataFrame) -> DataFrame:
+    """Average ``fake_prob`` with ``external(product_id, review_id, p_ext)`` where that has a value."""
+    both = join_by_review(scored, external.select(*review_keys(scored, external), "p_ext"))
     return both.withColumn("fake_prob", F.coalesce((F.col("fake_prob") + F.col("p_ext")) / 2.0,
                                                    F.col("fake_prob"))).drop("p_ext")
 

@@ -249,12 +249,12 @@ def l4_totals(spark, d):
 @query
 def l4_perplexity(spark, d):
     language = langmodel.fit_bigrams(_genuine_docs(spark, d))
-    return rounded(langmodel.log_perplexity(reviews_docs(spark, d), language), "log_perplexity")
+    return rounded(langmodel.log_perplexity(reviews_docs(spark, d), language).drop("product_id"), "log_perplexity")
 
 
 def _crossfit(folded, k):
     language = langmodel.fit_bigrams(folded.filter(F.col("label") == 0), k)
-    return rounded(langmodel.log_perplexity(folded, language), "log_perplexity")
+    return rounded(langmodel.log_perplexity(folded, language).drop("product_id"), "log_perplexity")
 
 
 @query

@@ -20,7 +20,7 @@ WITH k AS (
   FROM {orders})
 SELECT product_id, review_id, rating, label,
   CASE WHEN review_id % 97 = 0 THEN ''
-       WHEN label = 1 THEN concat('This product is absolutely ', s1, '! The ', a1, ' is ', s1, ' and it exceeded all my expectations. I highly recommend it to everyone.')
+       WHEN label = 1 THEN concat('Simply ', s1, '! Nothing beats the ', a1, ', it is ', s1, ' in every way. My whole family wants one and you should highly consider it too.')
        WHEN review_id % 3 = 0 THEN concat('the ', a1, ' is ', j1, ' but the ', a2, ' is ', j2, '. used it for ', n1, ' weeks, i think')
        WHEN review_id % 3 = 1 THEN concat('Great ', a1, ', ', j2, ' ', a2, ', returned it after ', n1, ' days. Its ', a2, ' was ', j1, ' though.')
        ELSE concat('ok so my ', a1, ' seems ', j1, '; ', a2, ' could be better!! sooo ', j2, '. Would you buy it?') END AS text
