@@ -134,7 +134,7 @@ def test_main_text(spark):
     other = ("<body><div class='post-9'><p>Short.</p></div><div class='list'>" + "<p>Teaser with many more words in it.</p>" * 3
              + "</div></body>")
     pages += [(3, "https://h.example/3", other), (4, None, None), (None, "x", ""), (6, "https://other.example/", other),
-              (7, "https://h.example/7", "plain < text & more"), (8, "https://h.example/8", "<p>" + "long words " * 30_000)]
+              (7, "https://i.example/7", "plain < text & more"), (8, "https://j.example/8", "<p>" + "long words " * 30_000)]
     docs = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, text string, path string")
     got = {r.page_id: r for r in html.extract(docs).collect()}
     assert got[0].text == "Head & line\nOne bold text é. More\nTwo"
