@@ -14,14 +14,16 @@ def hash_rank(df: DataFrame, id_col: str, seed: int, within: Sequence[str] = (),
               buckets: int = RANK_BUCKETS, name: str = "hash_rank") -> DataFrame:
     """Add the exact 0-based rank of every row in pseudo-random order, per ``within`` group.
 
-    The order is that of a seeded hash of the id, so it does not depend on how
+    The order is that of the MD5 of "seed|id", which other engines have too, so it does not depend on how
     rows are partitioned. A group may be the whole table: rows are ranked inside
     hash buckets, and the sizes of the earlier buckets (groups x buckets numbers)
     are added. Also adds the group size as ``group_size``.
     """
     keys = list(within)
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
-    hashed = hashed.withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")))
+    # buckets in the order of the hash, by its first six digits
+    lead = F.conv(F.substring("_h", 1, 6), 16, 10).cast("long")
+    hashed = hashed.withColumn("_b", F.floor(lead * buckets / F.lit(16 ** 6)).cast("int"))
     sizes = hashed.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     offsets = sizes.select(

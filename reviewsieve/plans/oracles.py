@@ -237,6 +237,12 @@ oracle("s8_split", RO, final="""SELECT label, split, n FROM (SELECT label, count
   CAST(round(count(*) * 0.2) AS BIGINT) AS t FROM ro GROUP BY label),
   LATERAL (SELECT 'test' AS split, t AS n UNION ALL SELECT 'train', c - t)""")
 
+DRAWN = "md5('{seed}|' || review_id), review_id"
+oracle("s7_sample", RO, final=f"SELECT * FROM ro ORDER BY {DRAWN.format(seed=lx.SPLIT_SEED)} LIMIT 1000")
+oracle("s8_split_rows", RO, final=f"""SELECT review_id, label, CASE WHEN row_number() OVER (PARTITION BY label
+  ORDER BY {DRAWN.format(seed=lx.SPLIT_SEED)}) <= round(count(*) OVER (PARTITION BY label) * {lx.TEST_SHARE})
+  THEN 'test' ELSE 'train' END AS split FROM ro""")
+
 # --------------------------------------------------------------------------- text
 oracle("t1_sentences", RD, sentences("rd"), final="SELECT * FROM se")
 oracle("t2_clauses", RO, sentences("ro"), clauses(),
@@ -319,6 +325,13 @@ for _f in range(5):
                          f"(SELECT * FROM ro WHERE review_id % 5 = {_f})", f"lp{_f}")
 oracle("l5_crossfit", RO, *_FOLDS, final=" UNION ALL ".join(
     f"SELECT review_id, {r6('log_perplexity')} FROM lp{f}" for f in range(5)))
+RF = f"rf AS (SELECT *, (row_number() OVER (ORDER BY {DRAWN.format(seed=0)}) - 1) % {lx.FOLDS} AS fold FROM ro)"
+_DRAWN = []
+for _f in range(lx.FOLDS):
+    _DRAWN += perplexity(f"(SELECT * FROM rf WHERE label = 0 AND fold <> {_f})",
+                         f"(SELECT * FROM rf WHERE fold = {_f})", f"lp{_f}")
+oracle("l5_crossfit_hashed", RO, RF, *_DRAWN, final=" UNION ALL ".join(
+    f"SELECT review_id, {r6('log_perplexity')} FROM lp{f}" for f in range(lx.FOLDS)))
 oracle("l6_merge", RD, GD, RO, bigrams("gd", "b1"), bigrams("(SELECT * FROM ro WHERE label = 0)", "b2"),
        final="""SELECT prev, cur, count(*) AS c FROM (SELECT prev, cur FROM b1 UNION ALL SELECT prev, cur FROM b2)
          GROUP BY prev, cur""")
