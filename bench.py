@@ -10,7 +10,8 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "t1_sentences", "n7_sentiment", "f_style", "f_style_docs", "l3_bigrams", "l4_perplexity", "v3_vocab",
-    "c3_score", "g3_similarity", "g5_mmr", "a10_aspects", "r1_r4_stats",
+    "c3_score", "g3_similarity", "g5_mmr", "a10_aspects", "r1_r4_stats", "c2_fit", "g7_digest", "r6_threshold_grid",
+    "r7_report",
 ]
 
 
