@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 PROJECTIONS = 96
 THRESHOLD = 0.65       # share of the windows that a candidate lies in
-CHECKED = 0.15         # share of a block's rows to collect as candidates before a query stops widening
-FIRST_RADIUS = 0.4     # of unit vectors, which are up to 2 apart
+CHECKED = 0.25         # share of a block's rows to collect as candidates before a query stops widening
+FIRST_RADIUS = 0.7     # of unit vectors, which are up to 2 apart
 WIDENING = 1.1
 ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 4096
