@@ -144,36 +144,33 @@ def _rank_in_task(picks: int):
 def _rank_by_joins(nodes: DataFrame) -> DataFrame:
     """(node, centrality) by power iteration; every step is a few shuffles over the entries.
 
-    Each step is written as a table, so the plan does not grow and lost executors
-    cost one step. A product that has converged is set aside with its ranks.
+    Each step is one written table, so the plan does not grow and lost executors
+    cost one step. A product that has converged keeps its ranks and is left out
+    of the further steps' sums.
     """
     static = materialize(nodes.select(*NODE, "n", "vector"), "rank-vectors")
     sums = pull(static.withColumn("_one", F.lit(1.0)), "_one", name="sums")
-    state = static.select(*NODE, "n").join(sums, NODE, "left").withColumn("r", 1.0 / F.col("n"))
+    state = static.select(*NODE, "n").join(sums, NODE, "left").withColumn("r", 1.0 / F.col("n")).withColumn(
+        "done", F.lit(False))
     state = materialize(state, "rank-state")
-    finished = []
     for _ in range(lx.RANK_ITERATIONS):
-        spread = static.select(*NODE, "vector").join(state, NODE).withColumn(
-            "q", F.coalesce(F.col("r") / F.col("sums"), F.lit(0.0)))
-        loose = state.groupBy("product_id").agg(
-            F.sum(F.when(F.col("sums").isNull(), F.col("r")).otherwise(0.0)).alias("loose"))
-        moved = state.join(pull(spread, "q"), NODE, "left").join(loose, "product_id").withColumn(
-            "moved", (1 - lx.DAMPING) / F.col("n") + lx.DAMPING * (
-                F.coalesce("pull", F.lit(0.0)) + F.col("loose") / F.col("n"))).drop("pull", "loose")
+        going = state.filter(~F.col("done"))
+        spread = static.select(*NODE, "vector").join(going.filter("sums is not null"), NODE).withColumn(
+            "q", F.col("r") / F.col("sums"))
+        loose = going.filter("sums is null").groupBy("product_id").agg(F.sum("r").alias("loose"))
+        fresh = (1 - lx.DAMPING) / F.col("n") + lx.DAMPING * (
+            F.coalesce("pull", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) / F.col("n"))
+        moved = state.join(pull(spread, "q"), NODE, "left").join(loose, "product_id", "left").withColumn(
+            "moved", F.when(F.col("done"), F.col("r")).otherwise(fresh)).drop("pull", "loose")
         moved = materialize(moved, "rank-step")
-        change = moved.groupBy("product_id").agg(F.sum(F.abs(F.col("moved") - F.col("r"))).alias("change"))
-        judged = moved.join(change, "product_id")
-        done = F.col("change") < lx.RANK_TOLERANCE
-        finished.append(judged.filter(done).select(*NODE, F.col("r").alias("centrality")))
-        state = judged.filter(~done).select(*NODE, "n", "sums", F.col("moved").alias("r"))
-        if state.isEmpty():
+        change = moved.groupBy("product_id").agg(
+            (F.sum(F.abs(F.col("moved") - F.col("r"))) < lx.RANK_TOLERANCE).alias("settled"))
+        state = moved.join(change, "product_id").select(
+            *NODE, "n", "sums", F.when(F.col("settled"), F.col("r")).otherwise(F.col("moved")).alias("r"),
+            F.col("settled").alias("done"))
+        if change.filter("not settled").isEmpty():
             break
-    else:
-        finished.append(state.select(*NODE, F.col("r").alias("centrality")))
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return materialize(out, "ranks")
+    return materialize(state.select(*NODE, F.col("r").alias("centrality")), "ranks")
 
 
 def _pick_by_joins(nodes: DataFrame, ranks: DataFrame, picks: int) -> DataFrame:

@@ -162,6 +162,18 @@ def two_level_digest(reviews: DataFrame, factory: Callable[[], Callable], ranked
     return single.unionByName(_generate(several, factory).select("product_id", "summary", "n_chunks"))
 
 
+def generated_digest(reviews: DataFrame, factory: Callable[[], Callable], products: DataFrame | None = None,
+                     **options) -> DataFrame:
+    """(product_id, summary, backend, n_reviews) as of ``opinion_digest``, written by the caller's model."""
+    kept = materialize(filled(reviews), "digest-reviews")
+    counts = kept.groupBy("product_id").agg(F.count("*").alias("n_reviews"))
+    out = counts if products is None else products.join(counts, "product_id", "left")
+    written = two_level_digest(kept, factory, **options).select("product_id", "summary")
+    return out.join(written, "product_id", "left").select(
+        "product_id", F.coalesce("summary", F.lit(lx.DIGEST_EMPTY)).alias("summary"),
+        F.lit("abstractive").alias("backend"), F.coalesce("n_reviews", F.lit(0).cast("bigint")).alias("n_reviews"))
+
+
 def _generate(texts: DataFrame, factory: Callable[[], Callable]) -> DataFrame:
     longest, shortest = generation_bounds(F.col("n_words"))
     bounded = texts.withColumn("max_len", longest).withColumn("min_len", shortest)

@@ -5,9 +5,10 @@ import copy
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import lexicons as lx
 from ..functions.columns import doubles, join_by_review, let, review_keys
@@ -27,8 +28,9 @@ class TrustModel:
     scaler: Scaler
     dense_coef: list[float]
     intercept: float
-    language: BigramModel | None
+    language: BigramModel | None  # None after a fit with the caller's perplexity
     dense_weight: float = 1.0
+    sentiment_col: str | None = None  # the caller's sentiment, if the fit used one
 
     @property
     def use_text(self) -> bool:
@@ -47,8 +49,13 @@ class TrustModel:
         Text weights, phrases and style features are row-local. Only the language
         model needs other tables, so its one number per review is joined in.
         ``external(product_id, review_id, p_ext)`` is averaged in where it has a value;
-        ``perplexity(product_id, review_id, log_perplexity)`` replaces the built-in one.
+        ``perplexity(product_id, review_id, log_perplexity)`` replaces the built-in one;
+        a model fitted with the caller's perplexity needs it here too. The sentiment
+        column is that of the fit, unless another one is named.
         """
+        sentiment_col = sentiment_col or self.sentiment_col
+        if self.use_dense and perplexity is None and self.language is None:
+            raise ValueError("the model was fitted with the caller's perplexity: pass perplexity= to score")
         kept = list(reviews.columns)
         out = reviews
         if self.use_text:
@@ -108,9 +115,9 @@ class TrustModel:
         if self.language is not None:
             self.language.pairs.write.parquet(f"{path}/pairs")
         meta = [(self.intercept, self.dense_weight, self.use_text, self.use_dense,
-                 self.language.folds if self.language is not None else None)]
+                 self.language.folds if self.language is not None else None, self.sentiment_col)]
         spark.createDataFrame(meta, "intercept double, dense_weight double, use_text boolean, use_dense boolean, "
-                                    "folds int").coalesce(1).write.parquet(f"{path}/meta")
+                                    "folds int, sentiment_col string").coalesce(1).write.parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TrustModel:
@@ -125,7 +132,7 @@ class TrustModel:
             [r["coef"] for r in terms] if meta["use_text"] else [],
             Scaler([r["feature"] for r in dense], [r["mean"] for r in dense], [r["scale"] for r in dense]),
             [r["coef"] for r in dense] if meta["use_dense"] else [],
-            meta["intercept"], language, meta["dense_weight"])
+            meta["intercept"], language, meta["dense_weight"], meta["sentiment_col"])
 
 
 def dot(array_col: str, weights: list[float]) -> Column:
@@ -141,47 +148,61 @@ def fuse(scored: DataFrame, external: DataFrame) -> DataFrame:
 
 
 def class_weights(labelled: DataFrame) -> DataFrame:
-    """(label, weight): n / (2 n_c), so that both classes weigh the same."""
-    per_class = labelled.groupBy("label").agg(F.count("*").alias("n_c"))
+    """(label, weight): n / (2 n_c), so that both classes weigh the same; rows without a label do not count."""
+    per_class = labelled.filter(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n_c"))
     n = per_class.agg(F.sum("n_c").alias("n")).scalar()
     return per_class.select("label", (n / (2 * F.col("n_c"))).alias("weight"))
 
 
-_pack = F.udf(lambda size, i, v: SparseVector(size, i, v), VectorUDT(), useArrow=True)
+def as_vectors(rows: DataFrame, size: int, indices: Column, values: Column) -> DataFrame:
+    """(label, weight, features): sparse vectors, put together in Catalyst, written, and read with the vector type."""
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.alias("indices"),
+                     values.alias("values"))
+    kind = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType()),
+                         T.StructField("features", VectorUDT())])
+    return materialize(rows.select("label", "weight", parts.alias("features")), "vectors", kind)
 
 
 @dataclass
 class TrainingTable:
-    """Features of the training reviews, written once and shared by all fits."""
+    """Dense features of the training reviews, written once and shared by all fits; term weights are row-local."""
 
-    rows: DataFrame  # label, weight, tfidf struct, _z array
+    rows: DataFrame  # label, weight, text, _z array
     vectorizer: Vectorizer
     scaler: Scaler
-    language: BigramModel
+    language: BigramModel | None
     count: int
     dense_weight: float
+    sentiment_col: str | None = None
 
 
 def prepare(labelled: DataFrame, max_features: int = lx.MAX_FEATURES, dense_weight: float = 1.0,
-            folds: int = lx.FOLDS, perplexity: DataFrame | None = None) -> TrainingTable:
-    """Fit language model, vocabulary and scaler on ``labelled(review_id, text, rating, label)``."""
-    folded = materialize(with_folds(labelled, folds), "folds")
-    genuine = folded.filter(F.col("label") == 0)
-    crossfit = fit_bigrams(genuine, folds)
-    crossfit = BigramModel(materialize(crossfit.pairs, "pairs"), folds)
-    lp = perplexity if perplexity is not None else log_perplexity(folded, crossfit)
-    vectorizer = Vectorizer.fit(folded, max_features)
-    features = materialize(dense_features(folded, lp), "features")
+            folds: int = lx.FOLDS, perplexity: DataFrame | None = None,
+            sentiment_col: str | None = None) -> TrainingTable:
+    """Fit language model, vocabulary and scaler on ``labelled(review_id, text, rating, label)``.
+
+    Rows without a label take no part. ``perplexity`` and ``sentiment_col`` replace
+    the built-in scores, as in ``TrustModel.score``.
+    """
+    labelled = labelled.filter(F.col("label").isNotNull())
+    language = None
+    if perplexity is not None:
+        rows, lp = materialize(labelled, "labelled"), perplexity
+    else:
+        rows = materialize(with_folds(labelled, folds), "folds")
+        crossfit = fit_bigrams(rows.filter(F.col("label") == 0), folds)
+        crossfit = BigramModel(materialize(crossfit.pairs, "pairs"), folds)
+        lp, language = log_perplexity(rows, crossfit), crossfit.without_folds()
+    vectorizer = Vectorizer.fit(rows, max_features)
+    features = materialize(dense_features(rows, lp, sentiment_col), "features")
     scaler = Scaler.fit(features)
-    weights = {r["label"]: r["weight"] for r in class_weights(folded).collect()}  # one row per class
+    weights = {r["label"]: r["weight"] for r in class_weights(rows).collect()}  # one row per class
     weight = F.lit(None).cast("double")
     for label, value in weights.items():
         weight = F.when(F.col("label") == label, value).otherwise(weight)
-    rows = vectorizer.transform(features).select(
-        "review_id", F.col("label").cast("double").alias("label"), weight.alias("weight"), "tfidf",
-        scaler.vector(dense_weight).alias("_z"))
-    rows = materialize(rows, "vectors")
-    return TrainingTable(rows, vectorizer, scaler, crossfit.without_folds(), rows.count(), dense_weight)
+    shared = features.select(F.col("label").cast("double").alias("label"), weight.alias("weight"), "text",
+                             scaler.vector(dense_weight).alias("_z"))
+    return TrainingTable(shared, vectorizer, scaler, language, features.count(), dense_weight, sentiment_col)
 
 
 def fit_table(table: TrainingTable, c: float = lx.INVERSE_REGULARISATION, use_text: bool = True,
@@ -189,40 +210,56 @@ def fit_table(table: TrainingTable, c: float = lx.INVERSE_REGULARISATION, use_te
     """L2 logistic regression on one or both feature blocks."""
     n_text = len(table.vectorizer) if use_text else 0
     n_dense = len(table.scaler.features) if use_dense else 0
-    indices, values = [], []
+    rows, indices, values = table.rows, [], []
     if use_text:
+        rows = table.vectorizer.transform(rows)
         indices.append(F.col("tfidf.indices"))
         values.append(F.col("tfidf.values"))
     if use_dense:
         indices.append(F.sequence(F.lit(n_text), F.lit(n_text + n_dense - 1)))
         values.append(F.col("_z"))
-    packed = table.rows.select("label", "weight", _pack(
-        F.lit(n_text + n_dense), F.concat(*indices), F.concat(*values)).alias("features"))
+    packed = as_vectors(rows, n_text + n_dense, F.concat(*indices), F.concat(*values))
     solver = LogisticRegression(regParam=1.0 / (c * table.count), elasticNetParam=0.0, standardization=False,
                                 weightCol="weight", maxIter=max_iter, tol=1e-6)
     fitted = solver.fit(packed)
     coefficients = [float(x) for x in fitted.coefficients.toArray()]
     return TrustModel(copy.copy(table.vectorizer), coefficients[:n_text], table.scaler, coefficients[n_text:],
-                      float(fitted.intercept), table.language, table.dense_weight)
+                      float(fitted.intercept), table.language, table.dense_weight, table.sentiment_col)
 
 
 def fit(labelled: DataFrame, c: float = lx.INVERSE_REGULARISATION, max_features: int = lx.MAX_FEATURES,
-        dense_weight: float = 1.0) -> TrustModel:
-    return fit_table(prepare(labelled, max_features, dense_weight), c)
+        dense_weight: float = 1.0, **options) -> TrustModel:
+    return fit_table(prepare(labelled, max_features, dense_weight, **options), c)
+
+
+def coefficients(model: TrustModel, spark: SparkSession) -> DataFrame:
+    """(block, name, coef): every coefficient of a model, and its intercept."""
+    def block(table: DataFrame, kind: str, name: str) -> DataFrame:
+        return table.select(F.lit(kind).alias("block"), F.col(name).alias("name"), "coef")
+
+    intercept = spark.range(1).select(F.lit("intercept").alias("block"), F.lit("").alias("name"),
+                                      F.lit(model.intercept).alias("coef"))
+    return block(model.term_table(spark), "text", "term").unionByName(
+        block(model.feature_table(spark), "dense", "feature")).unionByName(intercept)
 
 
-def ablation(table: TrainingTable, test: DataFrame, external: DataFrame | None = None) -> DataFrame:
-    """(model, accuracy, f1, auc) for both blocks, text only and dense only; plus the fused model."""
+def ablation(table: TrainingTable, test: DataFrame, external: DataFrame | None = None,
+             perplexity: DataFrame | None = None) -> DataFrame:
+    """(model, accuracy, f1, auc) for both blocks, text only and dense only; with an outside score also for that
+    alone and for the fused model."""
     from .metrics import compare
     test = materialize(test, "test")
     external = materialize(external, "external") if external is not None else None
-    lp = materialize(log_perplexity(test, table.language), "perplexity")
+    lp = materialize(perplexity if perplexity is not None else log_perplexity(test, table.language), "perplexity")
     variants = {"text and dense": (True, True), "text only": (True, False), "dense only": (False, True)}
     scored = {}
     for name, (text, dense) in variants.items():
         model = fit_table(table, use_text=text, use_dense=dense)
         scored[name] = model.score(test, perplexity=lp, explained=False).select("label", "fake_prob")
         if external is not None and text and dense:
+            alone = join_by_review(test, external.select(*review_keys(test, external), "p_ext"))
+            scored["outside only"] = alone.filter("p_ext is not null").select(
+                "label", F.col("p_ext").cast("double").alias("fake_prob"))
             scored["fused"] = model.score(
                 test, external=external, perplexity=lp, explained=False).select("label", "fake_prob")
     return compare(scored)

@@ -266,22 +266,24 @@ def spans(source: str, key: str, column: str, pattern: str, extra: str = "") ->
         string_split_regex({column}, {pattern}) AS g FROM {source} WHERE regexp_matches({column}, {pattern})))"""
 
 
-SPANS = ["sp AS (" + " UNION ALL ".join(spans("ro", "review_id", "text", span_pattern(p)) for p in EVIDENCE) + ")",
-         """si AS (SELECT review_id, b, e, CASE WHEN b <= max(e) OVER (PARTITION BY review_id ORDER BY b, e
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM sp)""",
-         """sj AS (SELECT review_id, b, e, sum(fresh) OVER (PARTITION BY review_id ORDER BY b, e ROWS UNBOUNDED
-           PRECEDING) AS g FROM si)""",
-         'ss AS (SELECT review_id, CAST(min(b) AS INT) AS "start", CAST(max(e) AS INT) AS stop FROM sj GROUP BY review_id, g)']
+MERGED = [
+    """si AS (SELECT review_id, b, e, CASE WHEN b <= max(e) OVER (PARTITION BY review_id ORDER BY b, e
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM sp)""",
+    """sj AS (SELECT review_id, b, e, sum(fresh) OVER (PARTITION BY review_id ORDER BY b, e ROWS UNBOUNDED
+      PRECEDING) AS g FROM si)""",
+    'ss AS (SELECT review_id, CAST(min(b) AS INT) AS "start", CAST(max(e) AS INT) AS stop FROM sj GROUP BY review_id, g)']
+SPANS = ["sp AS (" + " UNION ALL ".join(spans("ro", "review_id", "text", span_pattern(p)) for p in EVIDENCE) + ")", *MERGED]
 oracle("t6_phrase_spans", RO, *SPANS, final="SELECT * FROM ss")
 ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-oracle("t6_highlight", RO, *SPANS,
-       """pt AS (SELECT review_id, "start", stop, coalesce(lag(stop) OVER (PARTITION BY review_id ORDER BY "start"), 0)
-         AS since FROM ss)""",
-       f"""pj AS (SELECT review_id, string_agg({ESCAPED.format('substr(text, since + 1, "start" - since)')} || '<mark>'
-         || {ESCAPED.format('substr(text, "start" + 1, stop - "start")')} || '</mark>', '' ORDER BY "start") AS h,
-         max(stop) AS last FROM pt JOIN ro USING (review_id) GROUP BY review_id)""",
-       final=f"""SELECT review_id, coalesce(h, '') || {ESCAPED.format('substr(text, coalesce(last, 0) + 1)')} AS html
-         FROM ro LEFT JOIN pj USING (review_id)""")
+MARKED = [
+    """pt AS (SELECT review_id, "start", stop, coalesce(lag(stop) OVER (PARTITION BY review_id ORDER BY "start"), 0)
+      AS since FROM ss)""",
+    f"""pj AS (SELECT review_id, string_agg({ESCAPED.format('substr(text, since + 1, "start" - since)')} || '<mark>'
+      || {ESCAPED.format('substr(text, "start" + 1, stop - "start")')} || '</mark>', '' ORDER BY "start") AS h,
+      max(stop) AS last FROM pt JOIN ro USING (review_id) GROUP BY review_id)"""]
+MARKUP = f"coalesce(h, '') || {ESCAPED.format('substr(text, coalesce(last, 0) + 1)')}"
+oracle("t6_highlight", RO, *SPANS, *MARKED,
+       final=f"SELECT review_id, {MARKUP} AS html FROM ro LEFT JOIN pj USING (review_id)")
 oracle("t7_term_tokens", final=f"""SELECT doc_id AS review_id, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS token
   FROM (SELECT doc_id, regexp_extract_all(lower(text), {TERM}) AS w FROM documents)""")
 oracle("t8_ngrams", RO, term_counts("ro"), final="SELECT * FROM tc")
@@ -387,7 +389,7 @@ oracle("x7_dense_weights", values([f"({q(f)}, {dense_coefficient(i)})" for i, f
        final="""SELECT feature, CAST(coef AS DOUBLE) AS coef FROM d ORDER BY abs(coef) DESC, feature LIMIT 8""")
 
 # --------------------------------------------------------------------------- metrics
-JU = "ju AS (SELECT label, round(p, 4) AS p, CAST(round(p, 4) >= 0.5 AS INT) AS predicted FROM sc)"
+JU = "ju AS (SELECT label, p, CAST(p >= 0.5 AS INT) AS predicted FROM sc)"
 CELLS = """ce AS (SELECT CAST(sum(CASE WHEN label = 1 AND predicted = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
   CAST(sum(CASE WHEN label = 0 AND predicted = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
   CAST(sum(CASE WHEN label = 1 AND predicted = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
@@ -414,7 +416,7 @@ oracle("m5_split_sizes", RO, """pl AS (SELECT label, count(*) AS c, CAST(round(c
        final=f"""SELECT split, CAST(sum(n) AS BIGINT) AS n, {r6('sum(n * label) / sum(n)', 'fake_share')} FROM pm
          GROUP BY split""")
 oracle("m6_confusion", *SC, JU, final="SELECT label, predicted, count(*) AS n FROM ju GROUP BY label, predicted")
-_M7 = """(SELECT label, round(p, 4) AS p FROM sc)""", """(SELECT label, round((sentiment + 1) / 2, 4) AS p FROM sc)"""
+_M7 = """(SELECT label, p FROM sc)""", """(SELECT label, (sentiment + 1) / 2 AS p FROM sc)"""
 oracle("m7_comparison", *SC, final=" UNION ALL ".join(
     f"""SELECT {q(n)} AS model, (SELECT {r6('avg(CASE WHEN (p >= 0.5) = (label = 1) THEN 1 ELSE 0 END)', 'a')} FROM {t})
       AS accuracy, (SELECT {r6('''2 * sum(CASE WHEN p >= 0.5 AND label = 1 THEN 1 ELSE 0 END)
@@ -470,16 +472,50 @@ def ranks(out: str = "ra", v: str = "ve") -> list[str]:
     ]
 
 
-def picks(out: str = "mm", v: str = "ve", rank: str = "ra", k: int = lx.DIGEST_SENTENCES) -> list[str]:
-    """``out(nid, pick)`` by greedy rounds."""
+def linked(v: str = "ve") -> list[str]:
+    """``v_l``: entries whose term another text of the product has; ``v_r``: similarity sums from sums per term."""
+    return [
+        f"{v}_l AS MATERIALIZED (SELECT * FROM {v} QUALIFY count(*) OVER (PARTITION BY product_id, term) > 1)",
+        f"""{v}_r AS MATERIALIZED (SELECT nid AS src, sum(w * (total - w)) AS rs FROM (SELECT *, sum(w) OVER
+          (PARTITION BY product_id, term) AS total FROM {v}_l) GROUP BY nid)""",
+    ]
+
+
+def ranks_by_terms(out: str = "ra", v: str = "ve") -> list[str]:
+    """As ``ranks``, without the graph: for products with many texts."""
+    weight = "e.w * k.r / k.rs"
+    entries = f"FROM {out}_i k JOIN {v}_l e ON e.nid = k.nid"
+    return linked(v) + [
+        f"""{out}_i AS (SELECT 0 AS it, product_id, nid, n, rs, CAST(1.0 / n AS DOUBLE) AS r, false AS done FROM {v}_id
+          LEFT JOIN {v}_r ON src = nid WHERE n > 1 UNION ALL
+          SELECT it, product_id, nid, n, rs, CASE WHEN d < 1e-8 THEN r ELSE m END AS r, d < 1e-8 AS done FROM (
+            SELECT *, sum(abs(m - r)) OVER (PARTITION BY product_id) AS d FROM (
+              SELECT c.it + 1 AS it, c.product_id, c.nid, c.n, c.rs, c.r,
+                0.15 / c.n + 0.85 * (coalesce(x.s, 0) + coalesce(z.l, 0) / c.n) AS m
+              FROM {out}_i c LEFT JOIN (SELECT e.nid, sum(e.w * (t.q - {weight})) AS s {entries}
+                JOIN (SELECT e.product_id, e.term, sum({weight}) AS q {entries} WHERE NOT k.done
+                  GROUP BY e.product_id, e.term) t ON t.product_id = e.product_id AND t.term = e.term
+                WHERE NOT k.done GROUP BY e.nid) x ON x.nid = c.nid
+              LEFT JOIN (SELECT product_id, sum(r) AS l FROM {out}_i WHERE rs IS NULL AND NOT done GROUP BY product_id) z
+                ON z.product_id = c.product_id
+              WHERE NOT c.done AND c.it < 100)))""",
+        *ranks(out, v)[2:],
+    ]
+
+
+def picks(out: str = "mm", v: str = "ve", rank: str = "ra", k: int = lx.DIGEST_SENTENCES, graph: bool = True) -> list[str]:
+    """``out(nid, pick)`` by greedy rounds; without the graph, similarities to the picks from their terms."""
     steps = [f"""{out}_s AS MATERIALIZED (SELECT product_id, nid, r / max(r) OVER (PARTITION BY product_id) AS s FROM {rank}
       WHERE n > 1 AND product_id IN (SELECT product_id FROM {v}))""",
              f"{out}_0 AS (SELECT CAST(0 AS BIGINT) AS nid, 0 AS pick WHERE false)"]
+    near = f"{v}_g WHERE dst IN {{0}}" if graph else (
+        f"(SELECT a.nid AS src, b.nid AS dst, sum(a.w * b.w) AS sim FROM {v}_l a JOIN {v}_l b ON a.product_id = b.product_id "
+        f"AND a.term = b.term AND a.nid <> b.nid WHERE b.nid IN {{0}} GROUP BY ALL)")
     for i in range(1, k + 1):
         steps.append(f"""{out}_{i} AS MATERIALIZED (SELECT * FROM {out}_{i - 1} UNION ALL SELECT nid, {i} FROM (
           SELECT a.product_id, a.nid, row_number() OVER (PARTITION BY a.product_id ORDER BY
             round(0.7 * s - 0.3 * coalesce(x.m, 0), 9) DESC, a.nid) AS k
-          FROM {out}_s a LEFT JOIN (SELECT src, max(sim) AS m FROM {v}_g WHERE dst IN (SELECT nid FROM {out}_{i - 1})
+          FROM {out}_s a LEFT JOIN (SELECT src, max(sim) AS m FROM {near.format(f"(SELECT nid FROM {out}_{i - 1})")}
             GROUP BY src) x ON x.src = a.nid WHERE a.nid NOT IN (SELECT nid FROM {out}_{i - 1})) WHERE k = 1)""")
     return steps + [f"{out} AS (SELECT * FROM {out}_{k})"]
 
@@ -491,6 +527,11 @@ oracle("g2_product_tfidf", RO, KEPT, *candidates("kp"), *vectors(),
        final=f"SELECT ve_id.product_id, review_id, sent_no, term, {r6('w')} FROM ve JOIN ve_id USING (nid)")
 oracle("g3_similarity", RO, KEPT, *candidates("kp"), *vectors(),
        final=f"SELECT {ND}, {r6('coalesce(rs, 0)', 'sim_sum')} FROM ve_id LEFT JOIN ve_r ON src = nid")
+MANY = [*candidates("rd"), *vectors()[:4]]  # texts of large products, without their graph
+oracle("g3_similarity_docs", RD, *MANY, *linked(),
+       final=f"SELECT {ND}, {r6('coalesce(rs, 0)', 'sim_sum')} FROM ve_id LEFT JOIN ve_r ON src = nid")
+oracle("g4_rank_docs", RD, *MANY, *ranks_by_terms(), *picks(graph=False), recursive=True,
+       final=f"SELECT {ND}, {r6('r', 'centrality')}, coalesce(pick, 0) AS pick FROM ra LEFT JOIN mm USING (nid)")
 oracle("g4_rank", RO, KEPT, *candidates("kp"), *vectors(), *ranks(), recursive=True,
        final=f"SELECT {ND}, {r6('r', 'centrality')} FROM ra")
 oracle("g5_mmr", RO, KEPT, *candidates("kp"), *vectors(), *ranks(), *picks(), recursive=True,
@@ -516,10 +557,12 @@ oracle("g7_digest", RO, KEPT, *digest("kp", "(SELECT DISTINCT product_id FROM ro
        final="SELECT * FROM dg")
 oracle("g7_digest_turns", RT, *digest("rt", "(SELECT DISTINCT product_id FROM rt)"), recursive=True,
        final="SELECT * FROM dg")
-PACK = [
-    "fl AS (SELECT product_id, review_id, 0 AS sent_no, " + STRIP.format("text") + " AS text FROM kp WHERE "
-    + STRIP.format("text") + " <> '')",
-    *vectors("fl", "text"), *ranks(),
+def filled(source: str) -> str:
+    return (f"fl AS (SELECT product_id, review_id, 0 AS sent_no, {STRIP.format('text')} AS text FROM {source} "
+            f"WHERE {STRIP.format('text')} <> '')")
+
+
+PACKED = [
     f"""od AS (SELECT product_id, review_id, len(regexp_extract_all(body, {WORD})) AS n_words, row_number() OVER
       (PARTITION BY product_id ORDER BY round(r, 9) DESC, review_id) AS o FROM ra)""",
     f"""pa AS (SELECT product_id, 0 AS o, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS filled, 0 AS chunk_no,
@@ -531,8 +574,29 @@ PACK = [
         chunk_no = 0 OR filled + od.n_words > {lx.CHUNK_WORDS} AS opens
         FROM pa p JOIN od ON od.product_id = p.product_id AND od.o = p.o + 1) p)""",
 ]
+PACK = [filled("kp"), *vectors("fl", "text"), *ranks(), *PACKED]
+PACK_DOCS = [filled("rd"), *vectors("fl", "text")[:4], *ranks_by_terms(), *PACKED]
+CHUNKS = "SELECT product_id, review_id, chunk_no, n_words FROM pa JOIN od USING (product_id, o) WHERE taken"
 oracle("g8_pack", RO, KEPT, *PACK, recursive=True,
-       final="SELECT product_id, review_id, chunk_no, n_words FROM pa JOIN od USING (product_id, o) WHERE taken")
+       final=CHUNKS)
+oracle("g8_pack_docs", RD, *PACK_DOCS, recursive=True, final=CHUNKS.replace("n_words FROM", "CAST(n_words AS INT) AS n_words FROM"))
+
+
+def first_words(text: str, n: str) -> str:
+    """The stand-in for a generation model: as many words as it may write."""
+    return (f"array_to_string(regexp_extract_all({text}, '\\S+')[1:CAST(floor(least(160, greatest(40, {n} * 0.6::DOUBLE))) "
+            "AS INT)], ' ')")
+
+
+TWO_LEVEL = [
+    """ct AS (SELECT product_id, chunk_no, sum(n_words) AS nw, string_agg(text, ' ' ORDER BY o) AS t FROM pa
+      JOIN od USING (product_id, o) JOIN fl USING (product_id, review_id) WHERE taken GROUP BY product_id, chunk_no)""",
+    f"""cj AS (SELECT product_id, count(*) AS n_chunks, string_agg({first_words('t', 'nw')}, ' ' ORDER BY chunk_no) AS t
+      FROM ct GROUP BY product_id)""",
+    f"""tl AS (SELECT product_id, n_chunks, CASE WHEN n_chunks = 1 THEN t
+      ELSE {first_words('t', f'len(regexp_extract_all(t, {WORD}))')} END AS summary FROM cj)""",
+]
+oracle("g10_two_level", RD, *PACK_DOCS, *TWO_LEVEL, recursive=True, final="SELECT product_id, summary, n_chunks FROM tl")
 oracle("g9_bounds", final=f"""SELECT review_id, CAST(mx AS INT) AS max_len,
   CAST(floor(least(mx - 10, greatest(15, n * 0.15::DOUBLE))) AS INT) AS min_len FROM (SELECT review_id, n,
   floor(least(160, greatest(40, n * 0.6::DOUBLE))) AS mx FROM (SELECT doc_id AS review_id,
@@ -645,6 +709,17 @@ oracle("p5_reviews", *SC, *PHRASES, *REASONS,
        final="""SELECT product_id, review_id, text, rating, round(p, 3) AS fake_prob,
          CASE WHEN p >= 0.5 THEN 'Fake' ELSE 'Genuine' END AS verdict, coalesce(ps, '') AS suspicious_phrases,
          coalesce(rs, '') AS reasons FROM sc LEFT JOIN pj USING (review_id) LEFT JOIN rj USING (review_id)""")
+oracle("p3_view", *SC, final="""SELECT 'All' AS shown, product_id, review_id FROM sc UNION ALL
+  SELECT 'Flagged', product_id, review_id FROM sc WHERE p >= 0.5 UNION ALL
+  SELECT 'Genuine', product_id, review_id FROM sc WHERE p < 0.5""")
+oracle("p5_highlighted", *SC, *PHRASES, *REASONS,
+       "rj AS (SELECT review_id, string_agg(reason, '; ' ORDER BY rank) AS rs FROM re GROUP BY review_id)",
+       "sp AS (SELECT DISTINCT review_id, b, e FROM (" + spans(
+           "(SELECT review_id, phrase, text FROM ph JOIN sc USING (review_id) WHERE p >= 0.5)", "review_id, phrase", "text",
+           r"'(?i)\b' || replace(phrase, ' ', '\W+') || '\b'") + "))",
+       *MERGED, *MARKED, final=f"""SELECT product_id, review_id, p >= 0.5 AS is_fake, {MARKUP} AS body,
+         CASE WHEN p >= 0.5 THEN coalesce(rs, '') ELSE '' END AS why
+         FROM sc LEFT JOIN pj USING (review_id) LEFT JOIN rj USING (review_id)""")
 A6 = """product_id, aspect, verdict, round(score, 2) + 0.0 AS score, mentions, positive, neutral, negative, discovered"""
 oracle("p6_aspects", *ASPECTS, final=f"SELECT {A6} FROM ar")
 oracle("r8_aspect_chart", *ASPECTS, final=f"SELECT {A6} FROM ar ORDER BY product_id, score DESC, aspect")
@@ -673,3 +748,8 @@ oracle("r7_report", *SC, "rs AS (" + stats("sc", "0.5", "product_id") + ")", "kp
        final="""SELECT product_id, n_total, n_fake, pct_fake, raw_avg_rating, genuine_avg_rating, genuine_positive,
          genuine_negative, rating_shift, summary, n_reviews, coalesce(verdicts, '') AS verdicts
          FROM rs JOIN dg USING (product_id) LEFT JOIN vd USING (product_id)""")
+oracle("r7_report_generated", *SC, "kp AS (SELECT * FROM sc WHERE p < 0.5)", *PACK, *TWO_LEVEL,
+       "nr AS (SELECT product_id, count(*) AS k FROM fl GROUP BY product_id)", recursive=True,
+       final=f"""SELECT product_id, coalesce(summary, {q(lx.DIGEST_EMPTY)}) AS summary, 'abstractive' AS backend,
+         coalesce(k, 0) AS n_reviews FROM (SELECT DISTINCT product_id FROM sc) LEFT JOIN tl USING (product_id)
+         LEFT JOIN nr USING (product_id)""")

@@ -14,6 +14,7 @@ from ..operators import aspects as asp
 from ..operators import centrality as cen
 from ..operators import digest as dig
 from ..operators import explain, features, langmodel, metrics, model, report, scoring, vectorize
+from ..session import materialize
 from ..sources import readers
 from ..sources.views import reviews_docs, reviews_orders, reviews_turns, table
 
@@ -372,10 +373,9 @@ def c5_fusion(spark, d):
 
 @query
 def c2_fit(spark, d):
-    """Model trained on the training part, coefficients of the dense features."""
+    """Model trained on the training part, all its coefficients."""
     train, _ = readers.train_test(reviews_orders(spark, d))
-    fitted = model.fit(train)
-    return rounded(fitted.feature_table(spark).select("feature", "coef"), "coef")
+    return rounded(model.coefficients(model.fit(train), spark), "coef")
 
 
 def exclamation_model():
@@ -389,7 +389,7 @@ def c6_batch_score(spark, d):
 
 @query
 def c7_ablation(spark, d):
-    """Accuracy, F1 and AUC on the test part: both blocks, one block, and fused with an outside score."""
+    """Accuracy, F1 and AUC on the test part: both blocks, one block, an outside score, and fused with it."""
     train, test = readers.train_test(reviews_orders(spark, d))
     outside = scoring.fake_scores(test, exclamation_model)
     return rounded(model.ablation(model.prepare(train), test, outside), "accuracy", "f1", "auc")
@@ -436,7 +436,7 @@ def x7_dense_weights(spark, d):
 
 # --------------------------------------------------------------------------- metrics
 def _judged(spark, d):
-    return _plain(spark, d).select("label", F.round("fake_prob", 4).alias("fake_prob"))
+    return _plain(spark, d).select("label", "fake_prob")
 
 
 @query
@@ -468,8 +468,8 @@ def m6_confusion(spark, d):
 def m7_comparison(spark, d):
     """Linear model against the sentiment alone, mapped to 0..1."""
     scored = _plain(spark, d)
-    both = {"linear": scored.select("label", F.round("fake_prob", 4).alias("fake_prob")),
-            "sentiment": scored.select("label", F.round((F.col("sentiment") + 1) / 2, 4).alias("fake_prob"))}
+    both = {"linear": scored.select("label", "fake_prob"),
+            "sentiment": scored.select("label", ((F.col("sentiment") + 1) / 2).alias("fake_prob"))}
     return rounded(metrics.compare(both), "accuracy", "f1", "auc")
 
 
@@ -653,6 +653,20 @@ def p5_reviews(spark, d):
     return report.reviews_table(report.flag(_scored(spark, d)))
 
 
+@query
+def p3_view(spark, d):
+    """All three views of the flagged reviews."""
+    flagged = materialize(report.flag(_plain(spark, d)).select("product_id", "review_id", "fake_prob", "is_fake"), "flagged")
+    views = [report.view(flagged, v).select(F.lit(v).alias("shown"), "product_id", "review_id")
+             for v in ("All", "Flagged", "Genuine")]
+    return views[0].unionByName(views[1]).unionByName(views[2])
+
+
+@query
+def p5_highlighted(spark, d):
+    return report.highlighted_table(report.flag(_scored(spark, d)))
+
+
 @query
 def p6_aspects(spark, d):
     return report.aspects_table(asp.analyze_aspects(_kept(spark, d), n_examples=0))
@@ -668,8 +682,10 @@ def r1_r4_stats(spark, d):
 
 @query
 def r5_rethreshold(spark, d):
-    """Another threshold over the same scores."""
-    return rounded(report.product_stats(report.flag(_plain(spark, d), 0.7)), *STATS)
+    """A first report, then another threshold over its stored scores."""
+    reviews = reviews_orders(spark, d)
+    first = report.analyze(reviews, given_model(reviews))
+    return rounded(report.build_report(first.reviews.drop("is_fake"), 0.7).stats, *STATS)
 
 
 @query
@@ -688,6 +704,13 @@ def r7_report(spark, d):
         F.coalesce(verdicts, F.lit("")).alias("verdicts"))
 
 
+@query
+def r7_report_generated(spark, d):
+    """Digests of a caller's model inside the report."""
+    reviews = reviews_orders(spark, d)
+    return report.analyze(reviews, given_model(reviews), generator=first_words_model).digest
+
+
 @query
 def r8_aspect_chart(spark, d):
     return report.aspect_chart(asp.analyze_aspects(_kept(spark, d), n_examples=0))

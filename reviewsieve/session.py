@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", app: str = "reviewsieve", **conf) -> SparkSession:
@@ -39,12 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return created
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a table read from there.
 
-    One job, no lineage left, survives the loss of executors.
+    One job, no lineage left, survives the loss of executors. ``schema`` reads it with user-defined types.
     """
     spark = df.sparkSession
     path = "/".join([shared_dir(spark).rstrip("/"), "reviewsieve", f"{name}-{uuid.uuid4().hex}"])
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
