@@ -3,13 +3,16 @@
 A candidate of the fourth kind is a long token of mixed characters near a sensitive word. Its marginal size is what a
 compressor, primed with a dictionary of identifiers and with the code around the candidate, needs for the text with
 it beyond the text without it. What repeats names, words or the surrounding text costs little; a candidate that costs
-about a byte per character is random, and is reported as ``novel``.
+about a byte per character is random, and is reported as ``novel``. Among other random strings the compressor's literal
+codes are tuned to them, and a random candidate costs no more than the entropy of its alphabet. So a candidate at that
+entropy is reported too if it costs about a byte per character in fixed prose, where names and words do not.
 
 Row-local: no shuffle, nothing broadcast but the dictionary. Defined cases: null and empty texts have no spans; offsets
 count code points, end exclusive; ``spans`` replaces a column of that name.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,6 +26,9 @@ CONTEXT = 40           # characters before a candidate in which a sensitive word
 SURROUNDING = 1024     # characters on either side that prime the compressor
 MIN_TOKEN = 16
 NOVELTY = 0.8          # marginal bytes per character from which a candidate is reported
+ENTROPY = 0.9          # the same as a share of the entropy of its alphabet, for candidates that are novel in prose
+HEADER = 3             # bytes by which a candidate's share of the block headers varies
+PIECE = 32             # characters compressed at once in prose, since literal codes adapt to a long candidate
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -52,6 +58,14 @@ IDENTIFIERS = (
     "value variable vector version view virtual volume warning width window worker workspace wrapper "
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 11111111 ffffffff xxxxxxxx")
 
+PROSE = (
+    "The committee met again on the second day of the month and agreed that most of the work should go on as planned. "
+    "People who live near the river had asked for a new bridge, because the old one is closed whenever the water is "
+    "high, and children then have to walk for an hour to reach their school. A few members thought this was too much "
+    "money for a small place; others said that every village in the valley would use it. In the end they voted to ask "
+    "an engineer for advice before winter. Nobody expects quick results, yet the mood was better than last year, when "
+    "the meeting broke up after a quarrel about taxes, just as visitors from abroad were being shown around the hall. ")
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the pattern kinds, in no order."""
@@ -73,11 +87,35 @@ class Novelty:
         prime = " ".join([*words, *(w.capitalize() for w in words), *(w.upper() for w in words)]).encode()
         self.compressor = zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=(
             zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
+        self.prose = (PROSE + PROSE[:SURROUNDING - len(PROSE)]).encode()
+        self.prose_size = len(self.compressor.compress(self.prose))
 
     def marginal(self, before: str, candidate: str, after: str) -> int:
         around = (before + after).encode()
         return len(self.compressor.compress(around + candidate.encode())) - len(self.compressor.compress(around))
 
+    def strange(self, candidate: str) -> bool:
+        """Is any piece of the candidate novel in prose?"""
+        cuts = [*range(0, max(1, len(candidate) - MIN_TOKEN + 1), PIECE), len(candidate)]
+        return any(len(self.compressor.compress(self.prose + candidate[a:b].encode())) - self.prose_size
+                   >= NOVELTY * (b - a) for a, b in zip(cuts, cuts[1:]))
+
+    def is_novel(self, before: str, candidate: str, after: str) -> bool:
+        size = self.marginal(before, candidate, after)
+        return size >= NOVELTY * len(candidate) or (
+            size >= ENTROPY * entropy(candidate) - HEADER and self.strange(candidate))
+
+
+def entropy(token: str) -> float:
+    """Bytes of a random string of that length over the token's alphabet: its hexadecimal digits, or the digits and
+    cases it has, and its signs."""
+    plain = re.sub(r"[^A-Za-z0-9]", "", token)
+    if re.fullmatch(r"[0-9a-f]*|[0-9A-F]*", plain):
+        letters = 16
+    else:
+        letters = sum(n for n, kind in ((10, "[0-9]"), (26, "[a-z]"), (26, "[A-Z]")) if re.search(kind, plain))
+    return len(token) * math.log2(letters + len(set(token) - set(plain))) / 8
+
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible tokens in a sensitive context, apart from the spans taken. Each sensitive word opens the
@@ -96,8 +134,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty)
                 continue
             if any(start < e and s < end for s, e, _ in taken):
                 continue
-            size = novelty.marginal(text[max(0, start - SURROUNDING):start], token, text[end:end + SURROUNDING])
-            if size >= NOVELTY * len(token):
+            if novelty.is_novel(text[max(0, start - SURROUNDING):start], token, text[end:end + SURROUNDING]):
                 out.append((start, end, 3))
     return out
 

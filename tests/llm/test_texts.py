@@ -123,6 +123,24 @@ def test_secrets(spark, sf):
     assert secrets.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_secrets_among_secrets():
+    """Ten random tokens side by side are found, for several alphabets."""
+    rng, novelty = random.Random(8), secrets.Novelty()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [(letters + letters.upper() + "0123456789", 32), (letters + letters.upper() + "0123456789+/", 64),
+                 ("0123456789abcdef", 20), ("0123456789ABCDEF", 32), (letters + "0123456789", 40)]
+    found = total = 0
+    for alphabet, size in alphabets:
+        for _ in range(10):
+            tokens = ["7f" + "".join(rng.choices(alphabet, k=size - 2)) for _ in range(10)]
+            if alphabet.isupper():
+                tokens = [t.upper() for t in tokens]
+            text = "".join(f'session_key: "{t}"\n' for t in tokens)
+            spans = secrets.novel_spans(text, [], novelty)
+            found, total = found + len({text[s:e] for s, e, _ in spans} & set(tokens)), total + 10
+    assert found > 0.97 * total
+
+
 PAGE = ("<html><head><title>t</title></head><body><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies</div>"
         "<div class='{box}'><h1>Head &amp; line</h1><p>One <b>bold</b>\n text &#233;.<br>More<p>Two<script>x('<p>')</script>"
         "<form><p>Your mail</p></form></div><div id='comments'><p>Great post, thank you all so much for this!</p></div>"
