@@ -1,6 +1,8 @@
 """Secret scan: three pattern kinds, and novelty measured with a dictionary-primed zstandard compressor.
 
-A candidate of the fourth kind is a long token of mixed characters near a sensitive word. Its marginal size is what a
+A candidate of the fourth kind is a long token of mixed characters within 40 characters of a sensitive word, before or
+after it. A token ends at ``=``, so a name and its value are two; of a token that holds a sensitive word itself, what
+follows or precedes the word is a candidate, too. Its marginal size is what a
 compressor, primed with a dictionary of identifiers and with the code around the candidate, needs for the text with
 it beyond the text without it. What repeats names, words or the surrounding text costs little; a candidate that costs
 about a byte per character is random, and is reported as ``novel``. Among other random strings the compressor's literal
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "novel")
-CONTEXT = 40           # characters before a candidate in which a sensitive word makes it one
+CONTEXT = 40           # characters on either side of a candidate in which a sensitive word makes it one
 SURROUNDING = 1024     # characters on either side that prime the compressor
 MIN_TOKEN = 16
 NOVELTY = 0.8          # marginal bytes per character from which a candidate is reported
@@ -36,7 +39,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = re.compile(r"password|passwd|secret|token|api.?key|credential|bearer|auth|private|signature|session",
                        re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
+# a run of 16 characters or more, with the padding of base64; `=` before other characters ends a name
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+JOINT = "+/_=-"        # stripped where a candidate is cut from a sensitive word
 IDENTIFIERS = (
     "access account address admin algorithm alpha application argument array async attribute authorization await "
     "backend base64 boolean bucket buffer build cache callback certificate character class client cluster code "
@@ -118,27 +123,48 @@ def entropy(token: str) -> float:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible tokens in a sensitive context, apart from the spans taken. Each sensitive word opens the
-    characters after it to candidates, so the cost follows the number of such words."""
-    out, seen = [], set()
-    for word in SENSITIVE.finditer(text):
-        for m in TOKEN.finditer(text, word.end()):
-            start, end = m.span()
-            if start > word.end() + CONTEXT:
-                break
-            if end - start < MIN_TOKEN or start == word.end() or start in seen:
-                continue
-            token = m.group()
-            seen.add(start)
-            if not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)):
+    """Incompressible tokens in a sensitive context, apart from the spans taken. Texts without a sensitive word are
+    not searched for tokens; the cost follows the tokens near such words."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    starts = [s for s, _ in words]
+    apart: list[list[int]] = []  # the spans taken, overlapping ones as one
+    for s, e, _ in sorted(taken):
+        if apart and s <= apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], e)
+        else:
+            apart.append([s, e])
+    out = []
+    for m in TOKEN.finditer(text):
+        start, end = m.span()
+        last = bisect_right(starts, end + CONTEXT) - 1
+        if last < 0 or words[last][1] < start - CONTEXT:
+            continue
+        for s, e in candidates(text, start, end, words, starts):
+            token = text[s:e]
+            if e - s < MIN_TOKEN or not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)):
                 continue
-            if any(start < e and s < end for s, e, _ in taken):
+            before = bisect_left(apart, [e]) - 1
+            if before >= 0 and apart[before][1] > s:
                 continue
-            if novelty.is_novel(text[max(0, start - SURROUNDING):start], token, text[end:end + SURROUNDING]):
-                out.append((start, end, 3))
+            if novelty.is_novel(text[max(0, s - SURROUNDING):s], token, text[e:e + SURROUNDING]):
+                out.append((s, e, 3))
+                break
     return out
 
 
+def candidates(text: str, start: int, end: int, words: list[tuple[int, int]],
+               starts: list[int]) -> Iterator[tuple[int, int]]:
+    """The token; if it holds sensitive words, also what follows the last and what precedes the first of them."""
+    yield start, end
+    first, last = bisect_left(starts, start), bisect_left(starts, end) - 1
+    if first <= last:
+        tail, head = text[words[last][1]:end], text[start:words[first][0]]
+        yield end - len(tail.lstrip(JOINT)), end
+        yield start, start + len(head.rstrip(JOINT))
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``spans``: array of (kind, start, end) by start, then kind in the order of ``KINDS``."""
     @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")

@@ -141,6 +141,19 @@ def test_secrets_among_secrets():
     assert found > 0.97 * total
 
 
+@pytest.mark.parametrize("form", [
+    "aws_secret_access_key={}", "PRIVATE_KEY={}\n", "session={}; path", "GET /a?signature={}&x=1", "{} # session",
+    "auth: {}", "session_{}", "x = {}-token", "my_application_settings_session_credential_{}", "private={}==",
+    '"{}": "the private one"'])
+def test_secret_beside_its_name(form):
+    token = "9fQz7Zk2Wm9Xv4Rt8Yp3Ls6Nb1CtU5d"
+    text = "The settings of the service are these: " + form.format(token) + " and they are read at the start."
+    spans = secrets.novel_spans(text, secrets.base_spans(text), secrets.Novelty())
+    assert any(token in text[s:e] for s, e, _ in spans) and len(spans) == 1
+    plain = text.replace(token, "my_session_identifier_name_1")
+    assert not secrets.novel_spans(plain, secrets.base_spans(plain), secrets.Novelty())
+
+
 PAGE = ("<html><head><title>t</title></head><body><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies</div>"
         "<div class='{box}'><h1>Head &amp; line</h1><p>One <b>bold</b>\n text &#233;.<br>More<p>Two<script>x('<p>')</script>"
         "<form><p>Your mail</p></form></div><div id='comments'><p>Great post, thank you all so much for this!</p></div>"
