@@ -26,7 +26,7 @@ from .common import schema
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      |<(script|style|noscript|template|iframe|svg|textarea|select|title|head)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)
+      |<(script|style|noscript|template|iframe|textarea|select|title)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)
       |<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>
       |<[!?/][^>]*>""", re.S | re.I | re.X)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -37,44 +37,90 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form button dialog menu".split())
 BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|cookies?|consent|notices?|comments?|replies|"
-    r"disqus|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|sharing|social|related|newsletter|subscribe|popup|"
-    r"modal|toolbar|pagination|pager|login|signup)(?:$|[-_\s\d])", re.I)
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|cookies?|consent|notices?|comments?|replies|disqus|menu|nav\w*|"
+    r"breadcrumbs?|footer|header|masthead|share|sharing|social|related|newsletter|subscribe|popup|modal|toolbar|"
+    r"pagination|pager|login|signup", re.I)
+# what a class or id may add to these names and still name boilerplate
+PLACES = frozenset("site page main global primary secondary top bottom left right upper lower sticky fixed mobile desktop "
+                   "bar box wrap wrapper container inner outer widget block list area section links buttons icons form "
+                   "items item panel posts articles content signup overlay message text policy".split())
+MODIFIERS = frozenset("has no with without is not show hide hides".split())
+# names of what stands beside the main text even if it is longer
+BESIDE = re.compile(r"comments?|replies|disqus|related|cookies?|consent|ads?|advert\w*|sponsor\w*|nav\w*|menu|footer", re.I)
+HEAD_TAGS = frozenset("head title meta link script style base noscript template".split())
+_SVG_END = re.compile(
+    r"</svg\s*>|<foreignobject\b|(?=</?(?:article|aside|blockquote|body|center|code|dd|div|dl|dt|em|footer|form|h[1-6]|header|"
+    r"hr|img|li|main|nav|ol|p|pre|section|small|span|strong|table|td|th|tr|ul)\b)", re.I)
+_SVG_CLOSE = re.compile(r"</svg\s*>", re.I)
 BONUS = {"article": 1.5, "main": 1.3}
 DEPTH_BONUS = 1.02     # the deeper of two containers with the same text wins
 
 
+def boilerplate_names(value: str) -> list[str]:
+    """The boilerplate words of a class or id whose words are such and places only, from each token of it."""
+    out: list[str] = []
+    for token in value.split():
+        parts = [p for p in re.split(r"[-_]+|\d+|(?<=[a-z])(?=[A-Z])", token.replace("side-bar", "sidebar")) if p]
+        named = [p for p in parts if BOILERPLATE_NAMES.fullmatch(p)]
+        if named and not MODIFIERS & {p.lower() for p in parts} and all(
+                p in named or p.lower() in PLACES for p in parts):
+            out += named
+    return out
+
+
+def after_svg(page: str, at: int) -> int:
+    """Where the drawing whose start tag ends at ``at`` ends: its end tag, or a tag that cannot be inside. -1 if none."""
+    m = _SVG_END.search(page, at)
+    if m and m.group().lower() == "<foreignobject":
+        m = _SVG_CLOSE.search(page, m.end())
+    return m.end() if m else -1
+
+
 def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(container path, text, weight) of the blocks in page order, without boilerplate. The weight is the length
-    of the text less twice that of its links."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
+    of the text less twice that of its links.
+
+    An element that is named like boilerplate is kept if it holds the page's only article or main, or most of its
+    running text; what by its name stands beside the main text only if it holds both.
+    """
+    out: list[tuple[tuple[str, ...], str, float, tuple[int, ...]]] = []  # with the boilerplate elements around
     stack: list[tuple[str, str | None, bool]] = []  # tag, label if it is a container, boilerplate
     parts: list[str] = []
-    held = {"links": 0, "in_link": 0, "skip": 0}
+    held = {"links": 0, "in_link": 0, "head": 0}
+    around: list[int] = []           # numbers of the open boilerplate elements
+    beside: list[bool] = []          # of each boilerplate element
+    holders: list[tuple[int, ...]] = []  # boilerplate elements around each article or main
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
                 path = tuple(label for _, label, _ in stack if label)
-                out.append((path, text, len(text) - 2.0 * held["links"]))
+                out.append((path, text, len(text) - 2.0 * held["links"], tuple(around)))
             parts.clear()
             held["links"] = 0
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             tag, _, skipped = stack.pop()
-            held["skip"] -= skipped
+            if skipped:
+                around.pop()
             held["in_link"] -= tag == "a"
+            held["head"] -= tag == "head"
 
     def add(text: str) -> None:
-        if not held["skip"]:
-            parts.append(text)
-            if held["in_link"]:
-                held["links"] += len(text.strip())
+        if held["head"] and not text.isspace():
+            leave_head()
+        parts.append(text)
+        if held["in_link"]:
+            held["links"] += len(text.strip())
+
+    def leave_head() -> None:
+        parts.clear()
+        pop_to(next(k for k, (t, _, _) in enumerate(stack) if t == "head"))
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at:m.start()])
         at = m.end()
@@ -82,6 +128,13 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if held["head"] and not m.group(2) and tag not in HEAD_TAGS:
+            leave_head()  # its end tag may be left out
+        if tag == "svg":
+            if not m.group(2) and not m.group(4).endswith("/"):
+                end = after_svg(page, at)
+                at = end if end >= 0 else len(page)
+            continue
         if m.group(2):
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
             if tag not in INLINE:
@@ -109,20 +162,48 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         pop_to(depth)
         names = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(m.group(4))} if m.group(4) else {}
         inside = any(t in BONUS for t, _, _ in stack)
+        role = names.get("role", "").lower()
+        named = [] if tag in ("html", "body", "article", "main") else [
+            n for k in ("class", "id") for n in boilerplate_names(names.get(k, ""))]
         skipped = (tag in BOILERPLATE_TAGS or tag == "header" and not inside
-                   or names.get("role", "").lower() in ("navigation", "banner", "complementary", "contentinfo")
-                   or tag not in ("html", "body", "article", "main") and any(
-                       BOILERPLATE_NAMES.search(names.get(k, "")) for k in ("class", "id")))
+                   or role in ("navigation", "banner", "complementary", "contentinfo") or bool(named))
+        if tag in BONUS:
+            holders.append(tuple(around))
         label = None
         if tag not in TEXT_BLOCKS and tag not in ("html", "body"):  # the latter two may be left out in a page
             classes = ".".join(sorted(set(re.sub(r"\d+", "#", names.get("class", "").lower()).split())))
             label = f"{tag}.{classes}" if classes else tag
-        stack.append((tag, label, bool(skipped)))
-        held["skip"] += bool(skipped)
+        stack.append((tag, label, skipped))
+        held["head"] += tag == "head"
+        if skipped:
+            around.append(len(beside))
+            beside.append(tag in BOILERPLATE_TAGS and tag != "form" or role in ("navigation", "complementary", "contentinfo")
+                          or any(BESIDE.fullmatch(n) for n in named))
     if at < len(page):
         add(page[at:])
     flush()
-    return out
+    return without_boilerplate(out, beside, holders)
+
+
+def without_boilerplate(blocks: list[tuple[tuple[str, ...], str, float, tuple[int, ...]]], beside: list[bool],
+                        holders: list[tuple[int, ...]]) -> list[tuple[tuple[str, ...], str, float]]:
+    if beside:
+        # the running text of each element, apart from what stands beside the main text within it
+        running, total = [0.0] * len(beside), 0.0
+        for _, _, weight, around in blocks:
+            weight = max(0.0, weight)
+            total += 0.0 if any(beside[k] for k in around) else weight
+            for at in range(len(around) - 1, -1, -1):
+                running[around[at]] += weight
+                if beside[around[at]]:
+                    break
+        every = set.intersection(*map(set, holders)) if holders else set()
+        whole = sum(max(0.0, weight) for _, _, weight, _ in blocks)
+        kept = {k for k in range(len(beside)) if (
+            k in every and 2 * running[k] > whole if beside[k] else k in every or 2 * running[k] > total and not any(
+                k not in around for around in holders))}
+        blocks = [b for b in blocks if kept.issuperset(b[3])]
+    return [(path, text, weight) for path, text, weight, _ in blocks]
 
 
 def best_container(blocks: list[tuple[tuple[str, ...], str, float]]) -> tuple[str, float]:

@@ -175,6 +175,29 @@ def test_main_text(spark):
     assert html.extract(docs.limit(0)).count() == 0
 
 
+TEXT = "".join(f"<p>Paragraph {k} of an article that runs on for a while.</p>" for k in range(6))
+PLAIN = "\n".join(f"Paragraph {k} of an article that runs on for a while." for k in range(6))
+COMMENTS = "<div id='comments'><p>" + "Thank you for this. " * 40 + "</p></div>"
+
+
+@pytest.mark.parametrize("page,expected", [
+    (f"<body><div class='layout has-sidebar'>{TEXT}</div></body>", PLAIN),
+    (f"<body class='x'><div class='no-comments'>{TEXT}</div></body>", PLAIN),
+    (f"<div class='with-banner post'>{TEXT}<div class='site-footer'>Foot</div></div>", PLAIN),
+    (f"<section class='related-work'>{TEXT}</section>", PLAIN),
+    (f"<div class='post'><div class='entry-header'><h1>Title</h1></div>{TEXT}</div>", "Title\n" + PLAIN),
+    (f"<body><form id='aspnetForm'><nav>Home</nav><div>{TEXT}</div><div class='footer'>Foot</div></form></body>", PLAIN),
+    (f"<div class='sidebar'><main>{TEXT}</main></div>", PLAIN),
+    (f"<html><head><title>t</title><meta charset=x><style>p {{}}</style><body><div>{TEXT}</div>", PLAIN),
+    (f"<head><link rel=x href=y><p>First</p>{TEXT}", "First\n" + PLAIN),
+    (f"<div><svg class=\"i\"/>{TEXT}<svg><path d='M0'/><text>no</text></svg></div>", PLAIN),
+    (f"<div><svg class='i'><path d='M0'/>{TEXT}</div>", PLAIN),
+    (f"<div class='post'>{TEXT}</div>{COMMENTS}", PLAIN),
+    ("<nav><a href='/'>Home</a></nav><footer>Foot</footer>", "")])
+def test_no_article_vanishes(page, expected):
+    assert html.main_text(html.read_blocks(page), None)[0] == expected
+
+
 def test_articles_of_the_table(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op9_main_text"](spark, sf).collect():
