@@ -1,7 +1,7 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Each page is read into blocks of text with the generalised path of their container (tags and classes, digits as #).
-A page votes for the container that holds most of its running text; Spark counts the votes per host, and every page is
+A page votes for the container that holds most of its running text, widened to the article around it; Spark counts the votes per host, and every page is
 read again with its host's winning path. A page without a block below that path uses the container it voted for.
 Votes are counted with map-side combining, one row per host and path; the join with the winners carries the pages, and
 Spark broadcasts the winners as long as they are small and splits a hot host if not.
@@ -53,7 +53,8 @@ _SVG_END = re.compile(
     r"hr|img|li|main|nav|ol|p|pre|section|small|span|strong|table|td|th|tr|ul)\b)", re.I)
 _SVG_CLOSE = re.compile(r"</svg\s*>", re.I)
 BONUS = {"article": 1.5, "main": 1.3}
-DEPTH_BONUS = 1.02     # the deeper of two containers with the same text wins
+FRAME_TAGS = frozenset("nav footer aside header".split())
+FRAME_NAMES = re.compile(r"nav\w*|menu|breadcrumbs?|footer|header|masthead|side-?bar|banner|toolbar", re.I)
 
 
 def boilerplate_names(value: str) -> list[str]:
@@ -77,12 +78,18 @@ def after_svg(page: str, at: int) -> int:
 
 
 def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
+    return read_page(page)[0]
+
+
+def read_page(page: str) -> tuple[list[tuple[tuple[str, ...], str, float]], set[tuple[str, ...]]]:
     """(container path, text, weight) of the blocks in page order, without boilerplate. The weight is the length
     of the text less twice that of its links.
 
     An element that is named like boilerplate is kept if it holds the page's only article or main, or most of its
-    running text; what by its name stands beside the main text only if it holds both.
+    running text; what by its name stands beside the main text only if it holds both. Also the paths of the containers in which
+    navigation, headers, footers and side bars stand.
     """
+    frames: set[tuple[str, ...]] = set()
     out: list[tuple[tuple[str, ...], str, float, tuple[int, ...]]] = []  # with the boilerplate elements around
     stack: list[tuple[str, str | None, bool]] = []  # tag, label if it is a container, boilerplate
     parts: list[str] = []
@@ -167,6 +174,8 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             n for k in ("class", "id") for n in boilerplate_names(names.get(k, ""))]
         skipped = (tag in BOILERPLATE_TAGS or tag == "header" and not inside
                    or role in ("navigation", "banner", "complementary", "contentinfo") or bool(named))
+        if skipped and (tag in FRAME_TAGS or role or any(FRAME_NAMES.fullmatch(n) for n in named)):
+            frames.add(tuple(label for _, label, _ in stack if label))
         if tag in BONUS:
             holders.append(tuple(around))
         label = None
@@ -182,7 +191,7 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     if at < len(page):
         add(page[at:])
     flush()
-    return without_boilerplate(out, beside, holders)
+    return without_boilerplate(out, beside, holders), frames
 
 
 def without_boilerplate(blocks: list[tuple[tuple[str, ...], str, float, tuple[int, ...]]], beside: list[bool],
@@ -206,8 +215,9 @@ def without_boilerplate(blocks: list[tuple[tuple[str, ...], str, float, tuple[in
     return [(path, text, weight) for path, text, weight, _ in blocks]
 
 
-def best_container(blocks: list[tuple[tuple[str, ...], str, float]]) -> tuple[str, float]:
-    """Path and score of the container with most running text."""
+def best_container(blocks: list[tuple[tuple[str, ...], str, float]],
+                   frames: set[tuple[str, ...]] = frozenset()) -> tuple[str, float]:
+    """Path and score of the container with most running text, widened to the whole main text around it."""
     weights: dict[tuple[str, ...], float] = defaultdict(float)
     for path, _, weight in blocks:
         for depth in range(len(path) + 1):
@@ -216,19 +226,40 @@ def best_container(blocks: list[tuple[tuple[str, ...], str, float]]) -> tuple[st
         return "", 0.0
 
     def score(path: tuple[str, ...]) -> float:
-        value = weights[path] * DEPTH_BONUS ** min(len(path), 50)
+        value = weights[path]
         for tag, bonus in BONUS.items():
             if any(label.split(".")[0] == tag for label in path):
                 value *= bonus
         return value
 
-    best = min(weights, key=lambda path: (-score(path), path))
-    return ">".join(best), max(0.0, score(best))
-
-
-def main_text(blocks: list[tuple[tuple[str, ...], str, float]], winner: str | None) -> tuple[str, str]:
+    best = min(weights, key=lambda path: (-score(path), -len(path), path))  # the deeper one of equals
+    return ">".join(widened(best, blocks, frames)), max(0.0, score(best))
+
+
+def widened(best: tuple[str, ...], blocks: list[tuple[tuple[str, ...], str, float]],
+            frames: set[tuple[str, ...]]) -> tuple[str, ...]:
+    """The article around a container, else the main, else the highest container that holds no navigation, header,
+    footer or side bar outside it: lists of links count against a container, but belong to its text."""
+    for tag in BONUS:
+        for k, label in enumerate(best):
+            if label.split(".")[0] == tag:
+                return best[:k + 1]
+    outside = [f for f in frames if f[:len(best)] != best]
+    top = best
+    for k in range(len(best) - 1, 0, -1):
+        if any(f[:k] == best[:k] for f in outside):
+            break
+        top = best[:k]
+    inside = [path for path, _, _ in blocks if path[:len(top)] == top]
+    depth = next((k for k in range(len(best), len(top), -1) if all(p[:k] == best[:k] for p in inside)), len(top))
+    return best[:depth]
+
+
+def main_text(blocks: list[tuple[tuple[str, ...], str, float]], winner: str | None,
+              frames: set[tuple[str, ...]] = frozenset()) -> tuple[str, str]:
     """Text of the blocks below the winning path, or below the page's own best container; and the path used."""
-    for wanted in (winner, best_container(blocks)[0]):
+    for own in (False, True):
+        wanted = best_container(blocks, frames)[0] if own else winner
         if wanted is None:
             continue
         head = tuple(wanted.split(">")) if wanted else ()
@@ -240,13 +271,16 @@ def main_text(blocks: list[tuple[tuple[str, ...], str, float]], winner: str | No
 
 @F.pandas_udf(schema(path=T.StringType(), score=T.DoubleType()))
 def _vote(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_container(read_blocks(p)) if p else ("", 0.0) for p in pages], columns=["path", "score"])
+    return pd.DataFrame([best_container(*read_page(p)) if p else ("", 0.0) for p in pages], columns=["path", "score"])
 
 
 @F.pandas_udf(schema(text=T.StringType(), path=T.StringType()))
 def _extract(pages: pd.Series, winners: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([main_text(read_blocks(p), w) if p else ("", "") for p, w in zip(pages, winners)],
-                        columns=["text", "path"])
+    rows = []
+    for page, winner in zip(pages, winners):
+        blocks, frames = read_page(page) if page else ([], frozenset())
+        rows.append(main_text(blocks, winner, frames))
+    return pd.DataFrame(rows, columns=["text", "path"])
 
 
 def host(url: str = "url"):

@@ -198,6 +198,26 @@ def test_no_article_vanishes(page, expected):
     assert html.main_text(html.read_blocks(page), None)[0] == expected
 
 
+LINKS = "<ul class='refs'>" + "".join(f"<li><a href='/{k}'>Reference number {k}</a></li>" for k in range(3)) + "</ul>"
+REFS = "\n".join(f"Reference number {k}" for k in range(3))
+LONG = TEXT * 10
+BODY = "\n".join([PLAIN] * 10)
+
+
+@pytest.mark.parametrize("page,expected", [
+    (f"<article><h1>Headline</h1><p>Lead.</p><div class='body'>{LONG}</div></article>", "Headline\nLead.\n" + BODY),
+    (f"<div class='post'><h1>Headline</h1><div class='a'><div class='b'><div class='c'>{LONG}</div></div></div></div>",
+     "Headline\n" + BODY),
+    (f"<article><div class='body'>{LONG}</div>{LINKS}</article>", BODY + "\n" + REFS),
+    (f"<main><div class='body'>{LONG}</div>{LINKS}</main>", BODY + "\n" + REFS),
+    (f"<body><nav>Home</nav><div class='post'><div class='body'>{LONG}</div>{LINKS}</div></body>", BODY + "\n" + REFS),
+    (f"<div class='page'><nav>Home</nav><div class='top'><a href='/'>All the topics</a></div><div class='post'>{LONG}</div></div>",
+     BODY)])
+def test_whole_article(spark, page, expected):
+    docs = spark.createDataFrame([(k, "https://h.example/", page) for k in range(2)], "page_id long, url string, html string")
+    assert [r.text for r in html.extract(docs).collect()] == [expected] * 2
+
+
 def test_articles_of_the_table(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op9_main_text"](spark, sf).collect():
