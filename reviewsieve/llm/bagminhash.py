@@ -12,7 +12,7 @@ overlap enough. Exact copies (equal word sequences) are one node. Classes are th
 To lose no link without emitting the pairs of a group: first, in a few rounds, the members of each group are compared
 with the group's most central member, which joins most of a family of copies. Groups that still hold several components
 are gathered by their central member, and each of their members outside the largest component is held against all
-others through an inverted index of shingles, in tasks of two blocks of bounded size. Only links leave these tasks.
+others through an inverted index of shingles, in tasks of two blocks of about 2,048 nodes at most. Only links leave these tasks.
 Pairs inside a component are not looked at, since they cannot change it.
 
 Bands and pairs carry 16-byte hashes; texts are fetched only for the nodes in candidate pairs. Intermediate
@@ -331,19 +331,11 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     family = materialize(family, "families")
     shares = family.groupBy("family", "label").agg(F.count("*").alias("m")).groupBy("family").agg(
         F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"))
-    sized = family.join(shares.select(
-        "family", F.col("top.label").alias("largest"), F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")), "family")
-    sized = sized.join(texts, "node")
-    bins = max(1, family.count() // 256)
-    block, every = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    unit = lambda x, y: F.xxhash64("family", x, y).alias("unit")
-    asked = sized.filter("label != largest").select("*", every.alias("other")).select(
-        unit(block, F.col("other").cast("long")), "node", "label", "text")
-    others = sized.select("*", every.alias("other")).select(
-        unit(F.col("other").cast("long"), block), "node", "label", "text").toDF("unit", "node", "label", "text")
-    asked = asked.toDF("unit", "node", "label", "text")
-    dealt = F.pmod(F.xxhash64("unit"), F.lit(bins)).alias("bin")
-    links = asked.groupBy(dealt).cogroup(others.groupBy(dealt)).applyInPandas(
+    asked, others = dealt_to_tasks(family.join(shares.select("family", F.col("top.label").alias("largest"), "m", (
+        F.col("m") - F.col("top.m")).alias("outside")), "family"), family.count())
+    columns = ["task", "unit", "node", "label", "text"]
+    asked, others = (side.join(texts, "node").select(columns).toDF(*columns) for side in (asked, others))
+    links = asked.groupBy("task").cogroup(others.groupBy("task")).applyInPandas(
         lambda left, right: block_links(left, right, threshold), "a binary, b binary")
     links = materialize(links, "late-links")
     if not links.isEmpty():
@@ -354,6 +346,27 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return plain.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def dealt_to_tasks(family: DataFrame, n: int, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Units (family, block of outside members, block of members) of the last comparison, and the task of each: rows of
+    the members outside the largest component, and of all members, as (task, unit, node, label). Both sides are cut into
+    blocks of about ``size`` by their own number. A unit of a larger family is a task of its own; families of a single
+    unit share tasks, ``n`` rows in all.
+    """
+    cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / size)).cast("long")
+    sized = family.withColumn("_a", cut("outside")).withColumn("_b", cut("m"))
+    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("_other")
+    small = F.pmod(F.xxhash64("family"), F.lit(max(1, n // 256)))
+
+    def side(rows: DataFrame, own: str, other: str) -> DataFrame:
+        place = (block(own), F.col("_other")) if own == "_a" else (F.col("_other"), block(own))
+        dealt = rows.select("*", each(other)).withColumn("unit", F.xxhash64("family", *place))
+        return dealt.select(F.when((F.col("_a") == 1) & (F.col("_b") == 1), small).otherwise(F.col("unit")).alias("task"),
+                            "unit", "node", "label")
+
+    return side(sized.filter("label != largest"), "_a", "_b"), side(sized.filter("outside > 0"), "_b", "_a")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row per document: id, class_id (smallest id of the class), class_size (documents)."""

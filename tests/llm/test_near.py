@@ -69,6 +69,22 @@ def test_chains_of_edits(spark):
     assert {r.doc_id: r.class_id for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("outside", [1, 30, 300])
+def test_tasks_of_the_last_comparison(spark, outside):
+    """Every pair of an outside member and a member meets once; tasks are bounded, and copies follow both numbers."""
+    n, size = 400, 20
+    rows = [(b"f", b"%d" % k, b"o%d" % k if k < outside else b"l", b"l", n, outside) for k in range(n)]
+    rows += [(b"g%d" % k, b"%d" % j, b"%d" % j, b"0", 2, 1) for k in range(40) for j in range(2)]
+    rows += [(b"h", b"%d" % k, b"l", b"l", 50, 0) for k in range(50)]  # one component: nothing to compare
+    family = spark.createDataFrame(rows, "family binary, node binary, label binary, largest binary, m long, outside long")
+    asked, others = (d.toPandas() for d in bag.dealt_to_tasks(family, len(rows), size))
+    assert len(others) <= n * -(-outside // size) + 80 and len(asked) == outside * (n // size) + 40
+    large = asked[asked["unit"] == asked["task"]].merge(others, on=["task", "unit"])
+    assert len(large) == len(set(zip(large["node_x"], large["node_y"]))) == outside * n
+    assert others[others["unit"] == others["task"]].groupby("task").size().max() <= 2 * size + 10
+    assert asked[asked["unit"] == asked["task"]].groupby("task").size().max() <= 2 * size + 10
+
+
 def test_signatures_estimate_weighted_jaccard():
     a = "a b c d e f g h i j " * 3 + "k l m n o p q r s t"
     b = "a b c d e f g h i j " * 2 + "k l m n o p q r s t u v w"
