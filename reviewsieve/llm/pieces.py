@@ -2,7 +2,8 @@
 
 The piece lattice of a text falls apart where no piece of the vocabulary reaches across, such as before a space mark
 that follows other text. In each part the forward Viterbi scores are computed; they are the exact heuristic of an A*
-search that runs backward from the end and so yields the best segmentations in order. The forward pass also keeps the
+search that runs backward from the end and so yields the best segmentations in order; in parts of more than 64
+characters every place keeps its N best ways instead, which bounds the work. The forward pass also keeps the
 score of the second-best path, so a text's N best segmentations need the search only in the N-1 words where a deviation
 is cheapest; all others keep their best path.
 
@@ -32,6 +33,8 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 3
 CACHE = 200_000   # words in each of two generations that a worker remembers
+SEARCHED = 64     # characters of the longest word that the backward search takes
+LONGEST = 256     # characters of the longest word that is remembered
 ROWS = 256        # rows of a result handed over at once
 
 
@@ -141,6 +144,8 @@ class Codec:
     def n_best(self, part: str, n: int) -> list[tuple[float, bytes]]:
         """The n best paths in order: A* backward from the end, with the forward Viterbi score of a place as the exact
         heuristic of the way that is left. Of equal paths the one that ``viterbi`` takes comes first."""
+        if len(part) > SEARCHED:
+            return self.n_best_forward(part, n)
         size = len(part)
         ends: list[list[tuple[int, float, bytes]]] = [[] for _ in range(size + 1)]
         forward = [0.0] + [-math.inf] * size
@@ -148,25 +153,55 @@ class Codec:
             children, j = self.tree, i
             if (first := children.get(part[i])) is None or first[2] is None:
                 ends[i + 1].append((i, *self.spelled(part[i])))
-            for char in part[i:]:
-                node = children.get(char)
-                if node is None:
-                    break
+            while j < size and (node := children.get(part[j])) is not None:
                 children = node[0]
                 j += 1
                 if node[2] is not None:
                     ends[j].append((i, node[1], node[2]))
             forward[i + 1] = max(forward[k] + score for k, score, _ in ends[i + 1])
         order = itertools.count()
-        agenda = [(-forward[size], next(order), 0.0, size, ())]
+        # an entry holds its last step and the entry before it; of equal entries the one nearest the start goes on
+        agenda = [(-forward[size], size, next(order), 0.0, None)]
         found: list[tuple[float, bytes]] = []
         while agenda and len(found) < n:
-            _, _, score, at, path = heapq.heappop(agenda)
+            _, at, _, score, path = heapq.heappop(agenda)
             if at == 0:
-                found.append((score, b"".join(path)))
+                ids = []
+                while path is not None:
+                    piece, path = path
+                    ids.append(piece)
+                found.append((score, b"".join(ids)))
                 continue
             for start, more, piece in ends[at]:
-                heapq.heappush(agenda, (-(score + more + forward[start]), next(order), score + more, start, (piece, *path)))
+                heapq.heappush(agenda, (-(score + more + forward[start]), start, next(order), score + more, (piece, path)))
+        best, top, _ = self.viterbi(part)
+        return [(top, best), *(f for f in found if f[1] != best)][:n]
+
+    def n_best_forward(self, part: str, n: int) -> list[tuple[float, bytes]]:
+        """The same for a long part, where the search could meet any number of near-equal paths: each place keeps its n
+        best ways from the start, so time and memory follow the length."""
+        size = len(part)
+        ways: list[list[tuple]] = [[(0.0, b"", None)], *([] for _ in range(size))]  # score, last piece, way before it
+        for i, char in enumerate(part):
+            here = ways[i] = heapq.nlargest(n, ways[i], key=lambda way: way[0])
+            node, j = self.tree.get(char), i
+            if node is None or node[2] is None:
+                node = [node[0] if node else {}, *self.spelled(char)]
+            while node is not None:
+                children, score, piece = node
+                j += 1
+                if piece is not None:
+                    ways[j] += [(way[0] + score, piece, way) for way in here]
+                if j == size:
+                    break
+                node = children.get(part[j])
+        found: list[tuple[float, bytes]] = []
+        for way in heapq.nlargest(n, ways[size], key=lambda way: way[0]):
+            total, ids = way[0], []
+            while way is not None:
+                _, piece, way = way
+                ids.append(piece)
+            found.append((total, b"".join(reversed(ids))))
         best, top, _ = self.viterbi(part)
         return [(top, best), *(f for f in found if f[1] != best)][:n]
 
@@ -189,6 +224,8 @@ class Codec:
                 found = (ids, score, math.inf)
             else:
                 found = self.viterbi(part)
+        if part is not None and len(part) > LONGEST:
+            return found
         if len(self.known) >= CACHE:
             self.older, self.known = self.known, {}
         self.known[part] = found

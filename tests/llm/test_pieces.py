@@ -1,5 +1,6 @@
 """Segmentation against brute force over all segmentations, and exact round trips."""
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -58,6 +59,26 @@ def test_round_trip(text):
     assert all(codec.decode(ids) == text for _, ids in codec.encode(text, 3))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text("abcx", max_size=9))
+def test_long_parts_against_all_segmentations(text):
+    codec = pieces.Codec(VOCABULARY)
+    expected = all_paths(codec, pieces.piece_scores(VOCABULARY), text)[:4]
+    got = codec.n_best_forward(pieces.MARK + text, 4)
+    assert np.allclose([s for s, _ in got], [s for s, _ in expected]) and len({ids for _, ids in got}) == len(got)
+
+
+@pytest.mark.parametrize("text", ["".join(map(chr, np.random.default_rng(4).integers(97, 123, 200_000))), "a" * 200_000])
+def test_long_text_without_spaces(text):
+    codec = pieces.Codec(pieces.read_pieces())
+    tracemalloc.start()
+    found = codec.encode_packed(text, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert codec.is_whole(text, found) and len({ids for _, ids, _ in found}) == 3 and peak < 600 << 20
+    assert not codec.known
+
+
 def test_frames(spark):
     texts = [None, "", "the cat▁sat\n on  the mat", "é漢字🙂", "word " * 30_000, "the cat"]
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
