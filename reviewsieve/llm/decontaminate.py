@@ -222,9 +222,9 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE,
-                  max_words: int = WINDOW) -> DataFrame:
-    """Drop documents whose coverage reaches ``max_coverage``; from the rest cut the spans of ``max_words`` hit words
-    or more. All other documents keep their text as it is."""
+                  max_words: int = 1) -> DataFrame:
+    """Drop documents whose coverage reaches ``max_coverage``; from the rest cut the hit spans, or those of ``max_words``
+    words or more only. All other documents keep their text as it is."""
     found = find_items(docs, items, text_col, item_id, item_text, window)
     longer = F.arrays_zip(F.col("contamination.word_spans").alias("w"), F.col("contamination.spans").alias("c"))
     cut = F.transform(F.filter(longer, lambda z: z["w"]["end"] - z["w"]["start"] >= max_words), lambda z: z["c"])

@@ -67,6 +67,12 @@ def test_decontamination_decides(spark):
     assert [r.n_words for r in sorted(found, key=lambda r: r.doc_id or 0)] == [3, 0, 0, 1, 60_000, 2, 2]
 
 
+def test_short_items_are_cut(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    docs = frame(spark, [(1, "u " * 300 + "Alpha beta, gamma delta epsilon v")])
+    assert decontaminate.decontaminate(docs, items).first().text == "u " * 300 + " v"
+
+
 def test_language_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = QUERIES["op4_language_id"](spark, d).filter("held_out").join(
