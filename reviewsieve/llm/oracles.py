@@ -94,5 +94,86 @@ placed AS (
 SELECT doc_id, source, n_code_points, slot, shard FROM placed JOIN owners USING (slot)
 """
 
+# Repair by the states of the grammar (nothing yet, after a system, user or assistant turn) instead of its lengths:
+# the cheapest repair and least audit of the turns so far that ends in each state.
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_CRC32 = f"""list_reduce(list_transform(string_split({_KEY}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+  lambda crc, b: list_reduce(range(8), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, b)),
+  CAST(4294967295 AS BIGINT))"""
+_STATE = "STRUCT(c BIGINT, e VARCHAR, t VARCHAR[])"
+
+
+def _edit(state: str, edit: str, cost: str, turn: str | None = None) -> str:
+    added = f"list_append({state}.t, {turn})" if turn else f"{state}.t"
+    return f"{{'c': {state}.c + {cost}, 'e': {state}.e || '{edit}', 't': {added}}}"
+
+
+def _least(*found: str) -> str:
+    return f"list_sort([{', '.join(found)}])[1]"
+
+
+_USER_ADDED = f"""{{'n': x.n, 's': x.s, 'a': x.a, 'u': {_least(
+    'x.u', *[_edit(f'x.{s}', 'I', '5', "'user:'") for s in 'nsa'])}}}"""
+_REPLY_ADDED = f"""{{'n': x.n, 's': x.s, 'u': x.u, 'a': {_least(
+    'x.a', _edit('x.u', 'I', '5', "'assistant:'"))}}}"""
+
+
+def _stand(state: str, initial: str, role: str) -> str:
+    """A turn that stays after ``state``: kept or reroled; turns that must go cost more than any repair."""
+    keep = _edit(state, "K", "r.stay", "r.role || ':' || r.text")
+    change = _edit(state, "R", "r.stay + 1", f"'{role}:' || r.text")
+    return f"CASE WHEN r.role[1] = '{initial}' THEN {keep} ELSE {change} END"
+
+
+_SYSTEM = f"CASE WHEN r.role[1] = 's' THEN {_edit('x.n', 'K', 'r.stay', "r.role || ':' || r.text")} ELSE {_edit('x.n', 'K', '1000000000')} END"
+_STEP = f"""{{'n': {_edit('x.n', 'D', '2')}, 's': {_least(_edit('x.s', 'D', '2'), _SYSTEM)},
+  'u': {_least(_edit('x.u', 'D', '2'), *[_stand(f'x.{s}', 'u', 'user') for s in 'nsa'])},
+  'a': {_least(_edit('x.a', 'D', '2'), _stand('x.u', 'a', 'assistant'))}}}"""
+_START = "{'n': {'c': 0::BIGINT, 'e': '', 't': []::VARCHAR[]}, 's': {'c': 2000000000::BIGINT, 'e': '', 't': []::VARCHAR[]}, 'u': {'c': 2000000000::BIGINT, 'e': '', 't': []::VARCHAR[]}, 'a': {'c': 2000000000::BIGINT, 'e': '', 't': []::VARCHAR[]}}"
+
+TURN_REPAIR = rf"""
+WITH hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_CRC32}, 4294967295) % 20 AS fault
+  FROM conversations),
+turns AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE fault <> 0),
+numbered AS (
+  SELECT *, row_number() OVER w AS n, lag(role[1]) OVER w AS before,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         regexp_replace(text, '[ 	-
+]+$', '') AS bare
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind
+  FROM numbered),
+listed AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate,
+         count(*) FILTER (kind = 'truncated') AS truncated,
+         count(*) FILTER (n > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({{'role': role, 'text': text, 'stay': CASE kind WHEN '' THEN 0 WHEN 'truncated' THEN 5 ELSE 1000000000 END}} ORDER BY n) AS rows
+  FROM judged GROUP BY conv_id),
+started AS (
+  SELECT conv_id, rows, 0 AS i, {_REPLY_ADDED} AS x
+  FROM (SELECT conv_id, rows, {_USER_ADDED} AS x FROM (SELECT conv_id, rows, {_START} AS x FROM listed))),
+walked AS (
+  WITH RECURSIVE walk AS (
+    SELECT * FROM started
+    UNION ALL
+    SELECT conv_id, rows, i + 1, {_REPLY_ADDED} AS x FROM (
+      SELECT conv_id, rows, i, {_USER_ADDED} AS x FROM (
+        SELECT conv_id, rows, i, {_STEP} AS x FROM (SELECT conv_id, rows, i, x, rows[i + 1] AS r FROM walk WHERE i < len(rows)))))
+  SELECT conv_id, {_least('x.n', 'x.a')} AS best FROM walk WHERE i = len(rows))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.e, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN listed l ON c.conv_id IS NOT DISTINCT FROM l.conv_id
+LEFT JOIN walked w ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
 ORACLES = {"op1_decontamination": DECONTAMINATION, "op2_url_filter": URL_FILTER, "op3_chat_format": CHAT_FORMAT,
-           "op10_sharding": SHARDING}
+           "op10_sharding": SHARDING, "op12_turn_repair": TURN_REPAIR}

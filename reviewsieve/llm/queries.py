@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewsieve.sources.views import table
 
-from . import ann, bagminhash, chat, decontaminate, html, langid, pieces, secrets, sharding, urls
+from . import ann, bagminhash, chat, decontaminate, html, langid, pieces, secrets, sharding, turns, urls
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +118,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", shard_names())
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults: by a hash of id and turn a row is lost, emptied, cut, doubled or given to the user."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hashed = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    fault = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), hashed.alias("fault"))
+    cut = F.when(F.col("fault") == 1, "").when(
+        F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return fault.filter("fault <> 0").select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        cut.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    done = turns.repair(damaged(rows)).withColumnRenamed("conv_id", "_id")
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return rows.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("_id")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce(F.array_join(lines, "\n"), F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -127,4 +151,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_url_filter, op3_chat_format, op4_language_id, op5_piece_segmentation,
-        op6_near_duplicates, op7_nearest_neighbours, op8_secret_scan, op9_main_text, op10_sharding, pipeline)}
+        op6_near_duplicates, op7_nearest_neighbours, op8_secret_scan, op9_main_text, op10_sharding, op12_turn_repair, pipeline)}
