@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewsieve.sources.views import table
 
-from . import ann, bagminhash, chat, decontaminate, html, langid, pieces, secrets, sharding, turns, urls
+from . import ann, bagminhash, chat, decontaminate, fingerprints, html, langid, pieces, secrets, sharding, turns, urls
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +142,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce(F.array_join(lines, "\n"), F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -151,4 +155,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_url_filter, op3_chat_format, op4_language_id, op5_piece_segmentation,
-        op6_near_duplicates, op7_nearest_neighbours, op8_secret_scan, op9_main_text, op10_sharding, op12_turn_repair, pipeline)}
+        op6_near_duplicates, op7_nearest_neighbours, op8_secret_scan, op9_main_text, op10_sharding, op12_turn_repair, op13_fingerprints, pipeline)}
