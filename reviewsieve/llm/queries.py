@@ -6,9 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewsieve.session import materialize
 from reviewsieve.sources.views import table
 
-from . import ann, bagminhash, chat, decontaminate, fingerprints, html, langid, pieces, secrets, sharding, turns, urls
+from . import alignment, ann, bagminhash, chat, decontaminate, fingerprints, html, langid, pieces, secrets, sharding, turns, urls
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +119,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", shard_names())
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    written = materialize(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups",
+                                       digest.alias("groups_sha256"), "links"), "alignment")
+    return alignment.with_counts(written)
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with faults: by a hash of id and turn a row is lost, emptied, cut, doubled or given to the user."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -155,4 +164,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_url_filter, op3_chat_format, op4_language_id, op5_piece_segmentation,
-        op6_near_duplicates, op7_nearest_neighbours, op8_secret_scan, op9_main_text, op10_sharding, op12_turn_repair, op13_fingerprints, pipeline)}
+        op6_near_duplicates, op7_nearest_neighbours, op8_secret_scan, op9_main_text, op10_sharding, op11_token_alignment, op12_turn_repair, op13_fingerprints, pipeline)}
