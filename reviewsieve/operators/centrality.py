@@ -12,13 +12,15 @@ neighbour; its rank is spread evenly over the product.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import lexicons as lx
 from ..functions.columns import let
@@ -26,8 +28,9 @@ from ..functions.text import counted
 from ..session import materialize
 
 NODE = ["product_id", "review_id", "sent_no"]
-# A product up to this many tokens is ranked inside one task (some 10 MB); larger ones by joins.
-TASK_TOKENS = 200_000
+BLOCK_TOKENS = 200_000  # tokens and texts of a block, which a task holds (some 10 MB)
+LOOKS = 6  # steps between looks whether any product still moves; a settled block stays as it is
+LOOSE, CHANGE = " loose", " change"  # no terms, as these have no spaces
 TIE_DIGITS = 9
 
 
@@ -88,138 +91,224 @@ def similarity_sums(nodes: DataFrame) -> DataFrame:
         "sim_sum", F.coalesce("sim_sum", F.lit(0.0)))
 
 
-# ------------------------------------------------------------------ products that fit a task
-def _rank_schema(nodes: DataFrame) -> T.StructType:
-    return T.StructType([nodes.schema[c] for c in NODE] + [
-        T.StructField("centrality", T.DoubleType()), T.StructField("pick", T.IntegerType())])
+# ------------------------------------------------------------------ ranks and picks, block by block
+class Block:
+    """Some texts of a product: their vectors, the state of the walk, and what the other blocks have to know of it.
 
+    ``totals`` of a step are sums over all blocks: of w q per term, then the rank of texts without neighbours, then how far
+    the last step moved. A block that is the whole product has them itself and goes on to the end without leaving the task.
+    """
 
-def _rank_in_task(picks: int):
-    """Function that ranks one product: power iteration and MMR picks over sparse entries."""
-    damping, mmr, columns = lx.DAMPING, lx.MMR_LAMBDA, NODE
-    rounds, tolerance, digits = lx.RANK_ITERATIONS, lx.RANK_TOLERANCE, TIE_DIGITS
+    FACTS = ("product_id", "block", "n", "blocks", "step", "settled")
+    FIELDS = {"starts": np.int32, "term": np.int32, "w": np.float64, "sums": np.float64, "r": np.float64,
+              "moved": np.float64, "part": np.float64, "nearest": np.float64, "pick": np.int32}
 
-    def run(group: pa.Table) -> pa.Table:
+    def __init__(self, row: dict):
+        self.__dict__.update(row)
+        self.m = len(self.starts) - 1
+        self.node = np.repeat(np.arange(self.m), np.diff(self.starts))
+        self.linked = np.diff(self.starts) > 0
+
+    @classmethod
+    def of(cls, group: pa.Table) -> Block:
+        """From the rows of one block; it holds the message of the first step, the sums of all weights."""
         group = group.sort_by([("review_id", "ascending"), ("sent_no", "ascending")])
-        n = group.num_rows
-        vectors = group["vector"].combine_chunks()
-        if isinstance(vectors, pa.ChunkedArray):
-            vectors = vectors.chunk(0)
-        entries = vectors.flatten()
-        node = np.repeat(np.arange(n), np.diff(vectors.offsets.to_numpy()))
-        term = entries.field("term").dictionary_encode()
-        n_terms, term = len(term.dictionary), term.indices.to_numpy()
-        w = entries.field("w").to_numpy(zero_copy_only=False)
-
-        def times(q: np.ndarray) -> np.ndarray:
-            sums = np.bincount(term, w * q[node], n_terms)
-            return np.bincount(node, w * (sums[term] - w * q[node]), n)
-
-        sums = times(np.ones(n))
-        linked = np.bincount(node, minlength=n) > 0
-        r = np.full(n, 1.0 / n)
-        for _ in range(rounds):
-            q = np.divide(r, sums, out=np.zeros(n), where=linked)
-            moved = (1 - damping) / n + damping * (times(q) + r[~linked].sum() / n)
-            if np.abs(moved - r).sum() < tolerance:
-                break
-            r = moved
-
-        pick = np.zeros(n, dtype=np.int32)
-        score = r / r.max()
-        nearest = np.zeros(n)
-        for k in range(min(picks, n)):
-            value = np.round(mmr * score - (1 - mmr) * nearest, digits)
-            best = int(np.argmax(np.where(pick > 0, -np.inf, value)))
-            pick[best] = k + 1
-            chosen = np.zeros(n_terms)
-            chosen[term[node == best]] = w[node == best]
-            nearest = np.maximum(nearest, np.bincount(node, w * chosen[term], n))
-        return group.select(columns).append_column("centrality", pa.array(r)).append_column("pick", pa.array(pick))
+        vectors = pa.concat_arrays(group["vector"].chunks)
+        term = vectors.flatten().field("term").dictionary_encode()
+        w = vectors.flatten().field("w").to_numpy(zero_copy_only=False)
+        index, terms = term.indices.to_numpy(), term.dictionary
+        none = np.zeros(group.num_rows)
+        starts = np.concatenate([[0], np.cumsum(vectors.value_lengths().to_numpy())])
+        part = np.concatenate([np.bincount(index, w, len(terms)), [0, 1]])
+        return cls(dict(
+            product_id=group["product_id"][0].as_py(), block=group["block"][0].as_py(), n=group["n"][0].as_py(),
+            blocks=group["blocks"][0].as_py(),
+            ids=group.select(["review_id", "sent_no"]).to_struct_array().combine_chunks(), starts=starts.astype(np.int32),
+            terms=terms, term=index.astype(np.int32), w=w, sums=none, r=none, moved=none, part=part, step=-1, settled=False,
+            nearest=none, pick=none.astype(np.int32)))
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, k: int) -> Block:
+        """Row k of a table of blocks; lists stay Arrow or numpy arrays."""
+        row = {}
+        for name in (*cls.FACTS, "ids", "terms", *cls.FIELDS):
+            value = batch.column(name)[k]
+            row[name] = (value.as_py() if name in cls.FACTS else value.values if name not in cls.FIELDS
+                         else value.values.to_numpy(zero_copy_only=False))
+        return cls(row)
+
+    def packed(self, kind: pa.Schema) -> pa.RecordBatch:
+        """Table of this one block."""
+        return pa.RecordBatch.from_arrays([
+            pa.array([getattr(self, f.name)], f.type) if f.name in self.FACTS else
+            pa.ListArray.from_arrays([0, len(getattr(self, f.name))], pa.array(getattr(self, f.name))).cast(f.type)
+            for f in kind], schema=kind)
+
+    def pull(self, totals: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Similarity matrix times q, from the totals of w q per term."""
+        return np.bincount(self.node, self.w * (totals[self.term] - self.w * q[self.node]), self.m)
+
+    def advance(self, totals: np.ndarray) -> None:
+        """One step of the walk; ``part`` is this block's share of the next totals."""
+        loose, change = totals[-2:]
+        if self.step < 0:
+            self.sums = self.pull(totals, np.ones(self.m))
+            self.moved = np.full(self.m, 1.0 / self.n)
+        elif change < lx.RANK_TOLERANCE or self.step == lx.RANK_ITERATIONS:
+            self.settled = True
+            if change >= lx.RANK_TOLERANCE:
+                self.r = self.moved
+            return
+        else:
+            self.r = self.moved
+            pulled = self.pull(totals, self.share(self.r))
+            self.moved = (1 - lx.DAMPING) / self.n + lx.DAMPING * (pulled + loose / self.n)
+        self.step += 1
+        change = np.abs(self.moved - self.r).sum() if self.step else 1.0
+        self.part = np.concatenate([
+            np.bincount(self.term, self.w * self.share(self.moved)[self.node], len(self.terms)),
+            [self.moved[~self.linked].sum(), change]])
+
+    def share(self, r: np.ndarray) -> np.ndarray:
+        return np.divide(r, self.sums, out=np.zeros(self.m), where=self.linked)
+
+    def offer(self, highest: float) -> tuple[float, int]:
+        """Best value among the texts that are not picked yet, and the first one that has it."""
+        value = np.round(lx.MMR_LAMBDA * self.r / highest - (1 - lx.MMR_LAMBDA) * self.nearest, TIE_DIGITS)
+        value = np.where(self.pick > 0, -np.inf, value)
+        return float(value.max()), int(np.argmax(value))
+
+    def vector(self, k: int) -> tuple[list[str], list[float]]:
+        inside = slice(self.starts[k], self.starts[k + 1])
+        return self.terms.take(pa.array(self.term[inside])).to_pylist(), self.w[inside].tolist()
+
+    def take(self, place: int, chosen: dict) -> None:
+        """Note the product's next pick, ``chosen(review_id, sent_no, terms, weights)``."""
+        mine = pc.and_(*[pc.equal(self.ids.field(c), chosen[c]) for c in ("review_id", "sent_no")])
+        self.pick = np.where(mine.to_numpy(zero_copy_only=False), np.int32(place), self.pick)
+        at = pc.index_in(self.terms, pa.array(chosen["terms"], self.terms.type)).to_numpy(zero_copy_only=False)
+        weights = np.append(chosen["weights"], 0.0)[np.where(np.isnan(at), -1, at).astype(int)]
+        self.nearest = np.maximum(self.nearest, np.bincount(self.node, self.w * weights[self.term], self.m))
+
+    def finish(self, picks: int) -> None:
+        """All steps and picks of a block that is the whole product."""
+        while not self.settled:
+            self.advance(self.part)
+        for place in range(1, min(picks, self.n) + 1):
+            _, k = self.offer(self.r.max())
+            terms, weights = self.vector(k)
+            self.take(place, dict(**self.ids[k].as_py(), terms=terms, weights=weights))
+
+
+def _block_type(nodes: DataFrame) -> T.StructType:
+    """Table of blocks, one row each."""
+    types = {np.int32: T.IntegerType(), np.float64: T.DoubleType()}
+    of = lambda c: nodes.schema[c].dataType
+    fields = {"product_id": of("product_id"), "block": T.IntegerType(), "n": T.LongType(), "blocks": T.IntegerType(),
+              "ids": T.ArrayType(T.StructType([T.StructField(c, of(c)) for c in NODE[1:]])),
+              "terms": T.ArrayType(T.StringType()), "step": T.IntegerType(), "settled": T.BooleanType(),
+              **{name: T.ArrayType(types[kind]) for name, kind in Block.FIELDS.items()}}
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+def _start(kind: T.StructType, picks: int):
+    def run(group: pa.Table) -> pa.Table:
+        block = Block.of(group)
+        if block.blocks == 1:
+            block.finish(picks)
+        return pa.Table.from_batches([block.packed(to_arrow_schema(kind))])
+    return run
+
 
+def _each_block(kind: T.StructType, work: Callable[[Block, pa.Scalar], None], more: str):
+    """Function for mapInArrow: ``work(block, value of the further column)`` on every row of a table of blocks."""
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = Block.read(batch, k)
+                work(block, batch.column(more)[k])
+                yield block.packed(to_arrow_schema(kind))
     return run
 
 
-# ------------------------------------------------------------------ products of any size
-def _rank_by_joins(nodes: DataFrame) -> DataFrame:
-    """(node, centrality) by power iteration; every step is a few shuffles over the entries.
+def _advance(block: Block, totals: pa.Scalar) -> None:
+    if not block.settled:
+        names = pa.concat_arrays([block.terms.cast(pa.string()), pa.array([LOOSE, CHANGE])])
+        at = pc.index_in(names, totals.values.field("term").cast(pa.string()))
+        block.advance(totals.values.field("total").take(at).to_numpy(zero_copy_only=False))
 
-    Each step is one written table, so the plan does not grow and lost executors
-    cost one step. A product that has converged keeps its ranks and is left out
-    of the further steps' sums.
-    """
-    static = materialize(nodes.select(*NODE, "n", "vector"), "rank-vectors")
-    sums = pull(static.withColumn("_one", F.lit(1.0)), "_one", name="sums")
-    state = static.select(*NODE, "n").join(sums, NODE, "left").withColumn("r", 1.0 / F.col("n")).withColumn(
-        "done", F.lit(False))
-    state = materialize(state, "rank-state")
-    for _ in range(lx.RANK_ITERATIONS):
-        going = state.filter(~F.col("done"))
-        spread = static.select(*NODE, "vector").join(going.filter("sums is not null"), NODE).withColumn(
-            "q", F.col("r") / F.col("sums"))
-        loose = going.filter("sums is null").groupBy("product_id").agg(F.sum("r").alias("loose"))
-        fresh = (1 - lx.DAMPING) / F.col("n") + lx.DAMPING * (
-            F.coalesce("pull", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) / F.col("n"))
-        moved = state.join(pull(spread, "q"), NODE, "left").join(loose, "product_id", "left").withColumn(
-            "moved", F.when(F.col("done"), F.col("r")).otherwise(fresh)).drop("pull", "loose")
-        moved = materialize(moved, "rank-step")
-        change = moved.groupBy("product_id").agg(
-            (F.sum(F.abs(F.col("moved") - F.col("r"))) < lx.RANK_TOLERANCE).alias("settled"))
-        state = moved.join(change, "product_id").select(
-            *NODE, "n", "sums", F.when(F.col("settled"), F.col("r")).otherwise(F.col("moved")).alias("r"),
-            F.col("settled").alias("done"))
-        if change.filter("not settled").isEmpty():
+
+def _settle(blocks: DataFrame, kind: T.StructType) -> DataFrame:
+    """Walk of products of several blocks: a step shuffles one number per block and term, and one table is written."""
+    for step in range(lx.RANK_ITERATIONS + 2):
+        if step % LOOKS == 0 and blocks.filter("not settled").isEmpty():
             break
-    return materialize(state.select(*NODE, F.col("r").alias("centrality")), "ranks")
+        names = F.concat("terms", F.array(F.lit(LOOSE), F.lit(CHANGE)))
+        parts = blocks.filter("not settled").select("product_id", "block", F.explode(F.arrays_zip(
+            names.alias("term"), F.col("part"))).alias("p")).select("product_id", "block", "p.term", "p.part")
+        totals = parts.groupBy("product_id", "term").agg(F.sum("part").alias("total"), F.collect_list("block").alias("to"))
+        sent = totals.select("product_id", F.explode("to").alias("block"), F.struct("term", "total").alias("t")).groupBy(
+            "product_id", "block").agg(F.collect_list("t").alias("totals"))
+        blocks = materialize(blocks.join(sent, ["product_id", "block"], "left").mapInArrow(
+            _each_block(kind, _advance, "totals"), kind), "rank-step")
+    return blocks
+
+
+def _offers(kind: T.StructType):
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block = Block.read(batch, at)
+                value, k = block.offer(batch.column("highest")[at].as_py())
+                if value > -np.inf:
+                    terms, weights = block.vector(k)
+                    yield pa.RecordBatch.from_pylist([dict(
+                        product_id=block.product_id, down=-value, **block.ids[k], terms=terms, weights=weights)], to_arrow_schema(kind))
+    return run
 
 
-def _pick_by_joins(nodes: DataFrame, ranks: DataFrame, picks: int) -> DataFrame:
-    """(node, pick) by maximal marginal relevance, one round per pick.
+def _take(place: int):
+    def work(block: Block, best: pa.Scalar) -> None:
+        if best.is_valid:
+            block.take(place, best.as_py())
+    return work
 
-    The best text of a product is an aggregate, combined inside the map tasks;
-    its terms (one text per product) are joined to the entries of the others.
-    """
-    best_rank = ranks.groupBy("product_id").agg(F.max("centrality").alias("_max"))
-    scored = ranks.join(best_rank, "product_id").select(
-        *NODE, (F.col("centrality") / F.col("_max")).alias("score"))
-    state = materialize(scored.withColumn("nearest", F.lit(0.0)).withColumn("pick", F.lit(0)), "pick-state")
-    entries = nodes.select(*NODE, F.explode("vector").alias("e")).select(*NODE, "e.term", "e.w")
-    for k in range(1, picks + 1):
-        value = lx.MMR_LAMBDA * F.col("score") - (1 - lx.MMR_LAMBDA) * F.col("nearest")
-        best = state.filter(F.col("pick") == 0).groupBy("product_id").agg(F.min(F.struct(
-            (-F.round(value, TIE_DIGITS)).alias("v"), "review_id", "sent_no")).alias("b")).select(
-            "product_id", "b.review_id", "b.sent_no")
-        best = materialize(best, "pick")
-        chosen = entries.join(best, NODE).select("product_id", "term", F.col("w").alias("_w"))
-        near = entries.join(chosen, ["product_id", "term"]).groupBy(*NODE).agg(
-            F.sum(F.col("w") * F.col("_w")).alias("_near"))
-        state = materialize(
-            state.join(near, NODE, "left").join(best.withColumn("_k", F.lit(k)), NODE, "left")
-            .withColumn("nearest", F.greatest("nearest", F.coalesce("_near", F.lit(0.0))))
-            .withColumn("pick", F.coalesce("_k", "pick")).drop("_near", "_k"), "pick-state")
-    return state.select(*NODE, "pick")
-
-
-def rank_texts(nodes: DataFrame, picks: int = 0, task_tokens: int = TASK_TOKENS) -> DataFrame:
+
+def _pick(blocks: DataFrame, kind: T.StructType, picks: int) -> DataFrame:
+    """Picks of products of several blocks: every block offers its best text, and learns which one was taken."""
+    highest = blocks.groupBy("product_id").agg(F.max(F.array_max("r")).alias("highest"))
+    ids = kind["ids"].dataType.elementType
+    offered = T.StructType([kind["product_id"], T.StructField("down", T.DoubleType()), *ids.fields,
+                            T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    for place in range(1, picks + 1):
+        offers = blocks.join(highest, "product_id").mapInArrow(_offers(offered), offered)
+        best = offers.groupBy("product_id").agg(F.min(F.struct(*offered.names[1:])).alias("best"))
+        blocks = materialize(blocks.join(best, "product_id", "left").mapInArrow(_each_block(kind, _take(place), "best"), kind), "picks")
+    return blocks
+
+
+def rank_texts(nodes: DataFrame, picks: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(product_id, review_id, sent_no, centrality, pick) for ``nodes(node, body)``.
 
     Products without a second text or without any term get centrality 1 and no
     picks; callers handle those. ``pick`` is the 1-based MMR order, 0 for the rest.
-    Products up to ``task_tokens`` tokens are ranked within a task after one
-    shuffle by product, larger ones by joins that spread a product over all tasks.
+    Texts are dealt to blocks of about ``block_tokens`` tokens of one product, which
+    take the same steps however many there are.
     """
     vectors = materialize(linked_terms(text_vectors(nodes)), "vectors")
     plain = (F.col("n") < 2) | (F.col("tokens") == 0)
     trivial = vectors.filter(plain).select(*NODE, F.lit(1.0).alias("centrality"), F.lit(0).alias("pick"))
-    fits = vectors.filter(~plain & (F.col("tokens") <= task_tokens) & (F.col("n") <= task_tokens))
-    small = fits.select(*NODE, "vector").groupBy("product_id").applyInArrow(
-        _rank_in_task(picks), _rank_schema(vectors))
-    out = trivial.unionByName(small)
-    large = vectors.filter(~plain & ((F.col("tokens") > task_tokens) | (F.col("n") > task_tokens)))
-    if not large.isEmpty():
-        ranks = _rank_by_joins(large)
-        big = ranks.withColumn("pick", F.lit(0))
-        if picks:
-            big = ranks.join(_pick_by_joins(large, ranks, picks), NODE)
-        out = out.unionByName(big)
-    return out
+    # texts without any token take room, too
+    count = F.ceil((F.col("tokens") + F.col("n")) / block_tokens).cast("int")
+    dealt = vectors.filter(~plain).select(
+        *NODE, "n", "vector", count.alias("blocks"), F.pmod(F.xxhash64(*NODE), count).cast("int").alias("block"))
+    kind = _block_type(vectors)
+    blocks = dealt.groupBy("product_id", "block").applyInArrow(_start(kind, picks), kind)
+    ranked = blocks
+    if not vectors.filter(~plain & (count > 1)).isEmpty():
+        blocks = materialize(blocks, "rank-blocks")
+        several = _settle(blocks.filter("blocks > 1"), kind)
+        ranked = blocks.filter("blocks = 1").unionByName(_pick(several, kind, picks) if picks else several)
+    texts = ranked.select("product_id", F.explode(F.arrays_zip("ids", "r", "pick")).alias("t"))
+    return trivial.unionByName(texts.select(
+        "product_id", "t.ids.review_id", "t.ids.sent_no", F.col("t.r").alias("centrality"), "t.pick"))

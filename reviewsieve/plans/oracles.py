@@ -532,6 +532,8 @@ oracle("g3_similarity_docs", RD, *MANY, *linked(),
        final=f"SELECT {ND}, {r6('coalesce(rs, 0)', 'sim_sum')} FROM ve_id LEFT JOIN ve_r ON src = nid")
 oracle("g4_rank_docs", RD, *MANY, *ranks_by_terms(), *picks(graph=False), recursive=True,
        final=f"SELECT {ND}, {r6('r', 'centrality')}, coalesce(pick, 0) AS pick FROM ra LEFT JOIN mm USING (nid)")
+oracle("g5_mmr_docs", RD, *MANY, *ranks_by_terms(), *picks(graph=False), recursive=True,
+       final=f"SELECT {ND}, pick FROM mm JOIN ra USING (nid)")
 oracle("g4_rank", RO, KEPT, *candidates("kp"), *vectors(), *ranks(), recursive=True,
        final=f"SELECT {ND}, {r6('r', 'centrality')} FROM ra")
 oracle("g5_mmr", RO, KEPT, *candidates("kp"), *vectors(), *ranks(), *picks(), recursive=True,

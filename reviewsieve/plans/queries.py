@@ -522,6 +522,12 @@ def g5_mmr(spark, d):
     return dig.ranked_sentences(_kept(spark, d)).filter(F.col("pick") > 0).drop("centrality")
 
 
+@query
+def g5_mmr_docs(spark, d):
+    """Picks of products whose sentences are dealt to many small blocks."""
+    return dig.ranked_sentences(reviews_docs(spark, d), block_tokens=6_000).filter(F.col("pick") > 0).drop("centrality")
+
+
 @query
 def g7_digest(spark, d):
     """Digest of every product; products without genuine reviews included."""
