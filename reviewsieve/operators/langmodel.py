@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .. import lexicons as lx
 from ..functions.text import adjacent, tokens_lower
 from ..functions.columns import let, review_keys
-from .distribute import hash_rank
+from ..session import materialize
+from .distribute import FREQUENT, hash_rank, look_up
 
 
 def boundary_tokens(text: Column) -> Column:
@@ -32,6 +33,18 @@ def with_folds(reviews: DataFrame, k: int = lx.FOLDS, seed: int = 0, id_col: str
     return ranked.withColumn("fold", (F.col("hash_rank") % k).cast("int")).drop("hash_rank", "group_size")
 
 
+def _totals(tokens: DataFrame, folds: int) -> DataFrame:
+    if not folds:
+        return tokens.agg(F.sum("c").alias("total"), (F.count("*") + 1).alias("v")).select(
+            F.lit(None).cast("int").alias("fold"), "total", "v")
+    rest = [F.col("c") - F.col(f"c_{f}") for f in range(folds)]
+    sums = tokens.agg(*[F.sum(r).alias(f"t{f}") for f, r in enumerate(rest)],
+                      *[(F.count_if(r > 0) + 1).alias(f"v{f}") for f, r in enumerate(rest)])
+    return sums.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("fold"), F.col(f"t{f}").alias("total"), F.col(f"v{f}").alias("v"))
+        for f in range(folds)])).alias("s")).select("s.*")
+
+
 @dataclass
 class BigramModel:
     """``pairs(prev, cur, c[, c_0..])``, ``tokens(token, c[, c_0..])``; c_f = count within fold f."""
@@ -54,16 +67,7 @@ class BigramModel:
     @property
     def totals(self) -> DataFrame:
         """One row per left-out fold (or one with fold null): ``fold, total, v``."""
-        tokens = self.tokens
-        if not self.folds:
-            return tokens.agg(F.sum("c").alias("total"), (F.count("*") + 1).alias("v")).select(
-                F.lit(None).cast("int").alias("fold"), "total", "v")
-        rest = [F.col("c") - F.col(f"c_{f}") for f in range(self.folds)]
-        sums = tokens.agg(*[F.sum(r).alias(f"t{f}") for f, r in enumerate(rest)],
-                          *[(F.count_if(r > 0) + 1).alias(f"v{f}") for f, r in enumerate(rest)])
-        return sums.select(F.explode(F.array(*[
-            F.struct(F.lit(f).alias("fold"), F.col(f"t{f}").alias("total"), F.col(f"v{f}").alias("v"))
-            for f in range(self.folds)])).alias("s")).select("s.*")
+        return _totals(self.tokens, self.folds)
 
     def merge(self, other: BigramModel) -> BigramModel:
         """Model over both training sets: counts add up."""
@@ -87,40 +91,48 @@ def fit_bigrams(reviews: DataFrame, folds: int = 0) -> BigramModel:
     return BigramModel(counts, folds)
 
 
-def _left_out(model: BigramModel, prefix: str) -> Column:
-    """Count outside the fold of the row (all of it for a model without folds)."""
+def _left_out(prefix: str, fold: int | None) -> Column:
+    """Count outside a fold (all of it for a model without folds)."""
     whole = F.coalesce(F.col(f"{prefix}c"), F.lit(0))
-    if not model.folds:
-        return whole
-    own = F.lit(0)
-    for f in range(model.folds):
-        own = F.when(F.col("fold") == f, F.coalesce(F.col(f"{prefix}c_{f}"), F.lit(0))).otherwise(own)
-    return whole - own
+    return whole if fold is None else whole - F.coalesce(F.col(f"{prefix}c_{fold}"), F.lit(0))
 
 
-def log_perplexity(reviews: DataFrame, model: BigramModel) -> DataFrame:
-    """(product_id, review_id, log_perplexity), by the keys that ``reviews`` has. With a model that has folds, reviews need a ``fold``.
+def pair_surprise(pairs: DataFrame, model: BigramModel, frequent: int = FREQUENT) -> DataFrame:
+    """(prev, cur, n, surprise) for distinct ``pairs(prev, cur, n)``: minus the log probability of ``cur`` after ``prev``,
+    by the model without each of its folds (array; one value for a model without folds).
 
-    Pairs are looked up in the pair table, which already carries the count of its
-    first token, and the second token in the token table. Spark broadcasts these
-    tables only while they are below its size limit; otherwise the lookups are
-    shuffle joins, in which AQE splits hot keys.
+    The counts are looked up for distinct pairs, never for the tokens of the reviews.
     """
     cols = model.count_columns
-    tokens = model.tokens
-    first = tokens.select(F.col("token").alias("prev"), *[F.col(c).alias(f"first_{c}") for c in cols])
-    pairs = model.pairs.select("prev", "cur", *[F.col(c).alias(f"pair_{c}") for c in cols]).join(first, "prev")
-    second = tokens.select(F.col("token").alias("cur"), *[F.col(c).alias(f"second_{c}") for c in cols])
+    counts = BigramModel(materialize(model.pairs, "pairs"), model.folds)
+    tokens = materialize(counts.tokens, "tokens")
+    sizes = {r["fold"]: (r["total"] or 0) + r["v"] for r in _totals(tokens, model.folds).collect()}  # one row per fold
+    named = lambda key, prefix: tokens.select(
+        F.col("token").alias(key), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+    found = pairs.join(counts.pairs.select("prev", "cur", *[F.col(c).alias(f"pair_{c}") for c in cols]), ["prev", "cur"], "left")
+    found = look_up(found, named("prev", "first_"), ["prev"], "first_c", frequent)
+    found = look_up(found, named("cur", "second_"), ["cur"], "second_c", frequent)
+
+    def value(fold: int | None) -> Column:
+        c_first, c_pair, c_second = (_left_out(p, fold) for p in ("first_", "pair_", "second_"))
+        p_pair = F.when(c_first > 0, c_pair / c_first).otherwise(0.0)
+        size = F.lit(float(sizes[fold]))
+        return -F.log(F.lit(lx.BIGRAM_WEIGHT) * p_pair + (1 - F.lit(lx.BIGRAM_WEIGHT)) * (c_second + 1) / size)
+
+    values = [value(f) for f in range(model.folds)] or [value(None)]
+    return found.select("prev", "cur", "n", F.array(*values).alias("surprise"))
+
+
+def log_perplexity(reviews: DataFrame, model: BigramModel, frequent: int = FREQUENT) -> DataFrame:
+    """(product_id, review_id, log_perplexity), by the keys that ``reviews`` has. With a model that has folds, reviews need a ``fold``.
+
+    The surprise of every distinct pair of ``reviews`` is worked out once. Frequent pairs are then looked up from a
+    broadcast table, and only the others are shuffled, by a key that no longer is a hot one.
+    """
     keys = review_keys(reviews)
-    keep = keys + (["fold"] if model.folds else [])
-    found = token_pairs(reviews, *keep).join(pairs, ["prev", "cur"], "left").join(second, "cur", "left")
-
-    c_first, c_pair, c_second = (_left_out(model, p) for p in ("first_", "pair_", "second_"))
-    p_pair = F.when(c_first > 0, c_pair / c_first).otherwise(0.0)
-    sizes = model.totals.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.coalesce("fold", F.lit(-1)).alias("fold"), (F.col("total") + F.col("v")).cast("double").alias("n")))
-    ).alias("m")).scalar()  # one number per fold
-    size = F.element_at(sizes, F.col("fold") if model.folds else F.lit(-1))
-    weight = F.lit(lx.BIGRAM_WEIGHT)
-    p = weight * p_pair + (1 - weight) * (c_second + 1) / size
-    return found.groupBy(*keys).agg((-F.avg(F.log(p))).alias("log_perplexity"))
+    rows = token_pairs(reviews, *keys, *(["fold"] if model.folds else []))
+    distinct = rows.groupBy("prev", "cur").agg(F.count("*").alias("n"))
+    known = materialize(pair_surprise(distinct, model, frequent), "surprise")
+    found = look_up(rows, known.withColumnRenamed("n", "_n"), ["prev", "cur"], "_n", frequent)
+    fold = F.col("fold") + 1 if model.folds else F.lit(1)
+    return found.groupBy(*keys).agg(F.avg(F.element_at("surprise", fold)).alias("log_perplexity"))
