@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 RANK_BUCKETS = 4096
 SALTS = 64
-FREQUENT = 65_536  # rows of a broadcast table of frequent keys
 
 
 def hash_rank(df: DataFrame, id_col: str, seed: int, within: Sequence[str] = (),
@@ -84,19 +83,3 @@ def running_total(df: DataFrame, order_col: str, value_cols: Sequence[str], part
     out = ranked.join(F.broadcast(sums), F.col("_p") == F.col("_q"))  # one row per part
     return out.select(*df.columns, *[(F.col(f"_base_{v}") + F.col(f"_in_{v}")).alias(f"before_{v}")
                                      for v in value_cols])
-
-
-def look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, frequent: int = FREQUENT) -> DataFrame:
-    """``rows`` left-joined with ``table`` (written, one row per key), without a hot key.
-
-    The keys of greatest ``weight`` come from a broadcast of at most ``frequent`` rows; only rows with another key are
-    shuffled. ``weight`` should tell how often a key occurs in ``rows``.
-    """
-    least = table.orderBy(F.desc(weight)).limit(frequent + 1).agg(F.count("*").alias("n"), F.min(weight).alias("w")).first()
-    if least.n <= frequent:
-        return rows.join(F.broadcast(table), list(keys), "left")
-    often = table.filter(F.col(weight) > least.w).withColumn("_often", F.lit(True))
-    first = rows.join(F.broadcast(often), list(keys), "left")
-    rest = first.filter("_often is null").select(*rows.columns).join(
-        table.filter(F.col(weight) <= least.w), list(keys), "left")
-    return first.filter("_often").drop("_often").unionByName(rest)
