@@ -12,7 +12,7 @@ neighbour; its rank is spread evenly over the product.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from ..session import materialize
 
 NODE = ["product_id", "review_id", "sent_no"]
 BLOCK_TOKENS = 200_000  # tokens and texts of a block, which a task holds (some 10 MB)
+ROWS_OUT = 10_000  # texts in a batch of results
 LOOKS = 6  # steps between looks whether any product still moves; a settled block stays as it is
 LOOSE, CHANGE = " loose", " change"  # no terms, as these have no spaces
 TIE_DIGITS = 9
@@ -111,8 +112,7 @@ class Block:
 
     @classmethod
     def of(cls, group: pa.Table) -> Block:
-        """From the rows of one block; it holds the message of the first step, the sums of all weights."""
-        group = group.sort_by([("review_id", "ascending"), ("sent_no", "ascending")])
+        """From the sorted rows of one block; it holds the message of the first step, the sums of all weights."""
         vectors = pa.concat_arrays(group["vector"].chunks)
         term = vectors.flatten().field("term").dictionary_encode()
         w = vectors.flatten().field("w").to_numpy(zero_copy_only=False)
@@ -140,9 +140,10 @@ class Block:
     def packed(self, kind: pa.Schema) -> pa.RecordBatch:
         """Table of this one block."""
         return pa.RecordBatch.from_arrays([
-            pa.array([getattr(self, f.name)], f.type) if f.name in self.FACTS else
-            pa.ListArray.from_arrays([0, len(getattr(self, f.name))], pa.array(getattr(self, f.name))).cast(f.type)
-            for f in kind], schema=kind)
+            pa.array([value], f.type) if f.name in self.FACTS else
+            pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.array(value, f.type.value_type) if isinstance(
+                value, np.ndarray) else value.cast(f.type.value_type), type=f.type)
+            for f, value in ((f, getattr(self, f.name)) for f in kind)], schema=kind)
 
     def pull(self, totals: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Similarity matrix times q, from the totals of w q per term."""
@@ -211,23 +212,63 @@ def _block_type(nodes: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-def _start(kind: T.StructType, picks: int):
-    def run(group: pa.Table) -> pa.Table:
-        block = Block.of(group)
-        if block.blocks == 1:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block after another from a sorted partition, over batch borders."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("product_id", "block"))))
+        begin = 0
+        for k, key in enumerate(keys):
+            if key != last:
+                held += [batch.slice(begin, k - begin)] if k > begin else []
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, begin, last = [], k, key
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _start(kind: T.StructType):
+    """Blocks of products of several blocks, before their first step."""
+    shape = to_arrow_schema(kind)
+
+    def run(batches):
+        for group in _groups(batches):
+            yield Block.of(group).packed(shape)
+    return run
+
+
+def _whole(kind: T.StructType, picks: int):
+    """Ranks and picks of products of one block."""
+    shape = to_arrow_schema(kind)
+
+    def run(batches):
+        done, n = [], 0
+        for group in _groups(batches):
+            block = Block.of(group)
             block.finish(picks)
-        return pa.Table.from_batches([block.packed(to_arrow_schema(kind))])
+            done.append(group.select(NODE).append_column("centrality", pa.array(block.r)).append_column("pick", pa.array(block.pick)))
+            n += block.m
+            if n >= ROWS_OUT:
+                yield from pa.concat_tables(done).cast(shape).combine_chunks().to_batches()
+                done, n = [], 0
+        if done:
+            yield from pa.concat_tables(done).cast(shape).combine_chunks().to_batches()
     return run
 
 
 def _each_block(kind: T.StructType, work: Callable[[Block, pa.Scalar], None], more: str):
     """Function for mapInArrow: ``work(block, value of the further column)`` on every row of a table of blocks."""
+    shape = to_arrow_schema(kind)
+
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 block = Block.read(batch, k)
                 work(block, batch.column(more)[k])
-                yield block.packed(to_arrow_schema(kind))
+                yield block.packed(shape)
     return run
 
 
@@ -302,13 +343,16 @@ def rank_texts(nodes: DataFrame, picks: int = 0, block_tokens: int = BLOCK_TOKEN
     count = F.ceil((F.col("tokens") + F.col("n")) / block_tokens).cast("int")
     dealt = vectors.filter(~plain).select(
         *NODE, "n", "vector", count.alias("blocks"), F.pmod(F.xxhash64(*NODE), count).cast("int").alias("block"))
+    ordered = lambda df: df.repartition("product_id", "block").sortWithinPartitions("product_id", "block", *NODE[1:])
+    shape = T.StructType([vectors.schema[c] for c in NODE] + [
+        T.StructField("centrality", T.DoubleType()), T.StructField("pick", T.IntegerType())])
+    out = trivial.unionByName(ordered(dealt.filter("blocks = 1")).mapInArrow(_whole(shape, picks), shape))
+    several = dealt.filter("blocks > 1")
+    if several.isEmpty():
+        return out
     kind = _block_type(vectors)
-    blocks = dealt.groupBy("product_id", "block").applyInArrow(_start(kind, picks), kind)
-    ranked = blocks
-    if not vectors.filter(~plain & (count > 1)).isEmpty():
-        blocks = materialize(blocks, "rank-blocks")
-        several = _settle(blocks.filter("blocks > 1"), kind)
-        ranked = blocks.filter("blocks = 1").unionByName(_pick(several, kind, picks) if picks else several)
-    texts = ranked.select("product_id", F.explode(F.arrays_zip("ids", "r", "pick")).alias("t"))
-    return trivial.unionByName(texts.select(
+    blocks = _settle(materialize(ordered(several).mapInArrow(_start(kind), kind), "rank-blocks"), kind)
+    blocks = _pick(blocks, kind, picks) if picks else blocks
+    texts = blocks.select("product_id", F.explode(F.arrays_zip("ids", "r", "pick")).alias("t"))
+    return out.unionByName(texts.select(
         "product_id", "t.ids.review_id", "t.ids.sent_no", F.col("t.r").alias("centrality"), "t.pick"))
