@@ -39,12 +39,18 @@ def usable(vector: Column) -> Column:
     return F.coalesce(good & F.exists(values, lambda v: v != 0), F.lit(False))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, its largest component near 1: cosines stay exactly as they are, and no norm
+    over- or underflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 class Index:
     """Sorted projections of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors = ids[order], scaled(vectors[order])
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
         values = (self.vectors / self.norms[:, None]) @ self.directions
@@ -81,6 +87,7 @@ class Index:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
         """(query, row, cosine) of the k best of each query in this block, computed in double precision."""
+        queries = scaled(queries)
         norms = np.sqrt((queries * queries).sum(axis=1))
         for at in range(0, len(queries), 256):
             part = slice(at, at + 256)
@@ -97,7 +104,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     """query_id, rank, vec_id, score of the k nearest rows found for each query."""
     def taken(df: DataFrame) -> DataFrame:
         plain = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        plain = plain.filter(F.col("id").isNotNull() & usable(F.col("v"))).dropDuplicates(["id"])
+        plain = plain.filter(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
         return plain.withColumn("dim", F.size("v"))
 
     rows, asked = taken(vectors), taken(queries)

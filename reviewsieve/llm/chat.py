@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewsieve.functions.columns import let, positions
+
 START, END = "<|im_start|>", "<|im_end|>"
+STRETCH = 256
 
 
 def escape(text: Column) -> Column:
@@ -62,6 +65,18 @@ def render(turns: DataFrame) -> DataFrame:
                         .otherwise(F.col("_plain"))).drop("_plain"))
 
 
+def running(sizes: Column) -> Column:
+    """Running sums of an array<int>, in stretches of ``STRETCH``, so that no long array is copied value by value."""
+    def sums(values: Column, first: Column) -> Column:
+        return F.aggregate(values, F.array().cast("array<int>"), lambda acc, v: F.concat(acc, F.array(
+            v + F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(first))))
+
+    total = lambda values: F.aggregate(values, F.lit(0), lambda a, v: a + v)
+    pieces = F.transform(positions(F.ceil(F.size(sizes) / STRETCH).cast("int")), lambda k: F.slice(sizes, k * STRETCH + 1, F.lit(STRETCH)))
+    return let(pieces, lambda p: let(sums(F.transform(p, total), F.lit(0)), lambda until: F.flatten(
+        F.transform(p, lambda values, k: sums(values, F.when(k == 0, 0).otherwise(F.get(until, k - 1)))))))
+
+
 def format_conversations(turns: DataFrame, masked_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``formatted``, the turns parsed back from it, the loss mask (code point spans of the
     masked role's texts in ``formatted``), the number of escaped turns, and whether the round trip is identical."""
@@ -72,16 +87,15 @@ def format_conversations(turns: DataFrame, masked_role: str = "assistant") -> Da
     out = grouped.select("conv_id", F.array_join(F.col("source.rendered"), "").alias("formatted"), "source")
     out = out.withColumn("turns", parse(F.col("formatted")))
     pair = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc, t):
-        begin = acc["at"] + len(START) + F.length(t["raw_role"]) + 1
-        end = begin + F.length(t["raw_text"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + len(END) + 1).alias("at"), F.when(
-            t["role"] == masked_role, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return (out.withColumn("loss_mask", F.aggregate("turns", start, step, lambda acc: acc["spans"]))
+    def masked(turns: Column, ends: Column) -> Column:
+        """Spans of the masked role's texts, from where each turn ends in the output."""
+        spans = F.zip_with(turns, ends, lambda t, end: F.when(t["role"] == masked_role, F.struct(
+            (end - len(END) - 1 - F.length(t["raw_text"])).alias("start"), (end - len(END) - 1).alias("end"))))
+        return F.filter(spans, lambda s: s.isNotNull())
+
+    size = lambda t: len(START) + F.length(t["raw_role"]) + 1 + F.length(t["raw_text"]) + len(END) + 1
+    mask = let(F.transform("turns", size), lambda sizes: masked(F.col("turns"), running(sizes)))
+    return (out.withColumn("loss_mask", mask)
             .withColumn("escaped_turns", F.size(F.filter(F.col("source"), lambda t: t["escaped"])))
             .withColumn("round_trip", F.transform(F.col("source"), pair) == F.transform(F.col("turns"), pair))
             .drop("source"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -205,7 +206,7 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
 def is_contaminated(max_coverage: float = MAX_COVERAGE) -> Column:
     """Hit words reach the coverage limit. The limit is taken as a fraction of whole numbers, so there is no rounding."""
-    top, bottom = max_coverage.as_integer_ratio() if max_coverage != 0.05 else (1, 20)
+    top, bottom = Fraction(str(max_coverage)).as_integer_ratio()
     n_hit, n_words = F.col("contamination.n_hit"), F.col("contamination.n_words")
     return (n_hit > 0) & (n_hit * bottom >= n_words * top)
 

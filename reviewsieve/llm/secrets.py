@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewsieve.functions.columns import let
+
 KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = 40           # characters on either side of a candidate in which a sensitive word makes it one
 SURROUNDING = 1024     # characters on either side that prime the compressor
@@ -199,8 +201,10 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         lambda acc, s: F.when(s["start"] >= last(acc), F.concat(acc, piece(s["start"], s["end"]))).otherwise(F.concat(
             F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
             piece(F.element_at(acc, -1)["start"], F.greatest(last(acc), s["end"])))))
-    before = lambda i: F.when(i == 0, 0).otherwise(F.get(joined, i - 1)["end"])
-    kept = F.concat(
-        F.transform(joined, lambda s, i: F.substring(text, before(i) + 1, s["start"] - before(i))),
-        F.array(F.substring(text, F.element_at(joined, -1)["end"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, F.array_join(kept, mark)).otherwise(text)
+    def parts(j: Column) -> Column:  # of the joined spans, worked out once
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(j, i - 1)["end"])
+        return F.array_join(F.concat(
+            F.transform(j, lambda s, i: F.substring(text, before(i) + 1, s["start"] - before(i))),
+            F.array(F.substring(text, F.element_at(j, -1)["end"] + 1, F.length(text)))), mark)
+
+    return F.when(F.size(spans) > 0, let(joined, parts)).otherwise(text)

@@ -111,3 +111,30 @@ def test_neighbour_edges(spark):
     many = spark.range(300).selectExpr("id as vec_id", "array(1.0D, cast(id % 2 as double)) as embedding")
     found = ann.nearest(many, many.filter("vec_id = 0"), 4, rows_per_block=64).collect()
     assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == [2, 4, 6, 8]
+
+
+def test_many_turns(spark):
+    """50,000 turns of one conversation in linear time."""
+    import time
+
+    n = 50_000
+    turns = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    start = time.time()
+    got = chat.format_conversations(turns).select("round_trip", "loss_mask", F.sha2(chat.masked_text(
+        F.col("formatted"), F.slice("loss_mask", n // 2 - 1, 2)), 256).alias("last")).first()
+    assert time.time() - start < 30 and got.round_trip and len(got.loss_mask) == n // 2
+    import hashlib
+    assert got["last"] == hashlib.sha256(f"t{n - 3}t{n - 1}".encode()).hexdigest()
+
+
+def test_neighbours_of_any_length(spark):
+    """Tiny and huge components: the search ends and cosines are right; a repeated id has its least vector."""
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [0.0, 5e-324]), (3, [3e-200, 4e-200]), (4, [-1e308, 1e308]),
+            (5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(df, df, 6).collect()}
+    vectors = {i: np.array(v) / max(map(abs, v)) for i, v in sorted(rows, key=lambda r: (r[0], [-x for x in r[1]]))}
+    assert len(got) == 42
+    for (a, b), score in got.items():
+        x, y = vectors[a], vectors[b]
+        assert math.isclose(score, x @ y / math.sqrt(x @ x) / math.sqrt(y @ y), abs_tol=1e-12)

@@ -245,3 +245,21 @@ def test_registered_rows(spark, sf):
 @pytest.mark.parametrize("text,expected", [("ABC déf-x1", [b"abc", "déf".encode(), b"x1"]), (None, [])])
 def test_words(text, expected):
     assert words(text) == expected
+
+
+def test_many_secrets_and_limits(spark):
+    """A text of 10,000 hashes is redacted in seconds; any coverage limit works on many hit words."""
+    import hashlib
+    import time
+
+    from reviewsieve.llm import decontaminate, secrets
+
+    hashes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(10_000)]
+    docs = spark.createDataFrame([(1, "\n".join(hashes)), (2, "nothing"), (3, None)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.text for r in secrets.scan(docs).withColumn("text", secrets.redact(F.col("text"), F.col("spans"))).collect()}
+    assert time.time() - start < 40 and got == {1: "\n".join(["[SECRET]"] * 10_000), 2: "nothing", 3: None}
+    words_ = " ".join(f"w{k}" for k in range(400))
+    items = spark.createDataFrame([("a", words_)], "item_id string, text string")
+    pages = spark.createDataFrame([(1, words_ + " x" * 3600), (2, words_ + " x" * 3601)], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.decontaminate(pages, items, max_coverage=0.1).collect()] == [2]
