@@ -42,7 +42,8 @@ BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 PART = 1 << 16      # characters of a part of a long text, bytes of a range of a long unit
 FAN = 16            # fragments that one task joins
-REMEMBERED = 40_000  # units
+REMEMBERED = 100_000  # units that a worker keeps
+JOINED = 1000       # units that are encoded as one text
 BATCH_CHARS = 1 << 19
 FREQUENT = 1 << 16  # pairs in the broadcast table
 
@@ -79,6 +80,7 @@ class Codecs:
         self.size_b = np.array([len(x) for x in self.bytes_b])
         # how ids stand in the written groups: A followed by "," or "|", B by "," or ";"
         self.written = [f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(pieces), ",;")) for end in ends for i in range(n)]
+        self.written_size = np.array([len(x) for x in self.written])
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Token ids of space + text by both; None where a tokenizer does not give back the bytes."""
@@ -138,25 +140,42 @@ class Groups:
                       np.concatenate([self.pairs, other.pairs]))
 
 
-def close(tokens: Tokens, table: Codecs, ends: np.ndarray) -> list[Groups]:
-    """Groups of tokens whose last ones end at a cut; several stretches at once, each up to one of ``ends`` (cuts)."""
+@dataclass
+class Stretches:
+    """Closed groups of several stretches: the written groups of each, and running numbers of groups and pairs."""
+
+    written: list[str]
+    until_group: np.ndarray
+    pairs: np.ndarray
+    until_pair: np.ndarray
+
+
+def close_all(tokens: Tokens, table: Codecs, ends: np.ndarray) -> Stretches:
+    """Groups of tokens, in stretches that reach up to the byte offsets ``ends``, all of them cuts and the last one the end."""
     n_a, n_b = len(table.bytes_a), len(table.bytes_b)
-    last_a, last_b = (np.isin(x, y, assume_unique=True) for x, y in ((tokens.a_end, tokens.b_end), (tokens.b_end, tokens.a_end)))
+    last_a, last_b = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                      for x, y in ((tokens.a_end, tokens.b_end), (tokens.b_end, tokens.a_end)))
     group_a, group_b = (np.cumsum(last) - last for last in (last_a, last_b))
     # tokens in the order of writing: group by group, first A, then B
-    order_a = np.arange(len(tokens.a)) + np.searchsorted(group_b, group_a, "left")
-    order_b = np.arange(len(tokens.b)) + np.searchsorted(group_a, group_b, "right")
     codes = np.empty(len(tokens.a) + len(tokens.b), np.int64)
-    codes[order_a] = tokens.a + n_a * last_a
-    codes[order_b] = 2 * n_a + tokens.b + n_b * last_b
-    written = list(map(table.written.__getitem__, codes.tolist()))
+    codes[np.arange(len(tokens.a)) + np.searchsorted(group_b, group_a, "left")] = tokens.a + n_a * last_a
+    codes[np.arange(len(tokens.b)) + np.searchsorted(group_a, group_b, "right")] = 2 * n_a + tokens.b + n_b * last_b
+    text = "".join(map(table.written.__getitem__, codes.tolist()))
     # every stretch between neighbouring ends of any token is one overlap
     borders = np.union1d(tokens.a_end, tokens.b_end)
     pairs = tokens.a[np.searchsorted(tokens.a_end, borders)] * n_b + tokens.b[np.searchsorted(tokens.b_end, borders)]
-    until_a, until_b, until, closed = (np.concatenate([[0], np.searchsorted(x, ends, "right")]) for x in (
+    until_a, until_b, until_pair, until_group = (np.searchsorted(x, ends, "right") for x in (
         tokens.a_end, tokens.b_end, borders, tokens.a_end[last_a]))
-    return [Groups("".join(written[until_a[k] + until_b[k]:until_a[k + 1] + until_b[k + 1]])[:-1],
-                   int(closed[k + 1] - closed[k]), pairs[until[k]:until[k + 1]]) for k in range(len(ends))]
+    until_char = np.cumsum(table.written_size[codes])[until_a + until_b - 1].tolist()
+    return Stretches([text[i:j - 1] for i, j in zip([0, *until_char], until_char)], until_group, pairs, until_pair)
+
+
+def close(tokens: Tokens, table: Codecs) -> Groups:
+    """Groups of tokens whose last ones end at a cut."""
+    if not len(tokens.a):
+        return Groups()
+    found = close_all(tokens, table, tokens.a_end[-1:])
+    return Groups(found.written[0], int(found.until_group[0]), found.pairs)
 
 
 @dataclass
@@ -177,7 +196,7 @@ class Fragment:
         last, end = int(cuts[-1]), int(max(tokens.a_end[-1], tokens.b_end[-1]))
         inner = tokens.between(first, last)
         return cls(True, tokens.between(-1, first) if first >= 0 else Tokens.none(),
-                   close(inner, table, np.array([last]))[0] if len(inner.a) else Groups(), tokens.between(last, end))
+                   close(inner, table), tokens.between(last, end))
 
     def join(self, other: Fragment, table: Codecs) -> Fragment:
         """The fragment of both ranges, ``other`` right after this one."""
@@ -186,31 +205,77 @@ class Fragment:
         middle = self.suffix + other.prefix
         if not other.cut:
             return Fragment(True, self.prefix, self.closed, middle)
-        between = close(middle, table, middle.a_end[-1:])[0] if len(middle.a) else Groups()
-        return Fragment(True, self.prefix, self.closed + between + other.closed, other.suffix)
+        return Fragment(True, self.prefix, self.closed + close(middle, table) + other.closed, other.suffix)
 
 
 class Units:
-    """The closed groups of units, made for all new ones of a batch together."""
+    """The closed groups of units by number; those of a batch's new units are made together."""
 
     def __init__(self, table: Codecs):
-        self.table, self.known = table, {}
-
-    def look_up(self, units: list[str]) -> list[tuple[Groups, int, int] | None]:
-        """Groups and numbers of A and B tokens of distinct units; None if a tokenizer does not spell the unit."""
-        new = [u for u in units if u not in self.known]
-        found = self.table.encode(new)
-        whole = [(a, b) for a, b in filter(None, found)]
-        if whole:
-            lengths = np.cumsum([sum(map(len, map(self.table.bytes_a.__getitem__, a))) for a, _ in whole])
-            tokens = Tokens.of([i for a, _ in whole for i in a], [i for _, b in whole for i in b], self.table)
-            groups = iter(close(tokens, self.table, lengths))
-        made = {u: None if f is None else (next(groups), len(f[0]), len(f[1])) for u, f in zip(new, found)}
-        out = [made[u] if u in made else self.known[u] for u in units]
-        if len(self.known) + len(made) > REMEMBERED:
-            self.known = {}
-        self.known |= {u: g for u, g in made.items() if len(u) <= 64} if len(made) <= REMEMBERED else {}
-        return out
+        self.table = table
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.written: list[str] = []
+        self.facts = np.zeros((0, 4), np.int64)  # is it spelled; groups, A tokens, B tokens
+        self.pairs, self.until_pair = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def add(self, units: set[str]) -> None:
+        """Make the groups of units that have no number yet; forget the others first if there are many."""
+        if len(self.number) > REMEMBERED:
+            self.clear()
+        new = [u for u in units if u not in self.number]
+        # many are encoded as one text, as no token reaches across; those that begin or end a text with white space are not
+        a, b, kept = [], [], []
+        edges = [u for u in new if u[0].isspace() or u[-1].isspace()]
+        apart = set(edges)
+        inner = [u for u in new if u not in apart] if edges else new
+        for some in [*(inner[k:k + JOINED] for k in range(0, len(inner), JOINED)), *([u] for u in edges)]:
+            found = self.table.encode([" ".join(some)])[0]
+            if found is None:
+                single = self.table.encode(some)
+                some = [u for u, f in zip(some, single) if f]
+                found = [sum((f[side] for f in single if f), []) for side in (0, 1)]
+            a += found[0]
+            b += found[1]
+            kept += some
+        if kept:
+            tokens = Tokens.of(a, b, self.table)
+            ends = np.cumsum([1 + len(u.encode()) for u in kept])
+            made = close_all(tokens, self.table, ends)
+            sizes = [np.diff(x, prepend=0) for x in (made.until_group, *(
+                np.searchsorted(x, ends, "right") for x in (tokens.a_end, tokens.b_end)))]
+            self.facts = np.concatenate([self.facts, np.stack([np.ones(len(kept), np.int64), *sizes], axis=1)])
+            self.until_pair = np.concatenate([self.until_pair, self.until_pair[-1] + made.until_pair])
+            self.pairs = np.concatenate([self.pairs, made.pairs])
+            self.written += made.written
+            self.number.update(zip(kept, range(len(self.number), len(self.number) + len(kept))))
+        for u in new if len(kept) < len(new) else ():
+            if u not in self.number:
+                self.number[u] = len(self.number)
+                self.written.append("")
+                self.facts = np.concatenate([self.facts, np.zeros((1, 4), np.int64)])
+                self.until_pair = np.append(self.until_pair, self.until_pair[-1])
+
+    def products(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the product of its units: the written groups; groups, A and B tokens; and all linked pairs with
+        the number of their text. Empty texts and those with a unit that is not spelled have nothing."""
+        split = [SPACE.split(t) if t else [] for t in texts]
+        self.add(set().union(*split))
+        numbers = [list(map(self.number.__getitem__, s)) for s in split]
+        written = [";".join(map(self.written.__getitem__, n)) for n in numbers]
+        sizes = np.array([len(n) for n in numbers])
+        flat, text = np.array([i for n in numbers for i in n], np.int64), np.repeat(np.arange(len(texts)), sizes)
+        ends = np.cumsum(sizes)
+        running = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.facts[flat], axis=0)])
+        facts = running[ends] - running[ends - sizes]
+        whole = (facts[:, 0] == sizes) & (sizes > 0)
+        flat, text = (x[whole[text]] for x in (flat, text))
+        n = self.until_pair[flat + 1] - self.until_pair[flat]
+        where = np.repeat(self.until_pair[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return ([w if ok else "" for w, ok in zip(written, whole)], np.where(whole[:, None], facts[:, 1:], 0),
+                np.repeat(text, n), self.pairs[where])
 
 
 PAIR = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
@@ -231,31 +296,6 @@ def links_of(rows: np.ndarray, pairs: np.ndarray, n_rows: int, n_b: int) -> pa.A
         [pa.array(x, pa.int32()) for x in (pairs // n_b, pairs % n_b, counts)], fields=list(PAIR)))
 
 
-def part_products(texts: list[str], units: Units) -> tuple[list[tuple[str, int, int, int] | None], np.ndarray, np.ndarray]:
-    """Of each text the product of its units: (written groups, groups, A tokens, B tokens), None if one is not spelled or
-    the text is empty; and all linked pairs with the number of their text."""
-    split = [SPACE.split(t) if t else [] for t in texts]
-    number: dict[str, int] = {}
-    indices = [[number.setdefault(u, len(number)) for u in s] for s in split]
-    made = units.look_up(list(number))
-    bad = {k for k, m in enumerate(made) if m is None}
-    none = (Groups(), 0, 0)
-    written = [(m or none)[0].written for m in made]
-    facts = np.array([((m or none)[0].n, (m or none)[1], (m or none)[2]) for m in made], np.int64).reshape(-1, 3)
-    kept = [k for k, index in enumerate(indices) if index and not (bad and bad.intersection(index))]
-    products: list = [None] * len(texts)
-    for k in kept:
-        products[k] = (";".join(map(written.__getitem__, indices[k])), *facts[indices[k]].sum(axis=0).tolist())
-    sizes = np.array([len((m or none)[0].pairs) for m in made], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    pairs = np.concatenate([(m or none)[0].pairs for m in made] or [np.zeros(0, np.int64)])
-    flat = np.array([i for k in kept for i in indices[k]], np.int64)
-    row = np.repeat(np.array(kept, np.int64), [len(indices[k]) for k in kept])
-    n = sizes[flat] if len(flat) else flat
-    where = np.repeat(starts[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(flat) else flat
-    return products, np.repeat(row, n), pairs[where]
-
-
 def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """Neighbouring texts of about ``BATCH_CHARS`` characters with the number of the first."""
     held, first, size = [], 0, 0
@@ -276,11 +316,9 @@ def _align_short(folder: str):
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for first, held in _batches(texts):
-                products, rows, pairs = part_products(held, units)
-                whole = [p or ("", 0, 0, 0) for p in products]
+                written, facts, rows, pairs = units.products(held)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(first, len(held)), *[pa.array([w[k] for w in whole], pa.int64()) for k in (2, 3, 1)],
-                    pa.array([w[0] for w in whole], pa.string()),
+                    ids.slice(first, len(held)), *[pa.array(facts[:, k]) for k in (1, 2, 0)], pa.array(written, pa.string()),
                     links_of(rows, pairs, len(held), len(table.bytes_b))], schema=ALIGNED)
     return run
 
