@@ -27,7 +27,7 @@ from .common import schema
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
       |<(script|style|noscript|template|iframe|textarea|select|title)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)
-      |<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>
+      |<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>
       |<[!?/][^>]*>""", re.S | re.I | re.X)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")

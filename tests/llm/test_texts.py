@@ -263,3 +263,13 @@ def test_many_secrets_and_limits(spark):
     items = spark.createDataFrame([("a", words_)], "item_id string, text string")
     pages = spark.createDataFrame([(1, words_ + " x" * 3600), (2, words_ + " x" * 3601)], "doc_id long, text string")
     assert [r.doc_id for r in decontaminate.decontaminate(pages, items, max_coverage=0.1).collect()] == [2]
+
+
+def test_unclosed_tags_end():
+    """Pages of unclosed tags are scanned without giving back characters of their names."""
+    import time
+
+    start = time.time()
+    for page in ("<b" * 5000, "<" + "x" * 50_000, "<p>" + "a<b and c<d then e<f; " * 1000):
+        assert not html._TOKEN.search(page, 3)
+    assert time.time() - start < 10
