@@ -1,7 +1,7 @@
 """Opinion digest: the sentences that best stand for the genuine reviews of each product."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,9 @@ from .distribute import salted_top, top_k
 from .scoring import score_batches
 
 
-def filled(reviews: DataFrame) -> DataFrame:
+def filled(reviews: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Reviews with stripped text, blank ones left out."""
-    return reviews.select("product_id", "review_id", strip(F.col("text")).alias("text")).filter(F.col("text") != "")
+    return reviews.select("product_id", "review_id", *extra, strip(F.col("text")).alias("text")).filter(F.col("text") != "")
 
 
 def candidate_sentences(reviews: DataFrame) -> DataFrame:
@@ -46,8 +46,12 @@ def opinion_digest(reviews: DataFrame, products: DataFrame | None = None, picks:
     A product without candidate sentences gets the start of its joined reviews;
     one whose sentences cannot be compared gets its first sentences.
     """
-    kept = filled(reviews)
-    candidates = materialize(candidate_sentences(reviews), "candidates")
+    return digest_of(materialize(candidate_sentences(reviews), "candidates"), filled(reviews), products, picks, **options)
+
+
+def digest_of(candidates: DataFrame, kept: DataFrame, products: DataFrame | None = None,
+              picks: int = lx.DIGEST_SENTENCES, **options) -> DataFrame:
+    """The digest from stored sentences and ``kept(product_id, review_id, text)``, of whose texts the start will do."""
     ranked = rank_texts(candidates.withColumnRenamed("sentence", "body"), picks, **options)
     chosen = ranked.filter(F.col("pick") > 0).select(*NODE, "pick").join(candidates, NODE)
     extract = _joined(chosen, ["pick"], "sentence")

@@ -738,18 +738,18 @@ def stats(source: str, threshold: str, group: str) -> str:
 
 
 oracle("r1_r4_stats", *SC, final=stats("sc", "0.5", "product_id"))
-oracle("r5_rethreshold", *SC, final=stats("sc", "0.7", "product_id"))
 oracle("r6_threshold_grid", *SC,
        "gr AS (SELECT sc.*, CAST(i * 0.05 AS DOUBLE) AS threshold FROM sc, (SELECT unnest(range(1, 20)) AS i))",
        final=stats("gr", "threshold", "product_id, threshold"))
-oracle("r7_report", *SC, "rs AS (" + stats("sc", "0.5", "product_id") + ")", "kp AS (SELECT * FROM sc WHERE p < 0.5)",
-       *digest("kp", "(SELECT DISTINCT product_id FROM sc)"),
-       *mentions("kp"), *opinions(),
-       """vd AS (SELECT product_id, string_agg(aspect || ': ' || verdict, '; ' ORDER BY mentions DESC, aspect) AS verdicts
-         FROM ar GROUP BY product_id)""", recursive=True,
-       final="""SELECT product_id, n_total, n_fake, pct_fake, raw_avg_rating, genuine_avg_rating, genuine_positive,
-         genuine_negative, rating_shift, summary, n_reviews, coalesce(verdicts, '') AS verdicts
-         FROM rs JOIN dg USING (product_id) LEFT JOIN vd USING (product_id)""")
+for name, threshold in [("r5_rethreshold", "0.7"), ("r7_report", "0.5")]:
+    oracle(name, *SC, "rs AS (" + stats("sc", threshold, "product_id") + ")", f"kp AS (SELECT * FROM sc WHERE p < {threshold})",
+           *digest("kp", "(SELECT DISTINCT product_id FROM sc)"),
+           *mentions("kp"), *opinions(),
+           """vd AS (SELECT product_id, string_agg(aspect || ': ' || verdict, '; ' ORDER BY mentions DESC, aspect) AS verdicts
+             FROM ar GROUP BY product_id)""", recursive=True,
+           final="""SELECT product_id, n_total, n_fake, pct_fake, raw_avg_rating, genuine_avg_rating, genuine_positive,
+             genuine_negative, rating_shift, summary, n_reviews, coalesce(verdicts, '') AS verdicts
+             FROM rs JOIN dg USING (product_id) LEFT JOIN vd USING (product_id)""")
 oracle("r7_report_generated", *SC, "kp AS (SELECT * FROM sc WHERE p < 0.5)", *PACK, *TWO_LEVEL,
        "nr AS (SELECT product_id, count(*) AS k FROM fl GROUP BY product_id)", recursive=True,
        final=f"""SELECT product_id, coalesce(summary, {q(lx.DIGEST_EMPTY)}) AS summary, 'abstractive' AS backend,

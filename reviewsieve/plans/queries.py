@@ -14,6 +14,7 @@ from ..operators import aspects as asp
 from ..operators import centrality as cen
 from ..operators import digest as dig
 from ..operators import explain, features, langmodel, metrics, model, report, scoring, vectorize
+from ..operators.rethreshold import ReportStore
 from ..session import materialize
 from ..sources import readers
 from ..sources.views import reviews_docs, reviews_orders, reviews_turns, table
@@ -688,10 +689,11 @@ def r1_r4_stats(spark, d):
 
 @query
 def r5_rethreshold(spark, d):
-    """A first report, then another threshold over its stored scores."""
+    """A first report, then one at another threshold that changes the products with a flipped review only."""
     reviews = reviews_orders(spark, d)
-    first = report.analyze(reviews, given_model(reviews))
-    return rounded(report.build_report(first.reviews.drop("is_fake"), 0.7).stats, *STATS)
+    scored = materialize(given_model(reviews).score(reviews, explained=False), "scored")
+    store = ReportStore.build(scored)
+    return _whole_report(store.report(0.7, store.report(0.5)))
 
 
 @query
@@ -699,15 +701,19 @@ def r6_threshold_grid(spark, d):
     return rounded(report.threshold_grid(_plain(spark, d)), *STATS)
 
 
+def _whole_report(found):
+    """Statistics, digest and aspect verdicts, a row for each product."""
+    verdicts = F.array_join(F.transform("aspects", lambda a: F.concat(a["aspect"], F.lit(": "), a["verdict"])), "; ")
+    return rounded(found.nested(), *STATS).select(
+        "product_id", "n_total", "n_fake", *STATS, "summary", "n_reviews",
+        F.coalesce(verdicts, F.lit("")).alias("verdicts"))
+
+
 @query
 def r7_report(spark, d):
     """Statistics, digest and aspect verdicts of every product, from scoring to report."""
     reviews = reviews_orders(spark, d)
-    full = report.analyze(reviews, given_model(reviews)).nested()
-    verdicts = F.array_join(F.transform("aspects", lambda a: F.concat(a["aspect"], F.lit(": "), a["verdict"])), "; ")
-    return rounded(full, *STATS).select(
-        "product_id", "n_total", "n_fake", *STATS, "summary", "n_reviews",
-        F.coalesce(verdicts, F.lit("")).alias("verdicts"))
+    return _whole_report(report.analyze(reviews, given_model(reviews)))
 
 
 @query
