@@ -271,5 +271,25 @@ def test_unclosed_tags_end():
 
     start = time.time()
     for page in ("<b" * 5000, "<" + "x" * 50_000, "<p>" + "a<b and c<d then e<f; " * 1000):
-        assert not html._TOKEN.search(page, 3)
+        assert not html.Tags(page).next(3)
+    assert time.time() - start < 10
+
+
+@pytest.mark.parametrize("page,expected", [
+    ("<b" * 100_000, "<b" * 100_000),
+    ("<p>" + "a<b and c<d then e<f; " * 9_000, ("a<b and c<d then e<f; " * 9_000).strip()),
+    ("<a " * 66_000 + "' >", ("<a " * 66_000 + "' >")),
+    ("<div><p>" * 25_000 + "deep", "deep"),
+    ("".join(f"<div class={'abc'[k % 3]}><p>word {k}" for k in range(12_000)), "\n".join(f"word {k}" for k in range(12_000))),
+    ("<p>x</p>" + "<nav><p>y" * 20_000, "x"),
+    ("<b>" + "<div>x</b></div>" * 12_000, "\n".join(["x"] * 12_000)),
+    ("&#" + "9" * 100_000 + "; &#" + "0" * 9_999 + "65;", "\ufffd A"),
+    ("<p title='a>b'>one<p data-x=\"<i>\">two <!-- <p> -->three", "one\ntwo three"),
+    ("<div class='a>b'><p>one</div>", "one")])
+def test_long_and_deep_pages(page, expected):
+    """Pages of 200 KB that took square or cubic time; the whole text comes back in about a second."""
+    import time
+
+    start = time.time()
+    assert html.main_text(html.read_page(page), None)[0] == expected
     assert time.time() - start < 10
