@@ -2,8 +2,8 @@
 
 The piece lattice of a text falls apart where no piece of the vocabulary reaches across, such as before a space mark
 that follows other text. In each part the forward Viterbi scores are computed; they are the exact heuristic of an A*
-search that runs backward from the end and so yields the best segmentations in order; in parts of more than 64
-characters every place keeps its N best ways instead, which bounds the work. The forward pass also keeps the
+search that runs backward from the end and so yields the best segmentations in order, going on from no place more than N
+times, which bounds the work for parts of any length. The forward pass also keeps the
 score of the second-best path, so a text's N best segmentations need the search only in the N-1 words where a deviation
 is cheapest; all others keep their best path.
 
@@ -12,7 +12,8 @@ probabilities; the lattice takes a Zipf law over the ranks (``piece_scores``). C
 literal space mark, are spelled in byte pieces, so decoding gives back every text.
 
 Row-local; the vocabulary (32,000 pieces) is broadcast. Defined cases: null counts as empty; an empty text is the lone
-space mark that starts every text; ties go to the segmentation with longer pieces first; result columns replace columns
+space mark that starts every text; repeated rows stay, an empty table gives an empty result; a long text without spaces is
+one part, for which time and memory follow its length; ties go to the segmentation with longer pieces first; result columns replace columns
 of that name.
 """
 from __future__ import annotations
@@ -33,7 +34,6 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 3
 CACHE = 200_000   # words in each of two generations that a worker remembers
-SEARCHED = 64     # characters of the longest word that the backward search takes
 LONGEST = 256     # characters of the longest word that is remembered
 ROWS = 256        # rows of a result handed over at once
 
@@ -143,67 +143,50 @@ class Codec:
 
     def n_best(self, part: str, n: int) -> list[tuple[float, bytes]]:
         """The n best paths in order: A* backward from the end, with the forward Viterbi score of a place as the exact
-        heuristic of the way that is left. Of equal paths the one that ``viterbi`` takes comes first."""
-        if len(part) > SEARCHED:
-            return self.n_best_forward(part, n)
+        heuristic of the way that is left. No place goes on more than n times, since the ways from the end come in order
+        and n of them make n paths already; so time and memory follow the length. Of equal paths the one that
+        ``viterbi`` takes comes first; scores that differ by rounding only count as equal."""
         size = len(part)
-        ends: list[list[tuple[int, float, bytes]]] = [[] for _ in range(size + 1)]
+        ends: list[list[tuple[int, list]]] = [[] for _ in range(size + 1)]
         forward = [0.0] + [-math.inf] * size
-        for i in range(size):
-            children, j = self.tree, i
-            if (first := children.get(part[i])) is None or first[2] is None:
-                ends[i + 1].append((i, *self.spelled(part[i])))
-            while j < size and (node := children.get(part[j])) is not None:
-                children = node[0]
+        for i, char in enumerate(part):
+            node, base, j = self.tree.get(char), forward[i], i
+            if node is None or node[2] is None:
+                node = [node[0] if node else {}, *self.spelled(char)]
+            while node is not None:
                 j += 1
                 if node[2] is not None:
-                    ends[j].append((i, node[1], node[2]))
-            forward[i + 1] = max(forward[k] + score for k, score, _ in ends[i + 1])
+                    ends[j].append((i, node))
+                    if base + node[1] > forward[j]:
+                        forward[j] = base + node[1]
+                if j == size:
+                    break
+                node = node[0].get(part[j])
         order = itertools.count()
+        left = [n] * (size + 1)
         # an entry holds its last step and the entry before it; of equal entries the one nearest the start goes on
         agenda = [(-forward[size], size, next(order), 0.0, None)]
         found: list[tuple[float, bytes]] = []
         while agenda and len(found) < n:
             _, at, _, score, path = heapq.heappop(agenda)
             if at == 0:
-                ids = []
-                while path is not None:
-                    piece, path = path
-                    ids.append(piece)
+                ids, score = [], 0.0
+                while path is not None:  # summed in the order of ``viterbi``, so that none is above the best by rounding
+                    node, path = path
+                    ids.append(node[2])
+                    score += node[1]
                 found.append((score, b"".join(ids)))
                 continue
-            for start, more, piece in ends[at]:
-                heapq.heappush(agenda, (-(score + more + forward[start]), start, next(order), score + more, (piece, path)))
-        best, top, _ = self.viterbi(part)
-        return [(top, best), *(f for f in found if f[1] != best)][:n]
-
-    def n_best_forward(self, part: str, n: int) -> list[tuple[float, bytes]]:
-        """The same for a long part, where the search could meet any number of near-equal paths: each place keeps its n
-        best ways from the start, so time and memory follow the length."""
-        size = len(part)
-        ways: list[list[tuple]] = [[(0.0, b"", None)], *([] for _ in range(size))]  # score, last piece, way before it
-        for i, char in enumerate(part):
-            here = ways[i] = heapq.nlargest(n, ways[i], key=lambda way: way[0])
-            node, j = self.tree.get(char), i
-            if node is None or node[2] is None:
-                node = [node[0] if node else {}, *self.spelled(char)]
-            while node is not None:
-                children, score, piece = node
-                j += 1
-                if piece is not None:
-                    ways[j] += [(way[0] + score, piece, way) for way in here]
-                if j == size:
-                    break
-                node = children.get(part[j])
-        found: list[tuple[float, bytes]] = []
-        for way in heapq.nlargest(n, ways[size], key=lambda way: way[0]):
-            total, ids = way[0], []
-            while way is not None:
-                _, piece, way = way
-                ids.append(piece)
-            found.append((total, b"".join(reversed(ids))))
+            if left[at] == 0:
+                continue
+            left[at] -= 1
+            for start, node in ends[at]:
+                if left[start]:
+                    way = score + node[1]
+                    heapq.heappush(agenda, (-(way + forward[start]), start, next(order), way, (node, path)))
         best, top, _ = self.viterbi(part)
-        return [(top, best), *(f for f in found if f[1] != best)][:n]
+        others = sorted((f for f in found if f[1] != best), key=lambda f: -f[0])
+        return [(top, best), *others][:n]
 
     def parts(self, text: str) -> list[str | None]:
         """Words of the marked text; None is a space mark that stood in the text itself."""
@@ -244,9 +227,10 @@ class Codec:
         costs = [b[2] for b in best]
         places = [k for k in heapq.nsmallest(n - 1, range(len(costs)), key=costs.__getitem__) if costs[k] < math.inf]
         choices = [self.n_best(parts[k], n) for k in places]
-        ranked = heapq.nsmallest(n, (
-            (sum(c[0][0] - c[i][0] for c, i in zip(choices, pick)), pick)
-            for pick in itertools.product(*(range(len(c)) for c in choices))))
+        # the n cheapest picks over all words come from the n cheapest over the words before the last one
+        ranked: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        for c in choices:
+            ranked = heapq.nsmallest(n, ((cost + (c[0][0] - c[i][0]), (*pick, i)) for cost, pick in ranked for i in range(len(c))))
         for cost, pick in ranked[1:]:
             changed = [(k, c[i][1]) for k, c, i in zip(places, choices, pick) if i]
             own = ids[:]

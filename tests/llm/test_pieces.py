@@ -64,10 +64,47 @@ def test_round_trip(text):
 def test_long_parts_against_all_segmentations(text):
     codec = pieces.Codec(VOCABULARY)
     expected = all_paths(codec, pieces.piece_scores(VOCABULARY), text)[:4]
-    got = codec.n_best_forward(pieces.MARK + text, 4)
+    got = codec.n_best(pieces.MARK + text, 4)
     assert np.allclose([s for s, _ in got], [s for s, _ in expected]) and len({ids for _, ids in got}) == len(got)
 
 
+def best_ways(codec, part, n):
+    """Scores of the n best segmentations, by the n best ways to each place."""
+    ways = [[0.0], *([] for _ in part)]
+    for i in range(len(part)):
+        ways[i] = sorted(ways[i], reverse=True)[:n]
+        children, j, spelled = codec.tree, i, True
+        while j < len(part) and (node := children.get(part[j])) is not None:
+            children, j = node[0], j + 1
+            if node[2] is not None:
+                spelled &= j > i + 1
+                ways[j] += [w + node[1] for w in ways[i]]
+        if spelled:
+            ways[i + 1] += [w + codec.spelled(part[i])[0] for w in ways[i]]
+    return sorted(ways[-1], reverse=True)[:n]
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_one_search_for_parts_of_any_length(n):
+    codec, draw = pieces.Codec(pieces.read_pieces()), np.random.default_rng(n)
+    for size in [2, 20, 63, 64, 65, 66, 80, 300, 3000]:
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "aeinrst", "a", "aA0+/é漢"):
+            part = pieces.MARK + "".join(draw.choice(list(letters), size))
+            got, expected = codec.n_best(part, n), best_ways(codec, part, n)
+            assert len({ids for _, ids in got}) == len(expected) and np.allclose([s for s, _ in got], expected)
+            assert all(codec.pieces_text(ids).decode() == part.replace(pieces.MARK, " ") for _, ids in got)
+
+
+def test_many_segmentations_of_many_words():
+    """n = 40 over a sentence: the n cheapest picks, without a table of all of them."""
+    codec = pieces.Codec(pieces.read_pieces())
+    text = "the quick brown fox jumps over twenty lazy dogs"
+    found = codec.encode(text, 40)
+    whole = "".join(codec.parts(text))
+    assert len({tuple(ids) for _, ids in found}) == 40
+    assert np.allclose([s for s, _ in found], best_ways(codec, whole, 40))
+
+
 @pytest.mark.parametrize("text", ["".join(map(chr, np.random.default_rng(4).integers(97, 123, 200_000))), "a" * 200_000])
 def test_long_text_without_spaces(text):
     codec = pieces.Codec(pieces.read_pieces())
