@@ -530,6 +530,20 @@ oracle("g3_similarity", RO, KEPT, *candidates("kp"), *vectors(),
 MANY = [*candidates("rd"), *vectors()[:4]]  # texts of large products, without their graph
 oracle("g3_similarity_docs", RD, *MANY, *linked(),
        final=f"SELECT {ND}, {r6('coalesce(rs, 0)', 'sim_sum')} FROM ve_id LEFT JOIN ve_r ON src = nid")
+# texts with the same terms and counts are one node, the smallest of them
+CLASSES = [*MANY, """cl AS MATERIALIZED (SELECT product_id, nid, min(nid) OVER (PARTITION BY product_id, bag) AS rep,
+  count(*) OVER (PARTITION BY product_id, bag) AS copies FROM (SELECT product_id, nid,
+  list((term, k) ORDER BY term) AS bag FROM ve_t GROUP BY ALL))"""]
+oracle("g3_classes", RD, *CLASSES,
+       final="""SELECT i.product_id, i.review_id, i.sent_no, r.review_id AS rep_review_id, r.sent_no AS rep_sent_no
+         FROM cl JOIN ve_id i USING (nid) JOIN ve_id r ON r.nid = rep""")
+oracle("g3_edges", RD, *CLASSES,
+       """cv AS MATERIALIZED (SELECT ve.product_id, ve.nid, term, w FROM ve JOIN cl USING (nid) WHERE cl.nid = rep)""",
+       """ce AS (SELECT a.nid AS src, b.nid AS dst, sum(a.w * b.w) AS sim FROM cv a JOIN cv b ON a.product_id = b.product_id
+         AND a.term = b.term AND a.nid < b.nid GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.5)""",
+       final=f"""SELECT a.product_id, a.review_id, a.sent_no, ca.copies, b.review_id AS other_review_id,
+         b.sent_no AS other_sent_no, cb.copies AS other_copies, {r6('sim')} FROM ce JOIN ve_id a ON a.nid = src
+         JOIN ve_id b ON b.nid = dst JOIN cl ca ON ca.nid = src JOIN cl cb ON cb.nid = dst""")
 oracle("g4_rank_docs", RD, *MANY, *ranks_by_terms(), *picks(graph=False), recursive=True,
        final=f"SELECT {ND}, {r6('r', 'centrality')}, coalesce(pick, 0) AS pick FROM ra LEFT JOIN mm USING (nid)")
 oracle("g5_mmr_docs", RD, *MANY, *ranks_by_terms(), *picks(graph=False), recursive=True,

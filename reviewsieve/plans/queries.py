@@ -13,7 +13,7 @@ from ..functions import text as txt
 from ..operators import aspects as asp
 from ..operators import centrality as cen
 from ..operators import digest as dig
-from ..operators import explain, features, langmodel, metrics, model, report, scoring, vectorize
+from ..operators import edges, explain, features, langmodel, metrics, model, report, scoring, vectorize
 from ..operators.rethreshold import ReportStore
 from ..session import materialize
 from ..sources import readers
@@ -507,6 +507,22 @@ def g3_similarity_docs(spark, d):
     return rounded(cen.similarity_sums(docs), "sim_sum")
 
 
+@query
+def g3_edges(spark, d):
+    """Edges of the similarity graph of each source's sentences; equal sentences are one node."""
+    return rounded(edges.similarity_edges(_sentences_of_docs(spark, d), 0.5), "sim")
+
+
+@query
+def g3_classes(spark, d):
+    """The node of that graph that each sentence belongs to."""
+    return edges.text_classes(_sentences_of_docs(spark, d))
+
+
+def _sentences_of_docs(spark, d):
+    return dig.candidate_sentences(reviews_docs(spark, d)).withColumnRenamed("sentence", "body")
+
+
 @query
 def g4_rank(spark, d):
     return rounded(dig.ranked_sentences(_kept(spark, d)), "centrality").drop("pick")
