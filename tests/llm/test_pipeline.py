@@ -80,3 +80,16 @@ def test_edge_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             frame = materialize(stage(spark, frame, sf), "edge")
         assert sorted(r.doc_id for r in frame.collect()) == expected
+
+
+def test_segmentation_gives_the_n_best(spark, sf):
+    rows = [(1, "Unbelievable results, undoubtedly.", "en", "s", 34), (2, None, "en", "s", None), (3, "ab", "en", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    codec = pieces.Codec(pieces.read_pieces())
+    for row in corpus_pipeline.segmentation(spark, docs, sf).collect():
+        text = rows[row.doc_id - 1][1] or ""
+        found = [(s.score, list(s.ids)) for s in row.segmentations]
+        assert found == [(score, ids.tolist()) for score, ids in codec.encode(text, pieces.N_BEST)]
+        assert found[0][1] == row.ids and len(row.ids) == row.n_pieces
+        assert all(codec.decode(ids) == text for _, ids in found)
+        assert len(found) == pieces.N_BEST or not text
