@@ -29,6 +29,7 @@ from ..session import materialize
 
 NODE = ["product_id", "review_id", "sent_no"]
 BLOCK_TOKENS = 200_000  # tokens and texts of a block, which a task holds (some 10 MB)
+WHOLE_TOKENS = 8_000_000  # up to so many a product is one block, which a task holds without writing it (some 100 bytes each)
 ROWS_OUT = 10_000  # texts in a batch of results
 LOOKS = 6  # steps between looks whether any product still moves; a settled block stays as it is
 LOOSE, CHANGE = " loose", " change"  # no terms, as these have no spaces
@@ -328,19 +329,23 @@ def _pick(blocks: DataFrame, kind: T.StructType, picks: int) -> DataFrame:
     return blocks
 
 
-def rank_texts(nodes: DataFrame, picks: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def rank_texts(nodes: DataFrame, picks: int = 0, block_tokens: int | None = None) -> DataFrame:
     """(product_id, review_id, sent_no, centrality, pick) for ``nodes(node, body)``.
 
     Products without a second text or without any term get centrality 1 and no
     picks; callers handle those. ``pick`` is the 1-based MMR order, 0 for the rest.
     Texts are dealt to blocks of about ``block_tokens`` tokens of one product, which
-    take the same steps however many there are.
+    take the same steps however many there are. By default a product of up to ``WHOLE_TOKENS``
+    is one block and needs no exchange, a larger one is dealt to blocks of ``BLOCK_TOKENS``.
     """
     vectors = materialize(linked_terms(text_vectors(nodes)), "vectors")
     plain = (F.col("n") < 2) | (F.col("tokens") == 0)
     trivial = vectors.filter(plain).select(*NODE, F.lit(1.0).alias("centrality"), F.lit(0).alias("pick"))
     # texts without any token take room, too
-    count = F.ceil((F.col("tokens") + F.col("n")) / block_tokens).cast("int")
+    size = F.col("tokens") + F.col("n")
+    count = F.ceil(size / (block_tokens or BLOCK_TOKENS)).cast("int")
+    if block_tokens is None:
+        count = F.when(size <= WHOLE_TOKENS, 1).otherwise(count)
     dealt = vectors.filter(~plain).select(
         *NODE, "n", "vector", count.alias("blocks"), F.pmod(F.xxhash64(*NODE), count).cast("int").alias("block"))
     ordered = lambda df: df.repartition("product_id", "block").sortWithinPartitions("product_id", "block", *NODE[1:])
