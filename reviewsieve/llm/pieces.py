@@ -27,6 +27,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 N_BEST = 3
 CACHE = 200_000   # words in each of two generations that a worker remembers
+CACHE_BESIDE = 30_000  # the same where segmentations are kept, too, and other stages have left their memory behind
 LONGEST = 256     # characters of the longest word that is remembered
 ROWS = 256        # rows of a result handed over at once
+ROWS_N = 64       # the same, if a row holds several segmentations
 
 
 def read_pieces(model_file: str = MODEL_FILE) -> list[tuple[str, float, bool]]:
@@ -60,7 +63,7 @@ def piece_scores(pieces: Sequence[tuple[str, float, bool]]) -> list[float]:
 class Codec:
     """Encoder and decoder over a list of pieces and their scores."""
 
-    def __init__(self, pieces: Sequence[tuple[str, float, bool]], scores: Sequence[float] | None = None):
+    def __init__(self, pieces: Sequence[tuple[str, float, bool]], scores: Sequence[float] | None = None, cache: int = CACHE):
         scores = list(scores or piece_scores(pieces))
         self.kind = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
         bytes_of = {int(p[3:-1], 16): i for i, (p, _, byte) in enumerate(pieces) if byte}
@@ -92,6 +95,7 @@ class Codec:
         else:
             self.part = re.compile(f"{MARK}*{letter}+(?=[{ends}]|\\Z)|" + (
                 f"{MARK}*[^{MARK}]+|{MARK}+" if alone == "(?!)" else f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+"))
+        self.cache = cache
         self.known: dict[str | None, tuple[bytes, float, float]] = {}
         self.older: dict[str | None, tuple[bytes, float, float]] = {}
 
@@ -209,7 +213,7 @@ class Codec:
                 found = self.viterbi(part)
         if part is not None and len(part) > LONGEST:
             return found
-        if len(self.known) >= CACHE:
+        if len(self.known) >= self.cache:
             self.older, self.known = self.known, {}
         self.known[part] = found
         return found
@@ -274,16 +278,29 @@ def in_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             yield batch.iloc[at:at + ROWS]
 
 
+def _as_arrow(codec: Codec, rows: list) -> pa.Array:
+    """Rows of packed segmentations as lists of (score, ids); no id becomes a Python object."""
+    found = [f for row in rows for f in row]
+
+    def lists(sizes: list[int], values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+    ids = lists([len(packed) // codec.kind.itemsize for _, packed, _ in found],
+                pa.array(codec.unpack(b"".join([packed for _, packed, _ in found])).astype(np.int32)))
+    scores = pa.array([score for score, _, _ in found], pa.float64())
+    return lists([len(row) for row in rows], pa.StructArray.from_arrays([scores, ids], ["score", "ids"]))
+
+
 def encode(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE, n: int = N_BEST) -> DataFrame:
     """Add ``segmentations``: array of (score, ids), best first."""
-    shared = docs.sparkSession.sparkContext.broadcast(Codec(read_pieces(model_file)))
+    shared = docs.sparkSession.sparkContext.broadcast(Codec(read_pieces(model_file), cache=CACHE_BESIDE))
 
-    @F.pandas_udf("array<struct<score:double,ids:array<int>>>")
-    def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<score:double,ids:array<int>>>")
+    def segment(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared)
-        for texts in in_rows(batches):
-            yield pd.Series([[{"score": s, "ids": ids.astype(np.int32)} for s, ids in codec.encode(t or "", n)]
-                             for t in texts], dtype=object)
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_N):
+                yield _as_arrow(codec, [codec.encode_packed(t or "", n) for t in batch.slice(at, ROWS_N).to_pylist()])
 
     return docs.withColumn("segmentations", segment.asNondeterministic()(F.col(text_col)))
 

@@ -127,3 +127,15 @@ def test_frames(spark):
     many = pieces.encode(docs.filter("doc_id = 5"), n=5).collect()[0].segmentations
     assert len(many) == 5 and len({tuple(m.ids) for m in many}) == 5
     assert pieces.best_ids(docs.limit(0)).count() == 0
+
+
+def test_remembered_words_take_little_memory():
+    """Two Python workers of an executor share what its JVM leaves; words that do not come again must not fill it."""
+    import itertools
+    import sys
+    codec = pieces.Codec(VOCABULARY, cache=pieces.CACHE_BESIDE)
+    words = ["".join(w) for w in itertools.product("abcd", repeat=9)][:150_000]
+    for at in range(0, len(words), 1000):
+        codec.encode(" ".join(words[at:at + 1000]))
+    held = [(k, v) for memory in (codec.known, codec.older) for k, v in memory.items()]
+    assert sum(sys.getsizeof(x) for k, v in held for x in (k, v, *v)) < 24 << 20
