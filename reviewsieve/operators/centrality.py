@@ -12,6 +12,7 @@ neighbour; its rank is spread evenly over the product.
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -33,6 +34,7 @@ WHOLE_TOKENS = 8_000_000  # up to so many a product is one block, which a task h
 ROWS_OUT = 10_000  # texts in a batch of results
 ROOM = 20_000  # texts of small products that are ranked side by side
 LOOKS = 6  # steps between looks whether any product still moves; a settled block stays as it is
+AFTER = ["ids", "terms", "nearest", "pick"]  # what only the picks need of a block
 LOOSE, CHANGE = " loose", " change"  # no terms, as these have no spaces
 TIE_DIGITS = 9
 
@@ -100,10 +102,12 @@ class Block:
 
     ``totals`` of a step are sums over all blocks: of w q per term, then the rank of texts without neighbours, then how far
     the last step moved. A block that is the whole product has them itself and goes on to the end without leaving the task.
+    Terms stand by bins, which are the same in all blocks; ``sizes`` counts those of each bin, and last the two other numbers.
+    ``code`` numbers a term within its bin, over all blocks.
     """
 
     FACTS = ("product_id", "block", "n", "blocks", "step", "settled")
-    FIELDS = {"starts": np.int32, "term": np.int32, "w": np.float64, "sums": np.float64, "r": np.float64,
+    FIELDS = {"sizes": np.int32, "code": np.int32, "starts": np.int32, "term": np.int32, "w": np.float64, "sums": np.float64, "r": np.float64,
               "moved": np.float64, "part": np.float64, "nearest": np.float64, "pick": np.int32}
 
     def __init__(self, row: dict):
@@ -118,7 +122,7 @@ class Block:
         vectors = pa.concat_arrays(group["vector"].chunks)
         term = vectors.flatten().field("term").dictionary_encode()
         w = vectors.flatten().field("w").to_numpy(zero_copy_only=False)
-        index, terms = term.indices.to_numpy(), term.dictionary
+        index, terms, sizes = cls._by_bins(term.indices.to_numpy(), term.dictionary, group["blocks"][0].as_py())
         none = np.zeros(group.num_rows)
         starts = np.concatenate([[0], np.cumsum(vectors.value_lengths().to_numpy())])
         part = np.concatenate([np.bincount(index, w, len(terms)), [0, 1]])
@@ -126,14 +130,25 @@ class Block:
             product_id=group["product_id"][0].as_py(), block=group["block"][0].as_py(), n=group["n"][0].as_py(),
             blocks=group["blocks"][0].as_py(),
             ids=group.select(["review_id", "sent_no"]).to_struct_array().combine_chunks(), starts=starts.astype(np.int32),
-            terms=terms, term=index.astype(np.int32), w=w, sums=none, r=none, moved=none, part=part, step=-1, settled=False,
+            terms=terms, sizes=sizes, code=np.zeros(len(terms), np.int32), term=index.astype(np.int32), w=w, sums=none, r=none, moved=none, part=part, step=-1, settled=False,
             nearest=none, pick=none.astype(np.int32)))
 
+    @staticmethod
+    def _by_bins(index: np.ndarray, terms: pa.Array, blocks: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        if blocks == 1:  # nothing to exchange
+            return index, terms, np.array([len(terms), 2], np.int32)
+        bins = int(np.ceil(np.sqrt(blocks)))
+        at = np.array([zlib.crc32(t.encode()) % bins for t in terms.to_pylist()], np.int64)
+        order = np.argsort(at, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return place[index], terms.take(pa.array(order)), np.append(np.bincount(at, minlength=bins), 2).astype(np.int32)
+
     @classmethod
     def read(cls, batch: pa.RecordBatch, k: int) -> Block:
         """Row k of a table of blocks; lists stay Arrow or numpy arrays."""
         row = {}
-        for name in (*cls.FACTS, "ids", "terms", *cls.FIELDS):
+        for name in (c for c in (*cls.FACTS, "ids", "terms", *cls.FIELDS) if c in batch.schema.names):
             value = batch.column(name)[k]
             row[name] = (value.as_py() if name in cls.FACTS else value.values if name not in cls.FIELDS
                          else value.values.to_numpy(zero_copy_only=False))
@@ -169,7 +184,7 @@ class Block:
         self.step += 1
         change = np.abs(self.moved - self.r).sum() if self.step else 1.0
         self.part = np.concatenate([
-            np.bincount(self.term, self.w * self.share(self.moved)[self.node], len(self.terms)),
+            np.bincount(self.term, self.w * self.share(self.moved)[self.node], len(self.code)),
             [self.moved[~self.linked].sum(), change]])
 
     def share(self, r: np.ndarray) -> np.ndarray:
@@ -214,12 +229,12 @@ def _block_type(nodes: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one block after another from a sorted partition, over batch borders."""
+def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str] = ("product_id", "block")) -> Iterator[pa.Table]:
+    """The rows of one block (or other key) after another from a sorted partition, over batch borders."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("product_id", "block"))))
+        keys = list(zip(*(batch.column(c).to_pylist() for c in names)))
         begin = 0
         for k, key in enumerate(keys):
             if key != last:
@@ -274,27 +289,80 @@ def _each_block(kind: T.StructType, work: Callable[[Block, pa.Scalar], None], mo
     return run
 
 
+def _joined(bins: pa.Scalar, name: str) -> np.ndarray:
+    """The numbers of all bins of a block, one bin after another."""
+    order = pc.sort_indices(bins.values.field("bin"))
+    return bins.values.field(name).take(order).flatten().to_numpy(zero_copy_only=False)
+
+
+def _number(block: Block, codes: pa.Scalar) -> None:
+    block.code = _joined(codes, "code")[:-2]
+
+
 def _advance(block: Block, totals: pa.Scalar) -> None:
     if not block.settled:
-        names = pa.concat_arrays([block.terms.cast(pa.string()), pa.array([LOOSE, CHANGE])])
-        at = pc.index_in(names, totals.values.field("term").cast(pa.string()))
-        block.advance(totals.values.field("total").take(at).to_numpy(zero_copy_only=False))
+        block.advance(_joined(totals, "total"))
+
+
+def _codes(group: pa.Table) -> pa.Array:
+    """Number of every term of a bin."""
+    names = pa.concat_arrays(group["names"].chunks)
+    code = names.flatten().dictionary_encode().indices
+    return _lists(names, code)
+
+
+def _totals(group: pa.Table) -> pa.Array:
+    """The sums over all blocks, for the terms of each block of a bin."""
+    code = pa.concat_arrays(group["code"].chunks)
+    at, part = code.flatten().to_numpy(), pa.concat_arrays(group["part"].chunks).flatten().to_numpy()
+    return _lists(code, pa.array(np.bincount(at, part)[at] if len(at) else part))
+
+
+def _lists(like: pa.Array, values: pa.Array) -> pa.Array:
+    ends = np.cumsum(like.value_lengths().to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
+
+
+def _exchange(blocks: DataFrame, parts: dict[str, Column], work: Callable[[pa.Table], pa.Array], name: str, element: T.DataType) -> DataFrame:
+    """(product_id, block, <name>s): what ``work`` makes of each bin, for each block by bins.
+
+    A block sends one row of arrays to each bin, and gets one of each back, however many terms there are.
+    """
+    start = lambda b: F.aggregate(F.slice("sizes", 1, b), F.lit(1), lambda x, y: x + y)
+    cut = lambda b: F.struct(b.alias("bin"), *[
+        F.slice(c, start(b), F.element_at("sizes", b + 1)).alias(n) for n, c in parts.items()])
+    sent = blocks.select("product_id", "block", F.explode(F.transform(
+        F.sequence(F.lit(0), F.size("sizes") - 1), cut)).alias("b")).select("product_id", "block", "b.*")
+    key = ["product_id", "bin"]
+    kind = T.StructType([blocks.schema["product_id"], blocks.schema["block"], T.StructField("bin", T.IntegerType()),
+                         T.StructField(name, T.ArrayType(element))])
+    shape = to_arrow_schema(kind)
+
+    def run(batches):
+        for group in _groups(batches, key):
+            yield from group.select(["product_id", "block", "bin"]).append_column(
+                name, work(group)).cast(shape).combine_chunks().to_batches()
+
+    back = sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, kind)
+    return back.groupBy("product_id", "block").agg(F.collect_list(F.struct("bin", name)).alias(f"{name}s"))
 
 
 def _settle(blocks: DataFrame, kind: T.StructType) -> DataFrame:
-    """Walk of products of several blocks: a step shuffles one number per block and term, and one table is written."""
+    """Walk of products of several blocks: a step shuffles one number per block and term, as an array for each bin of terms,
+    and one table is written."""
+    names = F.concat("terms", F.array(F.lit(LOOSE), F.lit(CHANGE)))
+    codes = _exchange(blocks, {"names": names}, _codes, "code", T.IntegerType())
+    kind = T.StructType([f for f in kind if f.name not in AFTER])
+    later = blocks.select("product_id", "block", *AFTER)  # what the walk does not need
+    blocks = materialize(blocks.drop(*AFTER).join(codes, ["product_id", "block"]).mapInArrow(
+        _each_block(kind, _number, "codes"), kind), "rank-numbers")
     for step in range(lx.RANK_ITERATIONS + 2):
         if step % LOOKS == 0 and blocks.filter("not settled").isEmpty():
             break
-        names = F.concat("terms", F.array(F.lit(LOOSE), F.lit(CHANGE)))
-        parts = blocks.filter("not settled").select("product_id", "block", F.explode(F.arrays_zip(
-            names.alias("term"), F.col("part"))).alias("p")).select("product_id", "block", "p.term", "p.part")
-        totals = parts.groupBy("product_id", "term").agg(F.sum("part").alias("total"), F.collect_list("block").alias("to"))
-        sent = totals.select("product_id", F.explode("to").alias("block"), F.struct("term", "total").alias("t")).groupBy(
-            "product_id", "block").agg(F.collect_list("t").alias("totals"))
+        sent = _exchange(blocks.filter("not settled"), {"code": F.concat("code", F.array(F.lit(0), F.lit(1))), "part": F.col("part")}, _totals, "total", T.DoubleType())
         blocks = materialize(blocks.join(sent, ["product_id", "block"], "left").mapInArrow(
             _each_block(kind, _advance, "totals"), kind), "rank-step")
-    return blocks
+    return blocks.join(later, ["product_id", "block"])
 
 
 def _offers(kind: T.StructType):
@@ -535,7 +603,7 @@ def _rank_dealt(nodes: DataFrame, picks: int, block_tokens: int | None = None) -
         return out
     kind = _block_type(vectors)
     blocks = _settle(materialize(ordered(several).mapInArrow(_start(kind), kind), "rank-blocks"), kind)
-    blocks = _pick(blocks, kind, picks) if picks else blocks
+    blocks = _pick(blocks.select(*kind.names), kind, picks) if picks else blocks
     texts = blocks.select("product_id", F.explode(F.arrays_zip("ids", "r", "pick")).alias("t"))
     return out.unionByName(texts.select(
         "product_id", "t.ids.review_id", "t.ids.sent_no", F.col("t.r").alias("centrality"), "t.pick"))

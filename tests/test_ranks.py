@@ -46,3 +46,20 @@ def test_ranking_shuffles_texts_once(spark):
 
 def test_empty_table(spark):
     assert centrality.rank_texts(_nodes(spark).filter(F.lit(False)), 4).count() == 0
+
+
+def test_many_blocks_exchange_numbers_alone(spark, monkeypatch):
+    """A step of the walk writes no text ids and no terms; blocks send a row for each bin of terms, and rank as one block."""
+    rows = [(1, k, 0, " ".join(WORDS[(k * j + j * j + k // 7) % 10] for j in range(1 + k % 5))) for k in range(60)] + [
+        (1, 60, 0, "unheard zebra"), (1, 61, 0, "the of")]
+    nodes = spark.createDataFrame(rows, "product_id long, review_id long, sent_no int, body string")
+    written = []
+    write = centrality.materialize
+    monkeypatch.setattr(centrality, "materialize", lambda df, name, *a: written.append((name, df.columns)) or write(df, name, *a))
+    key = lambda r: r["review_id"]
+    dealt = sorted(centrality.rank_texts(nodes, 3, block_tokens=20).collect(), key=key)
+    steps = [columns for name, columns in written if name == "rank-step"]
+    assert steps and not any({"ids", "terms"} & set(columns) for columns in steps)
+    alone = sorted(centrality.rank_texts(nodes, 3).collect(), key=key)
+    assert [r["pick"] for r in dealt] == [r["pick"] for r in alone] and len(dealt) == 62
+    assert [r["centrality"] for r in dealt] == pytest.approx([r["centrality"] for r in alone], abs=1e-12)
