@@ -60,8 +60,8 @@ def similarity_edges(nodes: DataFrame, threshold: float = 0.5, group: int = GROU
         raise ValueError("the threshold lies above 0 and up to 1")
     vectors = text_vectors(nodes.withColumn("_bag", _bag())).filter(F.length("_bag") > 0).withColumn("id", F.struct(*NODE[1:]))
     classes = materialize(vectors.groupBy("product_id", "_bag").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("vector", "id").alias("vector")).drop("_bag"),
-        "text-classes")
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("vector", "id").alias("vector")).drop(
+            "_bag").withColumn("vector", _once(F.col("vector"))), "text-classes")
     entries = _prefixes(classes, threshold)
     common = _prefixes(classes.filter(F.exists("vector", lambda e: e["df"] > group)), threshold).filter(F.col("df") > group)
     hot = materialize(common.groupBy("product_id", "term").agg(F.count("*").alias("held")).filter(F.col("held") > group),
@@ -86,6 +86,16 @@ def similarity_edges(nodes: DataFrame, threshold: float = 0.5, group: int = GROU
         F.col("o_id.sent_no").alias("other_sent_no"), F.col("o_copies").alias("other_copies"), "sim")
 
 
+def _once(vector: Column) -> Column:
+    """A vector whose terms came from several equal rows of one key, with each term once."""
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+        return let(norm, lambda n: F.transform(v, lambda e: F.struct(
+            e["term"].alias("term"), (e["w"] / n).alias("w"), e["df"].alias("df"))))
+
+    return let(F.array_distinct(vector), lambda v: F.when(F.size(v) == F.size(vector), vector).otherwise(unit(v)))
+
+
 def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
     """(product_id, id, copies, terms, ws, pos, term, df, rest): the prefix terms of each vector, rare ones first, with the
     norm and the weights of the vector from there on. Terms that no other text holds only count for the norm."""
@@ -156,6 +166,8 @@ class Vectors:
         key = np.repeat(np.arange(len(self.size)), self.size) * self.codes + self.term
         order = np.argsort(key)
         self.key, self.weight = key[order], self.w[order]
+        if (self.key[1:] == self.key[:-1]).any():
+            raise ValueError("different texts have the same product_id, review_id and sent_no")
 
     def cosines(self, one: np.ndarray, other: np.ndarray, pos: np.ndarray) -> np.ndarray:
         """Dot products of pairs of rows; 0 if they have a common term ahead of ``pos`` of the one."""
