@@ -12,6 +12,7 @@ neighbour; its rank is spread evenly over the product.
 """
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -22,20 +23,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.storagelevel import StorageLevel
 
 from .. import lexicons as lx
 from ..functions.columns import let
 from ..functions.text import counted
-from ..session import materialize
+from ..session import discard, materialize
 
 NODE = ["product_id", "review_id", "sent_no"]
 BLOCK_TOKENS = 200_000  # tokens and texts of a block, which a task holds (some 10 MB)
 WHOLE_TOKENS = 8_000_000  # up to so many a product is one block, which a task holds without writing it (some 100 bytes each)
 ROWS_OUT = 10_000  # texts in a batch of results
 ROOM = 20_000  # texts of small products that are ranked side by side
-LOOKS = 6  # steps between looks whether any product still moves; a settled block stays as it is
-AFTER = ["ids", "terms", "nearest", "pick"]  # what only the picks need of a block
-LOOSE, CHANGE = " loose", " change"  # no terms, as these have no spaces
+LOOKS = 6  # steps at most between looks whether any product still moves; a settled block stays as it is
+TOGETHER = 20_000_000  # tokens and texts up to which so many steps are one job; shuffle files go at its end
+PART_TOKENS = 250_000  # tokens and texts of the blocks that stand side by side in a task
+BIN_TOKENS = 1_000_000  # tokens and texts of a product for each bin of terms
 TIE_DIGITS = 9
 
 
@@ -96,141 +99,228 @@ def similarity_sums(nodes: DataFrame) -> DataFrame:
         "sim_sum", F.coalesce("sim_sum", F.lit(0.0)))
 
 
+# ------------------------------------------------------------------ terms of texts as flat arrays
+def _counted(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Distinct terms of each text (strings of tokens): how many a text has, their numbers and counts; and the terms."""
+    found = pc.split_pattern(texts.combine_chunks(), " ")
+    item = found.flatten().dictionary_encode()
+    term, names = item.indices.to_numpy().astype(np.int64), item.dictionary
+    row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
+    blank = pc.index(names, "").as_py()  # of texts without tokens
+    key = (row * len(names) + term)[term != blank]
+    key, count = np.unique(key, return_counts=True)
+    row, term = np.divmod(key, max(len(names), 1))
+    return np.bincount(row, minlength=len(found)), term, count, names
+
+
+def _same_keys(table: pa.Table, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows, equal ones for equal keys, which stand side by side; and which rows have a key."""
+    keyed = np.ones(table.num_rows, bool)
+    for name in NODE[1:]:
+        ids = table[name].combine_chunks()
+        keyed &= ids.is_valid().to_numpy(zero_copy_only=False)
+        change = change | pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False)
+    return np.append(0, np.cumsum(change)), keyed
+
+
+def _joint(lengths: np.ndarray, group: np.ndarray, keyed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of the vectors, (row, place in the terms): a text has the terms of all rows with its keys, none without a key."""
+    begin = np.append(0, np.cumsum(lengths))
+    first = np.append(0, np.flatnonzero(np.diff(group)) + 1)
+    last = np.append(first[1:], len(group))
+    size = np.where(keyed, (begin[last] - begin[first])[group], 0)
+    at = np.repeat(begin[first][group] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.repeat(np.arange(len(group)), size), at
+
+
 # ------------------------------------------------------------------ ranks and picks, block by block
-class Block:
-    """Some texts of a product: their vectors, the state of the walk, and what the other blocks have to know of it.
+def _pack(facts) -> bytes:
+    raw = pickle.dumps(facts, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    ``totals`` of a step are sums over all blocks: of w q per term, then the rank of texts without neighbours, then how far
-    the last step moved. A block that is the whole product has them itself and goes on to the end without leaving the task.
-    Terms stand by bins, which are the same in all blocks; ``sizes`` counts those of each bin, and last the two other numbers.
-    ``code`` numbers a term within its bin, over all blocks.
-    """
 
-    FACTS = ("product_id", "block", "n", "blocks", "step", "settled")
-    FIELDS = {"sizes": np.int32, "code": np.int32, "starts": np.int32, "term": np.int32, "w": np.float64, "sums": np.float64, "r": np.float64,
-              "moved": np.float64, "part": np.float64, "nearest": np.float64, "pick": np.int32}
+def _unpack(data: bytes):
+    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
 
-    def __init__(self, row: dict):
-        self.__dict__.update(row)
-        self.m = len(self.starts) - 1
-        self.node = np.repeat(np.arange(self.m), np.diff(self.starts))
-        self.linked = np.diff(self.starts) > 0
 
-    @classmethod
-    def of(cls, group: pa.Table) -> Block:
-        """From the sorted rows of one block; it holds the message of the first step, the sums of all weights."""
-        vectors = pa.concat_arrays(group["vector"].chunks)
-        term = vectors.flatten().field("term").dictionary_encode()
-        w = vectors.flatten().field("w").to_numpy(zero_copy_only=False)
-        index, terms, sizes = cls._by_bins(term.indices.to_numpy(), term.dictionary, group["blocks"][0].as_py())
-        none = np.zeros(group.num_rows)
-        starts = np.concatenate([[0], np.cumsum(vectors.value_lengths().to_numpy())])
-        part = np.concatenate([np.bincount(index, w, len(terms)), [0, 1]])
-        return cls(dict(
-            product_id=group["product_id"][0].as_py(), block=group["block"][0].as_py(), n=group["n"][0].as_py(),
-            blocks=group["blocks"][0].as_py(),
-            ids=group.select(["review_id", "sent_no"]).to_struct_array().combine_chunks(), starts=starts.astype(np.int32),
-            terms=terms, sizes=sizes, code=np.zeros(len(terms), np.int32), term=index.astype(np.int32), w=w, sums=none, r=none, moved=none, part=part, step=-1, settled=False,
-            nearest=none, pick=none.astype(np.int32)))
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(np.min_scalar_type(int(numbers.max()) if len(numbers) else 0))
+
+
+class Part:
+    """The blocks of a task side by side: their vectors, which stay, and the numbers of a step of the walk, which go on.
+
+    Texts and terms are numbered over all products of the part, so a step is a few sums, however many blocks there are. What
+    it needs of the other parts are sums over all of them: of w q per term, the rank of texts without neighbours, and how far
+    the last step moved. A part sends one message for each cell, that is a bin of terms of a product; the two other numbers
+    are a bin of their own, the last. Terms stand by cells, and within them by their number in the product.
+    Weights are put together from counts, ``df`` and ``norm``, which take less room.
+    """
+
+    FACTS = ("products", "n", "bins", "texts", "cells", "code", "lengths", "term", "count", "df", "norm", "sums", "squares")
+
+    def __init__(self, facts: dict):
+        self.__dict__.update(facts)
+        self.m = len(self.lengths)
+        self.node = np.repeat(np.arange(self.m), self.lengths)
+        self.linked = self.lengths > 0
+        self.product = np.repeat(np.arange(len(self.products)), self.texts)
+        scale = 1 + np.log(np.arange(1, self.count.max(initial=1) + 1))
+        n = np.repeat(self.n[self.cells[0]], self.cells[2])
+        idf = np.log((1 + n) / (1 + self.df.astype(np.int64))) + 1
+        self.w = scale[self.count - 1] * idf[self.term] / self.norm[self.node]
 
     @staticmethod
-    def _by_bins(index: np.ndarray, terms: pa.Array, blocks: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        if blocks == 1:  # nothing to exchange
-            return index, terms, np.array([len(terms), 2], np.int32)
-        bins = int(np.ceil(np.sqrt(blocks)))
-        at = np.array([zlib.crc32(t.encode()) % bins for t in terms.to_pylist()], np.int64)
-        order = np.argsort(at, kind="stable")
+    def start(group: pa.Table) -> tuple[dict, pa.Array, list[tuple]]:
+        """From the sorted rows of one part: what is known of it, the ids, and for each cell the names of its terms with their texts."""
+        ids = group["product_id"].combine_chunks()
+        change = pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+        first = np.append(0, np.flatnonzero(change) + 1)
+        texts = np.diff(np.append(first, len(ids)))
+        lengths, term, count, names = _counted(group["_t"])
+        crc = np.array([zlib.crc32(t.encode()) for t in names.to_pylist()], np.int64)
+        product = np.repeat(np.repeat(np.arange(len(first)), texts), lengths)
+        if len(first) > 1:
+            found, term = np.unique(product * len(names) + term, return_inverse=True)
+        else:
+            found = np.arange(len(names))
+        of, name = np.divmod(found, max(len(names), 1))
+        bins = group["bins"].to_numpy()[first]
+        bin_of = crc[name] % bins[of]
+        order = np.lexsort((bin_of, of))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return place[index], terms.take(pa.array(order)), np.append(np.bincount(at, minlength=bins), 2).astype(np.int32)
+        term = place[term]
+        df = np.bincount(term, minlength=len(found))  # of this part
+        cells, sizes = np.unique(of * (bins.max() + 1) + bin_of, return_counts=True)
+        cells = np.stack([*np.divmod(cells, bins.max() + 1), sizes])
+        names = names.take(pa.array(name[order])).to_pylist()
+        keys = ids.take(pa.array(first)).to_pylist()
+        sent, end = [], 0
+        for p, k, size in cells.T.tolist():
+            begin, end = end, end + size
+            sent.append((keys[p], k, " ".join(names[begin:end]), df[begin:end].astype(np.int64).tobytes()))
+        node, at = _joint(lengths, *_same_keys(group, change))
+        facts = dict(products=keys, n=group["n"].to_numpy()[first], bins=bins, texts=texts, cells=cells, lengths=_narrow(
+            np.bincount(node, minlength=len(ids))), term=_narrow(term[at]), count=_narrow(count[at]))
+        return facts, pa.concat_arrays(group.select(NODE[1:]).to_struct_array().chunks).take(pa.array(np.arange(len(ids)))), sent
 
     @classmethod
-    def read(cls, batch: pa.RecordBatch, k: int) -> Block:
-        """Row k of a table of blocks; lists stay Arrow or numpy arrays."""
-        row = {}
-        for name in (c for c in (*cls.FACTS, "ids", "terms", *cls.FIELDS) if c in batch.schema.names):
-            value = batch.column(name)[k]
-            row[name] = (value.as_py() if name in cls.FACTS else value.values if name not in cls.FIELDS
-                         else value.values.to_numpy(zero_copy_only=False))
-        return cls(row)
-
-    def packed(self, kind: pa.Schema) -> pa.RecordBatch:
-        """Table of this one block."""
-        return pa.RecordBatch.from_arrays([
-            pa.array([value], f.type) if f.name in self.FACTS else
-            pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.array(value, f.type.value_type) if isinstance(
-                value, np.ndarray) else value.cast(f.type.value_type), type=f.type)
-            for f, value in ((f, getattr(self, f.name)) for f in kind)], schema=kind)
+    def numbered(cls, facts: dict, code: np.ndarray, df: np.ndarray) -> Part:
+        """With the numbers of its terms, -1 for one that occurs in a single text and links nothing, and the texts that hold them."""
+        cell = np.repeat(np.arange(facts["cells"].shape[1]), facts["cells"][2])
+        whole = cls({**facts, "df": df, "norm": np.ones(len(facts["lengths"]))})
+        norm = np.sqrt(np.bincount(whole.node, whole.w * whole.w, whole.m))
+        order = np.lexsort((code, cell))
+        order = order[code[order] >= 0]
+        place = np.full(len(code), -1)
+        place[order] = np.arange(len(order))
+        term = place[whole.term]
+        kept = term >= 0
+        sizes = np.bincount(cell[order], minlength=facts["cells"].shape[1])
+        cells = np.vstack([facts["cells"][:2], sizes])[:, sizes > 0]
+        part = cls({**facts, **dict(
+            cells=cells, code=code[order].astype(np.uint32), lengths=_narrow(np.bincount(whole.node[kept], minlength=whole.m)),
+            term=_narrow(term[kept]), count=whole.count[kept], df=_narrow(df[order]), norm=norm)})
+        part.squares = np.bincount(part.node, part.w * part.w, part.m)
+        return part
+
+    def facts(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in self.FACTS}
+
+    def totals(self, inbox: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of the terms, and the two other numbers of each product; of a product that has settled nothing comes."""
+        found = [inbox.get((self.products[p], k)) for p, k in self.cells[:2].T.tolist()]
+        terms = np.concatenate([np.zeros(0), *(np.zeros(size) if f is None else f for f, size in zip(found, self.cells[2].tolist()))])
+        other = [inbox.get((key, k)) for key, k in zip(self.products, self.bins.tolist())]
+        return terms, *np.array([(0.0, 0.0) if o is None else o for o in other]).T
+
+    def messages(self, part: np.ndarray, loose: np.ndarray, change: np.ndarray, settled: np.ndarray) -> Iterator[tuple]:
+        """(product, bin, numbers of terms, values) for every cell, and for the other numbers of each product that goes on."""
+        end = 0
+        for p, k, size in self.cells.T.tolist():
+            begin, end = end, end + size
+            if not settled[p]:
+                yield self.products[p], k, _narrow(np.diff(self.code[begin:end].astype(np.int64), prepend=0)).tobytes(), part[begin:end].tobytes()
+        for p in np.flatnonzero(~settled).tolist():
+            yield self.products[p], int(self.bins[p]), b"\0\1", np.array([loose[p], change[p]]).tobytes()
 
     def pull(self, totals: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Similarity matrix times q, from the totals of w q per term."""
-        return np.bincount(self.node, self.w * (totals[self.term] - self.w * q[self.node]), self.m)
-
-    def advance(self, totals: np.ndarray) -> None:
-        """One step of the walk; ``part`` is this block's share of the next totals."""
-        loose, change = totals[-2:]
-        if self.step < 0:
-            self.sums = self.pull(totals, np.ones(self.m))
-            self.moved = np.full(self.m, 1.0 / self.n)
-        elif change < lx.RANK_TOLERANCE or self.step == lx.RANK_ITERATIONS:
-            self.settled = True
-            if change >= lx.RANK_TOLERANCE:
-                self.r = self.moved
-            return
-        else:
-            self.r = self.moved
-            pulled = self.pull(totals, self.share(self.r))
-            self.moved = (1 - lx.DAMPING) / self.n + lx.DAMPING * (pulled + loose / self.n)
-        self.step += 1
-        change = np.abs(self.moved - self.r).sum() if self.step else 1.0
-        self.part = np.concatenate([
-            np.bincount(self.term, self.w * self.share(self.moved)[self.node], len(self.code)),
-            [self.moved[~self.linked].sum(), change]])
+        return np.bincount(self.node, self.w * totals[self.term], self.m) - self.squares * q
 
     def share(self, r: np.ndarray) -> np.ndarray:
         return np.divide(r, self.sums, out=np.zeros(self.m), where=self.linked)
 
-    def offer(self, highest: float) -> tuple[float, int]:
-        """Best value among the texts that are not picked yet, and the first one that has it."""
-        value = np.round(lx.MMR_LAMBDA * self.r / highest - (1 - lx.MMR_LAMBDA) * self.nearest, TIE_DIGITS)
-        value = np.where(self.pick > 0, -np.inf, value)
-        return float(value.max()), int(np.argmax(value))
-
-    def vector(self, k: int) -> tuple[list[str], list[float]]:
-        inside = slice(self.starts[k], self.starts[k + 1])
-        return self.terms.take(pa.array(self.term[inside])).to_pylist(), self.w[inside].tolist()
-
-    def take(self, place: int, chosen: dict) -> None:
-        """Note the product's next pick, ``chosen(review_id, sent_no, terms, weights)``."""
-        mine = pc.and_(*[pc.equal(self.ids.field(c), chosen[c]) for c in ("review_id", "sent_no")])
-        self.pick = np.where(mine.to_numpy(zero_copy_only=False), np.int32(place), self.pick)
-        at = pc.index_in(self.terms, pa.array(chosen["terms"], self.terms.type)).to_numpy(zero_copy_only=False)
-        weights = np.append(chosen["weights"], 0.0)[np.where(np.isnan(at), -1, at).astype(int)]
-        self.nearest = np.maximum(self.nearest, np.bincount(self.node, self.w * weights[self.term], self.m))
-
-    def finish(self, picks: int) -> None:
-        """All steps and picks of a block that is the whole product."""
-        while not self.settled:
-            self.advance(self.part)
-        for place in range(1, min(picks, self.n) + 1):
-            _, k = self.offer(self.r.max())
-            terms, weights = self.vector(k)
-            self.take(place, dict(**self.ids[k].as_py(), terms=terms, weights=weights))
-
-
-def _block_type(nodes: DataFrame) -> T.StructType:
-    """Table of blocks, one row each."""
-    types = {np.int32: T.IntegerType(), np.float64: T.DoubleType()}
-    of = lambda c: nodes.schema[c].dataType
-    fields = {"product_id": of("product_id"), "block": T.IntegerType(), "n": T.LongType(), "blocks": T.IntegerType(),
-              "ids": T.ArrayType(T.StructType([T.StructField(c, of(c)) for c in NODE[1:]])),
-              "terms": T.ArrayType(T.StringType()), "step": T.IntegerType(), "settled": T.BooleanType(),
-              **{name: T.ArrayType(types[kind]) for name, kind in Block.FIELDS.items()}}
-    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
-
-
-def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str] = ("product_id", "block")) -> Iterator[pa.Table]:
-    """The rows of one block (or other key) after another from a sorted partition, over batch borders."""
+    def first(self, inbox: dict) -> tuple[np.ndarray, list[tuple]]:
+        """State before the first step, from the sums of all weights; the texts' sums are known from now on."""
+        self.sums = self.pull(self.totals(inbox)[0], np.ones(self.m))
+        moved = 1.0 / self.n[self.product]
+        none = np.zeros(len(self.products), bool)
+        return self.state(0, none, np.zeros(self.m), moved), self.shares(moved, np.ones(len(none)), none)
+
+    @staticmethod
+    def state(step: int, settled: np.ndarray, r: np.ndarray, moved: np.ndarray) -> np.ndarray:
+        """Number of the step, which products have settled, and ranks before and after it."""
+        return np.concatenate([[step], settled, r, moved])
+
+    def step(self, state: np.ndarray, inbox: dict) -> tuple[np.ndarray, list[tuple]]:
+        """One step of the walk."""
+        products = len(self.products)
+        step, before, (old, r) = int(state[0]), state[1:1 + products] > 0, state[1 + products:].reshape(2, -1)
+        totals, loose, change = self.totals(inbox)
+        done = change < lx.RANK_TOLERANCE
+        settled = before | done | (step == lx.RANK_ITERATIONS)
+        pulled = self.pull(totals, self.share(r))
+        moved = (1 - lx.DAMPING) / self.n[self.product] + lx.DAMPING * (pulled + (loose / self.n)[self.product])
+        # what settles now keeps the ranks before the last step, or those after it if the steps have run out
+        stays, last = settled[self.product], (before | done)[self.product]
+        r, moved = np.where(last, old, r), np.where(stays, r, moved)
+        return self.state(step + 1, settled, r, moved), self.shares(moved, np.bincount(self.product, np.abs(moved - r), products), settled)
+
+    def shares(self, moved: np.ndarray, change: np.ndarray, settled: np.ndarray) -> list[tuple]:
+        part = np.bincount(self.term, self.w * self.share(moved)[self.node], len(self.code))
+        loose = np.bincount(self.product, np.where(self.linked, 0.0, moved), len(self.products))
+        return list(self.messages(part, loose, change, settled))
+
+    # ------------------------------------------------------------------ picks
+    def keys(self, p: int) -> tuple[np.ndarray, int]:
+        """Ascending numbers of a product's terms that are the same in all parts, and where they begin."""
+        mine = self.cells[0] == p
+        begin, sizes = int(self.cells[2][self.cells[0] < p].sum()), self.cells[2][mine]
+        return np.repeat(self.cells[1][mine], sizes) << 32 | self.code[begin:begin + sizes.sum()].astype(np.int64), begin
+
+    def offers(self, r: np.ndarray, nearest: np.ndarray, pick: np.ndarray, highest: np.ndarray) -> Iterator[tuple[int, float, int]]:
+        """For each product with a text that is not picked yet the best value of those, and the first text that has it."""
+        value = np.round(lx.MMR_LAMBDA * r / highest[self.product] - (1 - lx.MMR_LAMBDA) * nearest, TIE_DIGITS)
+        value = np.where(pick > 0, -np.inf, value)
+        end = 0
+        for p, size in enumerate(self.texts.tolist()):
+            begin, end = end, end + size
+            at = begin + int(np.argmax(value[begin:end]))
+            if value[at] > -np.inf:
+                yield p, float(value[at]), at
+
+    def vector(self, p: int, k: int) -> tuple[list[int], list[float]]:
+        keys, begin = self.keys(p)
+        inside = slice(*np.searchsorted(self.node, [k, k + 1]))
+        return keys[self.term[inside].astype(np.int64) - begin].tolist(), self.w[inside].tolist()
+
+    def nearness(self, chosen: dict) -> np.ndarray:
+        """Cosines of all texts with the picked one of their product, ``chosen`` by product."""
+        found = np.zeros(len(self.code))
+        for p, key in enumerate(self.products):
+            if key in chosen:
+                keys, begin = self.keys(p)
+                at = np.searchsorted(keys, chosen[key]["terms"])
+                for place, term, weight in zip(at.tolist(), chosen[key]["terms"], chosen[key]["weights"]):
+                    if place < len(keys) and keys[place] == term:
+                        found[begin + place] = weight  # a text of several rows repeats its terms
+        return np.bincount(self.node, self.w * found[self.term], self.m)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of one key after another from a sorted partition, over batch borders."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -247,155 +337,251 @@ def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str] = ("product_
         yield pa.Table.from_batches(held)
 
 
+def _by_part(kind: T.StructType, work: Callable[[pa.RecordBatch, int], Iterator[tuple]]):
+    """Function for mapInArrow: the rows that ``work`` makes of each part, some MB of them at a time."""
+    shape = to_arrow_schema(kind)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), shape)], schema=shape)
+
+    def run(batches):
+        rows, held = [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for row in work(batch, k):
+                    rows.append(row)
+                    held += sum(len(v) for v in row if isinstance(v, bytes))
+                    if held > BATCH_BYTES or len(rows) >= ROWS_OUT:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+    return run
+
+
+BATCH_BYTES = 4 << 20
+
+
 def _start(kind: T.StructType):
-    """Blocks of products of several blocks, before their first step."""
+    """Parts before their terms have numbers."""
     shape = to_arrow_schema(kind)
 
     def run(batches):
-        for group in _groups(batches):
-            yield Block.of(group).packed(shape)
+        for group in _groups(batches, ["part"]):
+            facts, ids, sent = Part.start(group)
+            names = [dict(product_id=key, bin=k, names=names, df=df) for key, k, names, df in sent]
+            yield pa.RecordBatch.from_pylist([dict(part=group["part"][0].as_py(), facts=_pack(facts), ids=_pack(ids), names=names)], shape)
     return run
 
 
-def _whole(kind: T.StructType, picks: int):
-    """Ranks and picks of products of one block."""
+def _codes(kind: T.StructType):
+    """Numbers of the terms of a cell, and how many texts of the product hold each, for all parts."""
     shape = to_arrow_schema(kind)
 
     def run(batches):
-        done, n = [], 0
-        for group in _groups(batches):
-            block = Block.of(group)
-            block.finish(picks)
-            done.append(group.select(NODE).append_column("centrality", pa.array(block.r)).append_column("pick", pa.array(block.pick)))
-            n += block.m
-            if n >= ROWS_OUT:
-                yield from pa.concat_tables(done).cast(shape).combine_chunks().to_batches()
-                done, n = [], 0
-        if done:
-            yield from pa.concat_tables(done).cast(shape).combine_chunks().to_batches()
+        for group in _groups(batches, ["product_id", "bin"]):
+            found = pc.split_pattern(group["names"].combine_chunks(), " ")
+            term = found.flatten().dictionary_encode().indices.to_numpy()
+            df = np.bincount(term, np.frombuffer(b"".join(group["df"].to_pylist()), np.int64)).astype(np.int64)
+            code = np.where(df > 1, np.cumsum(df > 1) - 1, -1)
+            ends = np.cumsum(found.value_lengths().to_numpy())[:-1]
+            both = [np.concatenate([code[at], df[at]]).tobytes() for at in np.split(term, ends)]
+            yield from group.select(["product_id", "bin", "part"]).append_column("data", pa.array(both, pa.binary())).cast(
+                shape).combine_chunks().to_batches()
     return run
 
 
-def _each_block(kind: T.StructType, work: Callable[[Block, pa.Scalar], None], more: str):
-    """Function for mapInArrow: ``work(block, value of the further column)`` on every row of a table of blocks."""
+def _totals(kind: T.StructType):
+    """The sums over all parts, for the terms of each part in a cell; states pass."""
     shape = to_arrow_schema(kind)
 
     def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block = Block.read(batch, k)
-                work(block, batch.column(more)[k])
-                yield block.packed(shape)
+        for group in _groups(batches, ["product_id", "bin"]):
+            if group["bin"][0].as_py() < 0:
+                yield from group.select(shape.names).cast(shape).combine_chunks().to_batches()
+                continue
+            data, code = group["data"].to_pylist(), group["code"].to_pylist()
+            sizes = np.array([len(d) // 8 for d in data])
+            step = np.concatenate([np.frombuffer(c, f"u{len(c) // n}") for c, n in zip(code, sizes.tolist())]).astype(np.int64)
+            ends = np.cumsum(sizes)
+            at = np.cumsum(step)
+            at -= np.repeat(at[ends - sizes] - step[ends - sizes], sizes)
+            total = np.bincount(at, np.frombuffer(b"".join(data), float))[at]
+            cuts = [t.tobytes() for t in np.split(total, ends[:-1])]
+            yield from group.select(["product_id", "bin", "part"]).append_column("data", pa.array(cuts, pa.binary())).cast(
+                shape).combine_chunks().to_batches()
     return run
 
 
-def _joined(bins: pa.Scalar, name: str) -> np.ndarray:
-    """The numbers of all bins of a block, one bin after another."""
-    order = pc.sort_indices(bins.values.field("bin"))
-    return bins.values.field(name).take(order).flatten().to_numpy(zero_copy_only=False)
+def _inbox(batch: pa.RecordBatch, k: int, kind=float) -> dict:
+    """What came for a part, by cells; its state is at None."""
+    return {None if e["bin"] < 0 else (e["product_id"], e["bin"]): np.frombuffer(e["data"], kind)
+            for e in batch.column("inbox")[k].as_py()}
 
 
-def _number(block: Block, codes: pa.Scalar) -> None:
-    block.code = _joined(codes, "code")[:-2]
+def _sent(batch: pa.RecordBatch, k: int, state: np.ndarray, settled: bool | None, messages, *more) -> Iterator[tuple]:
+    """Rows of a part: its state, and its messages."""
+    part = batch.column("part")[k].as_py()
+    yield (None, -1 - part, part, settled, None, state.tobytes(), *more)
+    for product, bin_, code, values in messages:
+        yield (product, bin_, part, None, code, values, *[None for _ in more])
 
 
-def _advance(block: Block, totals: pa.Scalar) -> None:
-    if not block.settled:
-        block.advance(_joined(totals, "total"))
+def _facts(batch: pa.RecordBatch, k: int, column: str = "facts"):
+    return _unpack(batch.column(column)[k].as_py())
 
 
-def _codes(group: pa.Table) -> pa.Array:
-    """Number of every term of a bin."""
-    names = pa.concat_arrays(group["names"].chunks)
-    code = names.flatten().dictionary_encode().indices
-    return _lists(names, code)
+def _number(batch: pa.RecordBatch, k: int) -> Iterator[tuple]:
+    """A part with numbered terms, and the sums of its weights."""
+    facts, inbox = _facts(batch, k), _inbox(batch, k, np.int64)
+    halves = [np.split(inbox[facts["products"][p], b], 2) for p, b in facts["cells"][:2].T.tolist()]
+    code, df = (np.concatenate([np.zeros(0, np.int64), *(h[i] for h in halves)]) for i in (0, 1))
+    part = Part.numbered(facts, code, df)
+    one = np.ones(len(part.products))
+    sums = part.messages(np.bincount(part.term, part.w, len(part.code)), 0 * one, one, one < 1)
+    yield from _sent(batch, k, np.zeros(0), None, sums, _pack(part.facts()), batch.column("ids")[k].as_py())
 
 
-def _totals(group: pa.Table) -> pa.Array:
-    """The sums over all blocks, for the terms of each block of a bin."""
-    code = pa.concat_arrays(group["code"].chunks)
-    at, part = code.flatten().to_numpy(), pa.concat_arrays(group["part"].chunks).flatten().to_numpy()
-    return _lists(code, pa.array(np.bincount(at, part)[at] if len(at) else part))
+def _first(batch: pa.RecordBatch, k: int) -> Iterator[tuple]:
+    part = Part(_facts(batch, k))
+    state, sent = part.first(_inbox(batch, k))
+    yield from _sent(batch, k, state, False, sent, _pack(part.facts()), batch.column("ids")[k].as_py())
 
 
-def _lists(like: pa.Array, values: pa.Array) -> pa.Array:
-    ends = np.cumsum(like.value_lengths().to_numpy(zero_copy_only=False))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
+def _step(batch: pa.RecordBatch, k: int) -> Iterator[tuple]:
+    inbox = _inbox(batch, k)
+    state = inbox.pop(None)
+    if not inbox:  # all have settled
+        yield from _sent(batch, k, state, True, [])
+        return
+    state, sent = Part(_facts(batch, k)).step(state, inbox)
+    yield from _sent(batch, k, state, not sent, sent)
 
 
-def _exchange(blocks: DataFrame, parts: dict[str, Column], work: Callable[[pa.Table], pa.Array], name: str, element: T.DataType) -> DataFrame:
-    """(product_id, block, <name>s): what ``work`` makes of each bin, for each block by bins.
+def _row_type(product: T.StructField, *more: str) -> T.StructType:
+    """States of parts (a bin below 0) and their messages to cells."""
+    return T.StructType([
+        product, T.StructField("bin", T.IntegerType()), T.StructField("part", T.IntegerType()),
+        T.StructField("settled", T.BooleanType()), T.StructField("code", T.BinaryType()), T.StructField("data", T.BinaryType()),
+        *[T.StructField(c, T.BinaryType()) for c in more]])
 
-    A block sends one row of arrays to each bin, and gets one of each back, however many terms there are.
+
+def _by_cells(sent: DataFrame, work) -> DataFrame:
+    """(part, inbox): what the cells make of the rows sent to them, for each part."""
+    kind = T.StructType([sent.schema[c] for c in ("product_id", "bin", "part")] + [T.StructField("data", T.BinaryType())])
+    back = sent.repartition("product_id", "bin").sortWithinPartitions("product_id", "bin", "part").mapInArrow(work(kind), kind)
+    return back.groupBy("part").agg(F.collect_list(F.struct("product_id", "bin", "data")).alias("inbox"))
+
+
+def _settle(parts: DataFrame, product: T.StructField, count: int, together: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Walk of products of several blocks: a step shuffles the ranks and one number per part and term, as an array for each cell,
+    never the vectors. A table is written every ``together`` steps, and the one before is deleted.
+
+    Returns the settled states; the parts, which are kept on the executors' disks until they are unpersisted; and their table.
     """
-    start = lambda b: F.aggregate(F.slice("sizes", 1, b), F.lit(1), lambda x, y: x + y)
-    cut = lambda b: F.struct(b.alias("bin"), *[
-        F.slice(c, start(b), F.element_at("sizes", b + 1)).alias(n) for n, c in parts.items()])
-    sent = blocks.select("product_id", "block", F.explode(F.transform(
-        F.sequence(F.lit(0), F.size("sizes") - 1), cut)).alias("b")).select("product_id", "block", "b.*")
-    key = ["product_id", "bin"]
-    kind = T.StructType([blocks.schema["product_id"], blocks.schema["block"], T.StructField("bin", T.IntegerType()),
-                         T.StructField(name, T.ArrayType(element))])
+    full, plain = _row_type(product, "facts", "ids"), _row_type(product)
+    names = parts.select("part", F.explode("names").alias("e")).select("part", "e.*")
+    begun = materialize(parts.select("part", "facts", "ids").join(_by_cells(names, _codes), "part").mapInArrow(
+        _by_part(full, _number), full), "rank-numbers")
+    discard(parts)
+    stored = begun.filter("bin < 0").select("part", "facts", "ids")
+    rows = materialize(stored.join(_by_cells(begun.filter("bin >= 0").select(*plain.names), _totals), "part").mapInArrow(
+        _by_part(full, _first), full), "rank-start")
+    discard(begun)
+    fixed = rows.filter("bin < 0").select("part", "facts", "ids").repartition(count, "part").persist(StorageLevel.DISK_ONLY)
+    states, written = rows.select(*plain.names), None
+    while True:
+        for _ in range(together):
+            states = fixed.select("part", "facts").join(_by_cells(states, _totals).hint("shuffle_hash"), "part").mapInArrow(
+                _by_part(plain, _step), plain)
+        states = materialize(states, "rank-step")
+        if written is not None:
+            discard(written)
+        written = states
+        if states.filter("bin < 0 and not settled").isEmpty():
+            return states, fixed, rows
+
+
+def _ranked(batch: pa.RecordBatch, k: int) -> Iterator[tuple]:
+    """Ranks, nearness to the picks and picks of a part, before the first pick; and the highest rank of each product."""
+    part, state = Part(_facts(batch, k)), np.frombuffer(batch.column("data")[k].as_py(), float)
+    r = state[1 + len(part.products):][:part.m]
+    yield from _state_and_offers(batch, k, part, np.stack([r, 0 * r, 0 * r]), np.maximum.reduceat(r, np.cumsum(part.texts) - part.texts), {})
+
+
+def _state_and_offers(batch: pa.RecordBatch, k: int, part: Part, state: np.ndarray, highest: np.ndarray, offers: dict) -> Iterator[tuple]:
+    of = batch.column("part")[k].as_py()
+    yield None, of, state.tobytes(), None, None
+    for p, key in enumerate(part.products):
+        yield key, of, None, float(highest[p]), offers.get(p)
+
+
+def _taken(batch: pa.RecordBatch, k: int, place: int) -> tuple[Part, pa.Array, np.ndarray, np.ndarray]:
+    """A part, its ids, its ranks, nearness and picks after the products' pick ``place``, and their highest ranks."""
+    part, ids = Part(_facts(batch, k)), _facts(batch, k, "ids")
+    state = np.frombuffer(batch.column("data")[k].as_py(), float).reshape(3, -1).copy()
+    best = {e["product_id"]: e for e in batch.column("inbox")[k].as_py()}
+    chosen = {key: e["offer"] for key, e in best.items() if e["offer"]}
+    mine = [e["at"] for e in chosen.values() if e["of"] == batch.column("part")[k].as_py()]
+    if mine:
+        group, keyed = _same_keys(pa.Table.from_struct_array(ids), np.diff(part.product) > 0)
+        state[2, np.isin(group, group[mine]) & keyed] = place
+    if chosen:
+        state[1] = np.maximum(state[1], part.nearness(chosen))
+    return part, ids, state, np.array([best[key]["top"] for key in part.products])
+
+
+def _offers(place: int):
+    def work(batch: pa.RecordBatch, k: int) -> Iterator[tuple]:
+        part, ids, state, highest = _taken(batch, k, place - 1)
+        offers = {}
+        for p, value, at in part.offers(*state, highest):
+            terms, weights = part.vector(p, at)
+            offers[p] = dict(down=-value, **ids[at].as_py(), of=batch.column("part")[k].as_py(), at=at, terms=terms, weights=weights)
+        yield from _state_and_offers(batch, k, part, state, highest, offers)
+    return work
+
+
+def _texts(kind: T.StructType, picks: int):
+    """Ids, ranks and picks of the texts of each part."""
     shape = to_arrow_schema(kind)
 
-    def run(batches):
-        for group in _groups(batches, key):
-            yield from group.select(["product_id", "block", "bin"]).append_column(
-                name, work(group)).cast(shape).combine_chunks().to_batches()
-
-    back = sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, kind)
-    return back.groupBy("product_id", "block").agg(F.collect_list(F.struct("bin", name)).alias(f"{name}s"))
-
-
-def _settle(blocks: DataFrame, kind: T.StructType) -> DataFrame:
-    """Walk of products of several blocks: a step shuffles one number per block and term, as an array for each bin of terms,
-    and one table is written."""
-    names = F.concat("terms", F.array(F.lit(LOOSE), F.lit(CHANGE)))
-    codes = _exchange(blocks, {"names": names}, _codes, "code", T.IntegerType())
-    kind = T.StructType([f for f in kind if f.name not in AFTER])
-    later = blocks.select("product_id", "block", *AFTER)  # what the walk does not need
-    blocks = materialize(blocks.drop(*AFTER).join(codes, ["product_id", "block"]).mapInArrow(
-        _each_block(kind, _number, "codes"), kind), "rank-numbers")
-    for step in range(lx.RANK_ITERATIONS + 2):
-        if step % LOOKS == 0 and blocks.filter("not settled").isEmpty():
-            break
-        sent = _exchange(blocks.filter("not settled"), {"code": F.concat("code", F.array(F.lit(0), F.lit(1))), "part": F.col("part")}, _totals, "total", T.DoubleType())
-        blocks = materialize(blocks.join(sent, ["product_id", "block"], "left").mapInArrow(
-            _each_block(kind, _advance, "totals"), kind), "rank-step")
-    return blocks.join(later, ["product_id", "block"])
-
-
-def _offers(kind: T.StructType):
     def run(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                block = Block.read(batch, at)
-                value, k = block.offer(batch.column("highest")[at].as_py())
-                if value > -np.inf:
-                    terms, weights = block.vector(k)
-                    yield pa.RecordBatch.from_pylist([dict(
-                        product_id=block.product_id, down=-value, **block.ids[k], terms=terms, weights=weights)], to_arrow_schema(kind))
+            for k in range(batch.num_rows):
+                part, ids, state, _ = _taken(batch, k, picks)
+                keys = pa.array(part.products, shape.field("product_id").type).take(pa.array(part.product))
+                columns = [keys, *ids.flatten(), pa.array(state[0]), pa.array(state[2].astype(np.int32))]
+                yield from pa.table(columns, names=shape.names).cast(shape).combine_chunks().to_batches(max_chunksize=ROWS_OUT)
     return run
 
 
-def _take(place: int):
-    def work(block: Block, best: pa.Scalar) -> None:
-        if best.is_valid:
-            block.take(place, best.as_py())
-    return work
-
-
-def _pick(blocks: DataFrame, kind: T.StructType, picks: int) -> DataFrame:
-    """Picks of products of several blocks: every block offers its best text, and learns which one was taken."""
-    highest = blocks.groupBy("product_id").agg(F.max(F.array_max("r")).alias("highest"))
-    ids = kind["ids"].dataType.elementType
-    offered = T.StructType([kind["product_id"], T.StructField("down", T.DoubleType()), *ids.fields,
-                            T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+def _pick(states: DataFrame, fixed: DataFrame, shape: T.StructType, picks: int) -> DataFrame:
+    """Picks of products of several blocks: every part offers its best text of each product, and learns which one was taken."""
+    ids = [shape[c] for c in NODE[1:]]
+    offer = T.StructType([T.StructField("down", T.DoubleType()), *ids, T.StructField("of", T.IntegerType()),
+                          T.StructField("at", T.IntegerType()), T.StructField("terms", T.ArrayType(T.LongType())),
+                          T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    kind = T.StructType([shape["product_id"], T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()),
+                         T.StructField("top", T.DoubleType()), T.StructField("offer", offer)])
+
+    def known(rows: DataFrame) -> DataFrame:
+        offers = rows.filter("data is null").select("product_id", "part", "top", "offer")
+        best = offers.groupBy("product_id").agg(F.max("top").alias("top"), F.min("offer").alias("offer"))
+        inbox = offers.select("product_id", "part").join(best, "product_id").groupBy("part").agg(
+            F.collect_list(F.struct("product_id", "top", "offer")).alias("inbox"))
+        state = rows.filter("data is not null").select("part", "data").join(inbox, "part")
+        return fixed.join(state.hint("shuffle_hash"), "part")
+
+    first = fixed.select("part", "facts").join(states.filter("bin < 0").select("part", "data").hint("shuffle_hash"), "part")
+    rows = materialize(first.mapInArrow(_by_part(kind, _ranked), kind), "picks")
+    discard(states)
     for place in range(1, picks + 1):
-        offers = blocks.join(highest, "product_id").mapInArrow(_offers(offered), offered)
-        best = offers.groupBy("product_id").agg(F.min(F.struct(*offered.names[1:])).alias("best"))
-        blocks = materialize(blocks.join(best, "product_id", "left").mapInArrow(_each_block(kind, _take(place), "best"), kind), "picks")
-    return blocks
+        before, rows = rows, materialize(known(rows).mapInArrow(_by_part(kind, _offers(place)), kind), "picks")
+        discard(before)
+    found = materialize(known(rows).mapInArrow(_texts(shape, picks), shape), "ranks")
+    discard(rows)
+    return found
 
 
 # ------------------------------------------------------------------ ranks and picks of many whole products at once
@@ -447,22 +633,15 @@ class Texts:
         self.first = np.concatenate([[0], np.flatnonzero(change) + 1])
         self.n = np.diff(np.append(self.first, self.m))
         self.product = np.repeat(np.arange(len(self.first)), self.n)
-        self._number(table, change)
-        found = pa.concat_arrays(table["_t"].chunks)
-        lengths = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(lengths)])
-        item = found.flatten().field("item").dictionary_encode()
-        term, count = item.indices.to_numpy().astype(np.int64), found.flatten().field("n").to_numpy().astype(float)
+        lengths, term, count, names = _counted(table["_t"])
         if len(self.first) > 1:
-            _, term = np.unique(np.repeat(self.product, lengths) * len(item.dictionary) + term, return_inverse=True)
+            _, term = np.unique(np.repeat(self.product, lengths) * len(names) + term, return_inverse=True)
         df = np.bincount(term)
         tokens = np.bincount(np.repeat(self.product, lengths), count, len(self.first))
         self.plain = (self.n < 2) | (tokens == 0)
-        # a text's vector holds the terms of all rows with its keys, which stand side by side; none without a key
-        group_begin, group_end = begin[self.group_first], begin[self.group_first + self.group_size]
-        size = np.where(self.keyed, (group_end - group_begin)[self.group], 0)
-        at = np.repeat(group_begin[self.group] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        self.node, self.term = np.repeat(np.arange(self.m), size), term[at]
+        self.group, self.keyed = _same_keys(table, change)
+        self.node, at = _joint(lengths, self.group, self.keyed)
+        self.term = term[at]
         n = self.n[self.product[self.node]]
         w = (1 + np.log(count[at])) * (np.log((1 + n) / (1 + df[self.term])) + 1)
         norm = np.sqrt(np.bincount(self.node, w * w, self.m))
@@ -470,17 +649,6 @@ class Texts:
         self.node, self.term, self.w = self.node[linked], self.term[linked], (w / norm[self.node])[linked]
         self.terms = len(df)
 
-    def _number(self, table: pa.Table, change: np.ndarray) -> None:
-        """Number the rows with equal keys alike."""
-        other, self.keyed = change, np.ones(self.m, bool)
-        for name in NODE[1:]:
-            ids = table[name].combine_chunks()
-            self.keyed &= ids.is_valid().to_numpy(zero_copy_only=False)
-            other = other | pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False)
-        self.group_first = np.concatenate([[0], np.flatnonzero(other) + 1])
-        self.group_size = np.diff(np.append(self.group_first, self.m))
-        self.group = np.repeat(np.arange(len(self.group_first)), self.group_size)
-
     def ranks(self) -> np.ndarray:
         """The walks of all products, each until it settles; those that have settled are left out now and then."""
         out = np.ones(self.m)
@@ -566,44 +734,49 @@ def rank_texts(nodes: DataFrame, picks: int = 0, block_tokens: int | None = None
     is ranked whole: its texts are shuffled once, and vectors and walks of many products are worked out
     side by side in one task; a larger one is dealt to blocks of ``BLOCK_TOKENS``.
     """
-    if block_tokens is not None:
-        return _rank_dealt(nodes, picks, block_tokens)
-    tokenised = materialize(nodes.filter("product_id is not null").select(
-        *NODE, counted(digest_tokens(F.col("body"))).alias("_t")), "tokens")
-    size = F.sum(F.aggregate("_t", F.lit(0).cast("bigint"), lambda a, e: a + e["n"]) + 1)
-    large = materialize(tokenised.groupBy("product_id").agg(size.alias("size")).filter(
-        F.col("size") > WHOLE_TOKENS).select("product_id"), "large-products")
-    some = not large.isEmpty()
-    if some:
-        tokenised = tokenised.join(large, "product_id", "left_anti")
+    found = nodes.filter("product_id is not null").select(*NODE, digest_tokens(F.col("body")).alias("_k"))
+    # tokens have no spaces
+    tokenised = materialize(found.select(*NODE, F.coalesce(F.array_join("_k", " "), F.lit("")).alias("_t"), F.coalesce(
+        F.size("_k"), F.lit(0)).alias("_k")), "tokens")
+    size = F.col("tokens") + F.col("n")  # texts without any token take room, too
+    sizes = tokenised.groupBy("product_id").agg(F.count("*").alias("n"), F.sum("_k").alias("tokens")).withColumn(
+        "blocks", F.ceil(size / (block_tokens or BLOCK_TOKENS)).cast("int"))
+    limit = WHOLE_TOKENS if block_tokens is None else block_tokens
+    large = materialize(sizes.filter((size > limit) & (F.col("blocks") > 1)), "large-products")
+    texts = tokenised.drop("_k")
+    some, blocks = large.agg(F.sum(size), F.sum("blocks")).first()
+    rest = texts.join(large, "product_id", "left_anti").select(texts.columns) if some else texts
     shape = T.StructType([tokenised.schema[c] for c in NODE] + [
         T.StructField("centrality", T.DoubleType()), T.StructField("pick", T.IntegerType())])
-    out = tokenised.repartition("product_id").sortWithinPartitions(*NODE).mapInArrow(_side_by_side(shape, picks), shape)
-    return out.unionByName(_rank_dealt(nodes.join(large, "product_id", "left_semi"), picks)) if some else out
+    out = rest.repartition("product_id").sortWithinPartitions(*NODE).mapInArrow(_side_by_side(shape, picks), shape)
+    return out.unionByName(_rank_dealt(texts.join(large, "product_id"), shape, picks, some, blocks)) if some else out
+
 
+def _rank_dealt(texts: DataFrame, shape: T.StructType, picks: int, size: int, blocks: int) -> DataFrame:
+    """The same by blocks, for products of any size; ``size`` and ``blocks`` are those of all of them.
 
-def _rank_dealt(nodes: DataFrame, picks: int, block_tokens: int | None = None) -> DataFrame:
-    """The same by blocks, for products of any size."""
-    vectors = materialize(linked_terms(text_vectors(nodes)), "vectors")
+    Blocks are dealt to parts of about ``PART_TOKENS`` tokens and texts, in which they stand side by side.
+    """
     plain = (F.col("n") < 2) | (F.col("tokens") == 0)
-    trivial = vectors.filter(plain).select(*NODE, F.lit(1.0).alias("centrality"), F.lit(0).alias("pick"))
-    # texts without any token take room, too
-    size = F.col("tokens") + F.col("n")
-    count = F.ceil(size / (block_tokens or BLOCK_TOKENS)).cast("int")
-    if block_tokens is None:
-        count = F.when(size <= WHOLE_TOKENS, 1).otherwise(count)
-    dealt = vectors.filter(~plain).select(
-        *NODE, "n", "vector", count.alias("blocks"), F.pmod(F.xxhash64(*NODE), count).cast("int").alias("block"))
-    ordered = lambda df: df.repartition("product_id", "block").sortWithinPartitions("product_id", "block", *NODE[1:])
-    shape = T.StructType([vectors.schema[c] for c in NODE] + [
-        T.StructField("centrality", T.DoubleType()), T.StructField("pick", T.IntegerType())])
-    out = trivial.unionByName(ordered(dealt.filter("blocks = 1")).mapInArrow(_whole(shape, picks), shape))
-    several = dealt.filter("blocks > 1")
-    if several.isEmpty():
-        return out
-    kind = _block_type(vectors)
-    blocks = _settle(materialize(ordered(several).mapInArrow(_start(kind), kind), "rank-blocks"), kind)
-    blocks = _pick(blocks.select(*kind.names), kind, picks) if picks else blocks
-    texts = blocks.select("product_id", F.explode(F.arrays_zip("ids", "r", "pick")).alias("t"))
-    return out.unionByName(texts.select(
-        "product_id", "t.ids.review_id", "t.ids.sent_no", F.col("t.r").alias("centrality"), "t.pick"))
+    trivial = texts.filter(plain).select(*NODE, F.lit(1.0).alias("centrality"), F.lit(0).alias("pick"))
+    bins = F.least(F.ceil(F.sqrt("blocks")), F.ceil((F.col("tokens") + F.col("n")) / BIN_TOKENS)).cast("int")
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    count = max(2 * cores, size // PART_TOKENS)
+    near = F.floor(F.pmod(F.xxhash64(*NODE), "blocks") / max(1, blocks // count))  # blocks of one product share terms
+    dealt = texts.filter(~plain).select(
+        *NODE, "n", "_t", bins.alias("bins"), F.pmod(F.xxhash64("product_id", near), F.lit(4 * count)).cast("int").alias("part"))
+    kind = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("facts", T.BinaryType()),
+        T.StructField("ids", T.BinaryType()), T.StructField("names", T.ArrayType(T.StructType([
+            shape["product_id"], T.StructField("bin", T.IntegerType()), T.StructField("names", T.StringType()),
+            T.StructField("df", T.BinaryType())])))])
+    ordered = dealt.repartition("part").sortWithinPartitions("part", *NODE)
+    parts = materialize(ordered.mapInArrow(_start(kind), kind), "rank-parts")
+    if parts.isEmpty():
+        return trivial
+    count = min(count, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    states, fixed, table = _settle(parts, shape["product_id"], count, max(1, min(LOOKS, LOOKS * TOGETHER // size)))
+    try:
+        return trivial.unionByName(_pick(states, fixed, shape, picks))
+    finally:
+        fixed.unpersist()
+        discard(table)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", app: str = "reviewsieve", **conf) -> SparkSession:
     """A single-machine session for tests and benchmarks. On a cluster, pass your own session."""
@@ -44,8 +46,22 @@ def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> D
     """Write ``df`` once to the shared folder and return it as a table read from there.
 
     One job, no lineage left, survives the loss of executors. ``schema`` reads it with user-defined types.
+    The shuffle files of the job, which nothing reads again, go at its end instead of when the driver collects garbage.
     """
     spark = df.sparkSession
     path = "/".join([shared_dir(spark).rstrip("/"), "reviewsieve", f"{name}-{uuid.uuid4().hex}"])
-    df.write.mode("errorifexists").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing will read again, such as the last state of a loop."""
+    jvm, files = table.sparkSession._jvm, table.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -1,7 +1,10 @@
 """Ranks of many products side by side against those by blocks."""
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from reviewsieve import session
 from reviewsieve.operators import centrality
 
 WORDS = "sound screen hinge price lid strap bass volume charger size".split()
@@ -63,3 +66,18 @@ def test_many_blocks_exchange_numbers_alone(spark, monkeypatch):
     alone = sorted(centrality.rank_texts(nodes, 3).collect(), key=key)
     assert [r["pick"] for r in dealt] == [r["pick"] for r in alone] and len(dealt) == 62
     assert [r["centrality"] for r in dealt] == pytest.approx([r["centrality"] for r in alone], abs=1e-12)
+
+
+def test_a_walk_leaves_neither_tables_nor_shuffle_files(spark, monkeypatch, tmp_path):
+    """A step writes ranks and sums, no vectors; the table before it goes, and so do the shuffle files of a job."""
+    rows = [(1 + k % 2, k, 0, " ".join(WORDS[(k * j + j * j + k // 7) % 10] for j in range(1 + k % 5))) for k in range(60)]
+    nodes = spark.createDataFrame(rows, "product_id long, review_id long, sent_no int, body string")
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in local for f in Path(d.toString()).glob("*/shuffle_*.data")}
+    before = files()
+    found = centrality.rank_texts(nodes, 3, block_tokens=20)
+    left = [p.name for p in (tmp_path / "reviewsieve").iterdir()]
+    assert not [name for name in left if name.startswith(("rank-", "picks-"))] and any(name.startswith("ranks-") for name in left)
+    assert len(files() - before) < 10  # of looks at sizes and whether all have settled, which write no table
+    assert found.count() == 60
