@@ -37,7 +37,7 @@ ROWS_OUT = 10_000  # texts in a batch of results
 ROOM = 20_000  # texts of small products that are ranked side by side
 LOOKS = 6  # steps at most between looks whether any product still moves; a settled block stays as it is
 TOGETHER = 20_000_000  # tokens and texts up to which so many steps are one job; shuffle files go at its end
-PART_TOKENS = 250_000  # tokens and texts of the blocks that stand side by side in a task
+PART_TOKENS = 1_000_000  # tokens and texts of the blocks that stand side by side in a task
 BIN_TOKENS = 1_000_000  # tokens and texts of a product for each bin of terms
 TIE_DIGITS = 9
 
@@ -466,11 +466,11 @@ def _row_type(product: T.StructField, *more: str) -> T.StructType:
         *[T.StructField(c, T.BinaryType()) for c in more]])
 
 
-def _by_cells(sent: DataFrame, work) -> DataFrame:
-    """(part, inbox): what the cells make of the rows sent to them, for each part."""
+def _by_cells(sent: DataFrame, work, count: int) -> DataFrame:
+    """(part, inbox): what the cells make of the rows sent to them, for each part, in as many partitions as the parts are kept in."""
     kind = T.StructType([sent.schema[c] for c in ("product_id", "bin", "part")] + [T.StructField("data", T.BinaryType())])
     back = sent.repartition("product_id", "bin").sortWithinPartitions("product_id", "bin", "part").mapInArrow(work(kind), kind)
-    return back.groupBy("part").agg(F.collect_list(F.struct("product_id", "bin", "data")).alias("inbox"))
+    return back.repartition(count, "part").groupBy("part").agg(F.collect_list(F.struct("product_id", "bin", "data")).alias("inbox"))
 
 
 def _settle(parts: DataFrame, product: T.StructField, count: int, together: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -481,18 +481,18 @@ def _settle(parts: DataFrame, product: T.StructField, count: int, together: int)
     """
     full, plain = _row_type(product, "facts", "ids"), _row_type(product)
     names = parts.select("part", F.explode("names").alias("e")).select("part", "e.*")
-    begun = materialize(parts.select("part", "facts", "ids").join(_by_cells(names, _codes), "part").mapInArrow(
+    begun = materialize(parts.select("part", "facts", "ids").join(_by_cells(names, _codes, count), "part").mapInArrow(
         _by_part(full, _number), full), "rank-numbers")
     discard(parts)
     stored = begun.filter("bin < 0").select("part", "facts", "ids")
-    rows = materialize(stored.join(_by_cells(begun.filter("bin >= 0").select(*plain.names), _totals), "part").mapInArrow(
+    rows = materialize(stored.join(_by_cells(begun.filter("bin >= 0").select(*plain.names), _totals, count), "part").mapInArrow(
         _by_part(full, _first), full), "rank-start")
     discard(begun)
     fixed = rows.filter("bin < 0").select("part", "facts", "ids").repartition(count, "part").persist(StorageLevel.DISK_ONLY)
     states, written = rows.select(*plain.names), None
     while True:
         for _ in range(together):
-            states = fixed.select("part", "facts").join(_by_cells(states, _totals).hint("shuffle_hash"), "part").mapInArrow(
+            states = fixed.select("part", "facts").join(_by_cells(states, _totals, count).hint("shuffle_hash"), "part").mapInArrow(
                 _by_part(plain, _step), plain)
         states = materialize(states, "rank-step")
         if written is not None:
@@ -556,7 +556,7 @@ def _texts(kind: T.StructType, picks: int):
     return run
 
 
-def _pick(states: DataFrame, fixed: DataFrame, shape: T.StructType, picks: int) -> DataFrame:
+def _pick(states: DataFrame, fixed: DataFrame, count: int, shape: T.StructType, picks: int) -> DataFrame:
     """Picks of products of several blocks: every part offers its best text of each product, and learns which one was taken."""
     ids = [shape[c] for c in NODE[1:]]
     offer = T.StructType([T.StructField("down", T.DoubleType()), *ids, T.StructField("of", T.IntegerType()),
@@ -571,9 +571,9 @@ def _pick(states: DataFrame, fixed: DataFrame, shape: T.StructType, picks: int)
         inbox = offers.select("product_id", "part").join(best, "product_id").groupBy("part").agg(
             F.collect_list(F.struct("product_id", "top", "offer")).alias("inbox"))
         state = rows.filter("data is not null").select("part", "data").join(inbox, "part")
-        return fixed.join(state.hint("shuffle_hash"), "part")
+        return fixed.join(state.repartition(count, "part").hint("shuffle_hash"), "part")
 
-    first = fixed.select("part", "facts").join(states.filter("bin < 0").select("part", "data").hint("shuffle_hash"), "part")
+    first = fixed.select("part", "facts").join(states.filter("bin < 0").select("part", "data").repartition(count, "part").hint("shuffle_hash"), "part")
     rows = materialize(first.mapInArrow(_by_part(kind, _ranked), kind), "picks")
     discard(states)
     for place in range(1, picks + 1):
@@ -776,7 +776,7 @@ def _rank_dealt(texts: DataFrame, shape: T.StructType, picks: int, size: int, bl
     count = min(count, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     states, fixed, table = _settle(parts, shape["product_id"], count, max(1, min(LOOKS, LOOKS * TOGETHER // size)))
     try:
-        return trivial.unionByName(_pick(states, fixed, shape, picks))
+        return trivial.unionByName(_pick(states, fixed, count, shape, picks))
     finally:
         fixed.unpersist()
         discard(table)
