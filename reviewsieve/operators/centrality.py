@@ -36,7 +36,7 @@ WHOLE_TOKENS = 8_000_000  # up to so many a product is one block, which a task h
 ROWS_OUT = 10_000  # texts in a batch of results
 ROOM = 20_000  # texts of small products that are ranked side by side
 LOOKS = 6  # steps at most between looks whether any product still moves; a settled block stays as it is
-TOGETHER = 20_000_000  # tokens and texts up to which so many steps are one job; shuffle files go at its end
+TOGETHER = 10_000_000  # tokens and texts up to which so many steps are one job; shuffle files go at its end
 PART_TOKENS = 1_000_000  # tokens and texts of the blocks that stand side by side in a task
 BIN_TOKENS = 1_000_000  # tokens and texts of a product for each bin of terms
 TIE_DIGITS = 9
